@@ -78,7 +78,7 @@ def multipliers(table: DataFrame, targets: DataFrame, limit: int = LIMIT, rounds
     ratio = F.col("target") / F.col("source_size")
     at_least = F.col("least") / F.col("mean")
     start = (
-        targets.where("source_size > 0")
+        targets.where(F.col("target") < limit * F.col("source_size"))
         .join(shape, targets["source"].eqNullSafe(shape["source"]))
         .select(targets["source"], "source_size", "target", "mean", F.when(ratio < 1, F.log(ratio)).otherwise(0.0).alias("at"), F.when(ratio < 1, F.log(ratio) / at_least).otherwise(0.0).alias("low"), F.when(ratio < 1, F.log(ratio)).otherwise(F.log(F.lit(float(limit))) / at_least).alias("high"))
     )
