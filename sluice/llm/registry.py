@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.core.session import table
-from sluice.llm import mixing, simhash
+from sluice.llm import langid, mixing, pieces, simhash, toxicity
+
+#: Model file whose pieces op5 encodes with.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.load(PIECES))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +27,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {"op8_mixing": op8_mixing, "op9_simhash": op9_simhash}
+    return {f.__name__: f for f in (op1_language_id, op5_sentencepiece, op8_mixing, op9_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
