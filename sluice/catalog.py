@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from sluice.queries import QUERIES, SQL, analytics, governance, ingest, models, quality, statistics, streams, text
 
-from sluice.core.session import table
-
-
-def metric_revenue_by_flag(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
+MODULES = (analytics, governance, ingest, models, quality, statistics, streams, text)
 
 
 def queries() -> dict:
-    return {"metric_revenue_by_flag": metric_revenue_by_flag}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "metric_revenue_by_flag": "SELECT l_returnflag, round(sum(l_extendedprice), 2) AS revenue FROM lineitem GROUP BY 1"
-    }
+    return dict(SQL)

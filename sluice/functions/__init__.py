@@ -1 +1 @@
-"""Part of sluice."""
+"""Column functions: normalisers, parsers, masks and distribution functions."""
