@@ -66,7 +66,34 @@ class Window:
     ids: list[int] = field(default_factory=list)
     widest: int = 0
 
+    def _short(self, text: str) -> list[int]:
+        """The same search for a text that fits the window whole: nothing can be committed earlier."""
+        v = self.vocabulary
+        scores, starts, longest, least, n = v.scores, v.starts, v.longest, v.least, len(text)
+        best, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
+        for i in range(n):
+            here, single = best[i], False
+            for j in range(i + 1, min(n, i + longest) + 1):
+                piece = text[i:j]
+                hit = scores.get(piece)
+                if hit is None:
+                    if piece not in starts:
+                        break
+                    continue
+                if j == i + 1:
+                    single = True
+                if here + hit[0] > best[j]:
+                    best[j], back[j] = here + hit[0], (i, hit[1])
+            if not single and here + least > best[i + 1]:
+                best[i + 1], back[i + 1] = here + least, (i, -1)
+        self.widest = max(self.widest, n + 1)
+        self._emit(text, 0, back, n)
+        return self.ids
+
     def run(self, text: str, check: int = 64) -> list[int]:
+        """Ids of a text; every ``check`` characters the joint part of all open paths is committed."""
+        if len(text) <= check:
+            return self._short(text)
         v = self.vocabulary
         scores, starts, longest = v.scores, v.starts, v.longest
         base, best, back = 0, [0.0], [(0, -1)]  # for places from base on: score, (start, id)
