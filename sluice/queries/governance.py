@@ -1 +1,185 @@
-"""Queries over the driver tables."""
+"""Governance over the driver tables."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import hmac
+
+from pyspark.sql import functions as F
+
+from sluice.core.session import table
+from sluice.functions import privacy as P
+from sluice.operators import governance as G
+from sluice.queries import query
+
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}"
+
+
+@query("SELECT count(*) AS documents, CAST(sum(len(regexp_extract_all(text, '\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b'))) AS BIGINT) AS ssn, CAST(sum(len(regexp_extract_all(text, '\\b([0-9]{1,3}\\.){3}[0-9]{1,3}\\b'))) AS BIGINT) AS ip FROM documents")
+def pii_counts_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    count = lambda k: F.sum(F.regexp_count("text", F.lit(P.PII[k]))).alias
+    return docs.agg(F.count("*").alias("documents"), count("SSN")("ssn"), count("IP Address")("ip"))
+
+
+@query()
+def pii_scan(spark, sf_dir):
+    return G.scan_pii(table(spark, sf_dir, "documents"), ["text"])
+
+
+@query("SELECT doc_id, regexp_replace(text, '\\b[0-9]{3}-[0-9]{2}-([0-9]{4})\\b', 'XXX-XX-\\1', 'g') AS text FROM documents")
+def pii_mask_ssn(spark, sf_dir):
+    return G.mask_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["SSN"])
+
+
+@query("""
+WITH g AS (SELECT c_mktsegment, c_nationkey, floor(c_acctbal / 2000) AS b, count(*) AS n FROM customer GROUP BY 1, 2, 3)
+SELECT min(n) AS k, count(*) AS classes, count(*) FILTER (n = 1) AS singletons, CAST(median(n) AS DOUBLE) AS median_class FROM g
+""")
+def kanon_customer(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").withColumn("b", F.floor(F.col("c_acctbal") / 2000))
+    return G.k_anonymity(rows, ["c_mktsegment", "c_nationkey", "b"])
+
+
+@query("SELECT c_custkey FROM (SELECT c_custkey, count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) AS n FROM customer) WHERE n >= 12")
+def kanon_suppress(spark, sf_dir):
+    return G.suppress_below(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_nationkey"], 12).select("c_custkey")
+
+
+@query("""
+WITH l AS (SELECT 'full' AS level, c_mktsegment || c_nationkey || floor(c_acctbal / 1000) AS q FROM customer UNION ALL SELECT 'nation', c_mktsegment || c_nationkey FROM customer UNION ALL SELECT 'segment', c_mktsegment FROM customer),
+g AS (SELECT level, q, count(*) AS n FROM l GROUP BY 1, 2) SELECT level, min(n) AS k, count(*) AS classes, CAST(coalesce(sum(n) FILTER (n < 5), 0) AS BIGINT) AS suppressed_rows, min(n) >= 5 AS safe FROM g GROUP BY 1
+""")
+def kanon_ladder(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer")
+    band = F.floor(F.col("c_acctbal") / 1000)
+    return G.generalization_ladder(rows, {"full": ["c_mktsegment", "c_nationkey", band], "nation": ["c_mktsegment", "c_nationkey"], "segment": ["c_mktsegment"]}, 5)
+
+
+@query("SELECT c_custkey, left(sha256(c_name), 12) AS c_name, repeat('*', length(CAST(c_nationkey AS VARCHAR))) AS c_nationkey, CASE WHEN true THEN format('{:,}', CAST(floor(c_acctbal / 1000) * 1000 AS BIGINT)) || '-' || format('{:,}', CAST(floor(c_acctbal / 1000) * 1000 AS BIGINT) + 1000) END AS c_acctbal FROM customer")
+def redact_policy(spark, sf_dir):
+    policy = {"c_name": {"strategy": "hash"}, "c_nationkey": {"strategy": "mask"}, "c_acctbal": {"strategy": "generalize", "as": "numeric", "width": 1000.0}, "c_mktsegment": {"strategy": "drop"}}
+    return G.apply_policy(table(spark, sf_dir, "customer"), policy)
+
+
+@query()
+def redact_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", P.token_value(F.col("c_name"), b"pepper").alias("token"))
+
+
+def token(value: str, salt: bytes, length: int = 12) -> str:
+    """What ``token_value`` gives, for tests."""
+    return "tok_" + base64.b32encode(hmac.new(salt, value.encode(), hashlib.sha256).digest()).decode().lower().rstrip("=")[:length]
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS subject, CASE WHEN c_custkey % 3 = 0 THEN 'ads' ELSE 'mail' END AS purpose, CASE WHEN c_custkey % 5 = 0 THEN 'withdrawn' ELSE 'granted' END AS status, CASE WHEN c_custkey % 7 = 0 THEN DATE '2024-01-01' ELSE DATE '2030-01-01' END AS expiry FROM customer WHERE c_custkey % 11 != 0),
+p AS (SELECT o_orderkey AS activity_id, 'mail' AS purpose, o_custkey AS subject FROM orders WHERE o_orderkey % 20 = 0 UNION ALL SELECT o_orderkey, 'mail', o_custkey + 1 FROM orders WHERE o_orderkey % 20 = 0),
+j AS (SELECT p.*, c.status, c.expiry, EXISTS (SELECT 1 FROM c k WHERE k.subject = p.subject) AS known FROM p LEFT JOIN c ON p.subject = c.subject AND p.purpose = c.purpose)
+SELECT activity_id, purpose, CAST(subject AS VARCHAR) AS subject, CASE WHEN status IS NULL AND known THEN 'purpose-mismatch' WHEN status IS NULL THEN 'no-consent' WHEN status = 'withdrawn' THEN 'withdrawn' ELSE 'expired' END AS finding FROM j
+WHERE status IS NULL OR status = 'withdrawn' OR expiry < DATE '2026-07-01'
+""")
+def consent_audit(spark, sf_dir):
+    k = F.col("c_custkey")
+    consent = table(spark, sf_dir, "customer").where("c_custkey % 11 <> 0").select(k.cast("string").alias("subject_id"), F.when(k % 3 == 0, "ads").otherwise("mail").alias("purpose"), F.when(k % 5 == 0, "withdrawn").otherwise("granted").alias("status"), F.lit("2023-01-01").cast("date").alias("timestamp"), F.when(k % 7 == 0, F.lit("2024-01-01")).otherwise(F.lit("2030-01-01")).cast("date").alias("expiry"))
+    processing = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("activity_id"), F.lit("mail").alias("purpose"), F.concat_ws(";", F.col("o_custkey").cast("string"), (F.col("o_custkey") + 1).cast("string")).alias("subjects_touched"))
+    return G.audit_consent(consent, processing, "2026-07-01")
+
+
+@query("""
+WITH p(data_class, max_days, action) AS (VALUES ('O', 9900, 'delete'), ('F', 10500, 'anonymize')),
+r AS (SELECT o_orderkey AS record_id, o_orderstatus AS data_class, CAST(datediff('day', o_orderdate::DATE, DATE '2026-07-01') AS INTEGER) AS age_days FROM orders)
+SELECT record_id, r.data_class, age_days, CASE WHEN max_days IS NULL THEN 'no_policy' WHEN age_days > max_days THEN 'past_retention' WHEN age_days >= max_days - 30 THEN 'approaching' ELSE 'within_policy' END AS verdict,
+CASE WHEN age_days > max_days THEN action ELSE 'none' END AS action FROM r LEFT JOIN p ON r.data_class = p.data_class
+""")
+def retention_orders(spark, sf_dir):
+    policies = spark.createDataFrame([("O", 9900, "delete"), ("F", 10500, "anonymize")], "data_class string, max_days int, action string")
+    records = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_orderstatus").alias("data_class"), F.to_date("o_orderdate").alias("created_date"))
+    return G.retention_plan(records, policies, "2026-07-01")
+
+
+_GRANTS = "(SELECT 'u' || (s_suppkey % 13) AS u, CASE s_suppkey % 4 WHEN 0 THEN 'analyst' WHEN 1 THEN 'dba' WHEN 2 THEN 'intern' ELSE 'vendor' END AS role, 'd' || (s_suppkey % 5) AS dataset, CASE WHEN s_suppkey % 5 < 2 THEN 'restricted' ELSE 'public' END AS sens, CASE s_suppkey % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'write' ELSE 'admin' END AS perm, CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE DATE '2024-06-01' - CAST(s_suppkey % 200 AS INTEGER) END AS used, DATE '2024-05-01' AS granted FROM supplier)"
+
+
+@query(f"""
+SELECT 'over-privileged' AS rule, u AS "user", dataset, CASE WHEN perm = 'admin' THEN 'high' ELSE 'medium' END AS severity FROM {_GRANTS} WHERE sens = 'restricted' AND perm IN ('write', 'admin') AND role != 'dba'
+UNION ALL SELECT 'stale', u, dataset, 'medium' FROM {_GRANTS} WHERE DATE '2024-06-15' - coalesce(used, granted) >= 90
+UNION ALL SELECT 'disallowed-role', u, dataset, 'high' FROM {_GRANTS} WHERE sens = 'restricted' AND role IN ('intern', 'vendor')
+UNION ALL SELECT 'exposure', NULL, dataset, CASE WHEN n > 10 THEN 'high' ELSE 'medium' END FROM (SELECT dataset, count(DISTINCT u) AS n FROM {_GRANTS} WHERE sens = 'restricted' GROUP BY 1) WHERE n > 5
+UNION ALL SELECT 'conflicting-roles', u, NULL, 'high' FROM {_GRANTS} GROUP BY u HAVING count(*) FILTER (role = 'dba') > 0 AND count(*) FILTER (role = 'vendor') > 0
+""")
+def grant_audit(spark, sf_dir):
+    k = F.col("s_suppkey")
+    pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (k % n + 1).cast("int"))
+    grants = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("u"), k % 13).alias("user"), pick(4, "analyst", "dba", "intern", "vendor").alias("role"), F.concat(F.lit("d"), k % 5).alias("dataset"), F.when(k % 5 < 2, "restricted").otherwise("public").alias("sensitivity"),
+        pick(3, "read", "write", "admin").alias("permission"), F.when(k % 6 != 0, F.date_sub(F.lit("2024-06-01").cast("date"), (k % 200).cast("int"))).alias("last_used_date"), F.lit("2024-05-01").cast("date").alias("granted_date"),
+    )
+    return G.audit_grants(grants, "2024-06-15", [("dba", "vendor")])
+
+
+@query("""
+WITH p AS (SELECT 'n' || c_nationkey AS node, sum(c_acctbal) AS amount FROM customer GROUP BY 1), e AS (SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region),
+a AS (SELECT node, amount FROM p UNION ALL SELECT parent, amount FROM p JOIN e ON node = child UNION ALL SELECT 'world', amount FROM p) SELECT node, round(sum(amount), 2) AS total FROM a GROUP BY 1
+""")
+def hierarchy_rollup(spark, sf_dir):
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    edges = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent")).unionByName(region.select(F.concat(F.lit("r"), "r_regionkey").alias("child"), F.lit("world").alias("parent")))
+    edges = edges.unionByName(spark.createDataFrame([("world", "r0")], "child string, parent string").where("false"))
+    postings = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("node"), F.col("c_acctbal").alias("amount"))
+    return G.roll_up(spark, edges, postings).withColumn("total", F.round("total", 2))
+
+
+@query("""
+WITH l AS (SELECT event_type, max(ts) AS seen, CASE event_type WHEN 'click' THEN 24 ELSE 6 END AS sla FROM events GROUP BY 1)
+SELECT event_type, CAST(floor(epoch(TIMESTAMP '2024-02-01' - seen) / 3600) AS BIGINT) AS age_hours, CASE WHEN floor(epoch(TIMESTAMP '2024-02-01' - seen) / 3600) <= sla THEN 'Fresh' WHEN floor(epoch(TIMESTAMP '2024-02-01' - seen) / 3600) <= 2 * sla THEN 'Warning' ELSE 'Stale' END AS status FROM l
+""")
+def freshness_events(spark, sf_dir):
+    seen = table(spark, sf_dir, "events").groupBy("event_type").agg(F.max("ts").alias("seen")).withColumn("sla", F.when(F.col("event_type") == "click", 24).otherwise(6))
+    return G.freshness(seen, "seen", "sla", "2024-02-01").select("event_type", "age_hours", "status")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS run_id, 'p' || (o_orderkey % 3) AS pipeline, CAST(o_custkey % 300 AS BIGINT) AS landed, CAST(o_orderkey % 90 AS BIGINT) AS minutes, CAST(o_totalprice AS BIGINT) AS n, o_orderstatus = 'P' AS failed FROM orders)
+SELECT pipeline, run_id, 'FAILED' AS kind FROM r WHERE failed UNION ALL SELECT pipeline, run_id, 'LATE' FROM r WHERE NOT failed AND landed > 200 UNION ALL SELECT pipeline, run_id, 'SLOW' FROM r WHERE NOT failed AND minutes > 60 UNION ALL SELECT pipeline, run_id, 'LOW_VOLUME' FROM r WHERE NOT failed AND n < 50000
+""")
+def sla_breaches(spark, sf_dir):
+    ended = F.expr("timestamp'2024-03-02 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(o_custkey % 300 as int), 0)")
+    runs = table(spark, sf_dir, "orders").select(F.concat(F.lit("p"), F.col("o_orderkey") % 3).alias("pipeline"), F.col("o_orderkey").alias("run_id"), ended.alias("ended"), (F.col("o_orderkey") % 90).cast("int").alias("minutes"), F.round("o_totalprice").cast("long").alias("row_count"), (F.col("o_orderstatus") == "P").alias("failed"))
+    runs = runs.withColumn("started", F.expr("ended - make_interval(0, 0, 0, 0, 0, minutes, 0)"))
+    slas = spark.createDataFrame([(f"p{i}", 200, 60, 50000) for i in range(3)], "pipeline string, landing_minutes int, max_minutes int, min_rows long")
+    return G.pipeline_sla(runs, slas)
+
+
+@query("SELECT * FROM (VALUES ('a', 'widened', 'info'), ('b', 'retyped', 'breaking'), ('c', 'removed', 'breaking'), ('d', 'added', 'info'), ('e', 'now-required', 'breaking'), ('f', 'now-nullable', 'warning'), ('h', 'added-required', 'breaking')) AS t(\"column\", change, severity)")
+def schema_compatibility(spark, sf_dir):
+    schema = "column string, type string, nullable boolean"
+    before = spark.createDataFrame([("a", "int", True), ("b", "string", True), ("c", "int", True), ("e", "int", True), ("f", "int", False), ("g", "int", False)], schema)
+    after = spark.createDataFrame([("a", "long", True), ("b", "int", True), ("d", "int", True), ("e", "int", False), ("f", "int", True), ("g", "int", False), ("h", "int", False)], schema)
+    return G.schema_changes(before, after)
+
+
+@query("""
+WITH l AS (SELECT o_custkey AS c, o_orderkey AS o FROM orders), s AS (SELECT 5 AS c), h1 AS (SELECT DISTINCT o FROM l WHERE c = 5), h2 AS (SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_orderkey IN (SELECT o FROM h1))
+SELECT 'customer' AS kind, 'c5' AS value, 0 AS hop UNION ALL SELECT 'order', 'o' || o, 1 FROM h1 UNION ALL SELECT 'supplier', 's' || s, 2 FROM h2
+""")
+def identity_hops(spark, sf_dir):
+    links = table(spark, sf_dir, "orders").select(F.lit("customer").alias("kind_a"), F.concat(F.lit("c"), "o_custkey").alias("value_a"), F.lit("order").alias("kind_b"), F.concat(F.lit("o"), "o_orderkey").alias("value_b"))
+    links = links.unionByName(table(spark, sf_dir, "lineitem").select(F.lit("order").alias("kind_a"), F.concat(F.lit("o"), "l_orderkey").alias("value_a"), F.lit("supplier").alias("kind_b"), F.concat(F.lit("s"), "l_suppkey").alias("value_b")))
+    return G.resolve_identities(spark.createDataFrame([("customer", "c5")], "kind string, value string"), links, 2)
+
+
+@query("SELECT c_custkey, 'Ann Marie' AS given, c_mktsegment AS family FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'Bo', 'van ' || c_mktsegment FROM customer WHERE c_custkey % 2 = 1")
+def split_names(spark, sf_dir):
+    name = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Ann  Marie "), "c_mktsegment")).otherwise(F.concat(F.lit("van "), "c_mktsegment", F.lit(", Bo")))
+    return G.name_parts(table(spark, sf_dir, "customer").select("c_custkey", name.alias("name")), "name").drop("name")
+
+
+@query("""
+WITH g AS (SELECT lang AS "group", count(*) AS n, avg(quality) AS rate FROM labels JOIN documents USING (doc_id) GROUP BY 1)
+SELECT "group", n, round(rate, 6) AS rate, round(rate / max(rate) OVER (), 6) AS impact_ratio, rate / max(rate) OVER () >= 0.8 AS four_fifths FROM g
+""")
+def disparate_impact(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return G.group_rates(rows, "lang", F.col("quality")).withColumn("rate", F.round("rate", 6)).withColumn("impact_ratio", F.round("impact_ratio", 6))
