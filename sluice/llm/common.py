@@ -36,8 +36,8 @@ def slices(column: pa.Array, budget: int = SLICE_BYTES) -> Iterator[tuple[int, i
         start = stop
 
 
-def texts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+def texts(column: pa.Array, budget: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """The first row and the UTF-8 texts of each slice; null is the empty text."""
     raw = as_bytes(column)
-    for start, stop in slices(column):
+    for start, stop in slices(column, budget):
         yield start, [x or b"" for x in raw.slice(start, stop - start).to_pylist()]
