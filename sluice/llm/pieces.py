@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from sluice.llm.common import texts
 
 SPACE = "▁"
 #: Words that a worker remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 600_000
 #: Score of a character that no piece covers, below the least score.
 UNKNOWN_PENALTY = 10.0
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -41,10 +42,29 @@ class Vocabulary:
     def __post_init__(self):
         self.longest = max(map(len, self.scores), default=1)
         self.least = min((s for s, _ in self.scores.values()), default=0.0) - UNKNOWN_PENALTY
-        self.starts = {p[:n] for p in self.scores for n in range(1, len(p) + 1)}
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.scores)
         self.byte_of = {i: b for b, i in enumerate(self.bytes_at or [])}
 
+    @cached_property
+    def trie(self) -> dict:
+        """From each character to (what may follow, score, id); score None where no piece ends."""
+        root: dict = {}
+        for piece in sorted(self.scores):
+            at = root
+            for c in piece[:-1]:
+                at = at.setdefault(c, ({}, None, -1))[0]
+            at[piece[-1]] = (at.get(piece[-1], ({},))[0], *self.scores[piece])
+        return root
+
+    @cached_property
+    def encoder(self) -> Encoder:
+        """One encoder, with its memory of words, for all tasks of a worker."""
+        return Encoder(self)
+
+    @cached_property
+    def decoder(self) -> Decoder:
+        return Decoder(self)
+
 
 def load(path: str) -> Vocabulary:
     """Read a SentencePiece model file on the driver; its piece list is what tasks receive."""
@@ -68,23 +88,19 @@ class Window:
 
     def _short(self, text: str) -> list[int]:
         """The same search for a text that fits the window whole: nothing can be committed earlier."""
-        v = self.vocabulary
-        scores, starts, longest, least, n = v.scores, v.starts, v.longest, v.least, len(text)
+        trie, least, n = self.vocabulary.trie, self.vocabulary.least, len(text)
         best, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
         for i in range(n):
-            here, single = best[i], False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                piece = text[i:j]
-                hit = scores.get(piece)
+            here, node, j = best[i], trie, i
+            for c in text[i:]:
+                hit = node.get(c)
                 if hit is None:
-                    if piece not in starts:
-                        break
-                    continue
-                if j == i + 1:
-                    single = True
-                if here + hit[0] > best[j]:
-                    best[j], back[j] = here + hit[0], (i, hit[1])
-            if not single and here + least > best[i + 1]:
+                    break
+                j += 1
+                node, score, piece = hit
+                if score is not None and here + score > best[j]:
+                    best[j], back[j] = here + score, (i, piece)
+            if here + least > best[i + 1] and trie.get(text[i], (None, None))[1] is None:
                 best[i + 1], back[i + 1] = here + least, (i, -1)
         self.widest = max(self.widest, n + 1)
         self._emit(text, 0, back, n)
@@ -94,24 +110,18 @@ class Window:
         """Ids of a text; every ``check`` characters the joint part of all open paths is committed."""
         if len(text) <= check:
             return self._short(text)
-        v = self.vocabulary
-        scores, starts, longest = v.scores, v.starts, v.longest
+        trie, least = self.vocabulary.trie, self.vocabulary.least
         base, best, back = 0, [0.0], [(0, -1)]  # for places from base on: score, (start, id)
         n = len(text)
         for i in range(n):
-            here = best[i - base]
-            single = False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                piece = text[i:j]
-                if piece not in starts:
-                    break
-                hit = scores.get(piece)
-                if hit is None:
-                    continue
-                single |= j == i + 1
-                self._offer(best, back, base, i, j, here + hit[0], hit[1])
-            if not single:
-                self._offer(best, back, base, i, i + 1, here + v.least, -1)
+            here, node, j = best[i - base], trie, i
+            while j < n and (hit := node.get(text[j])) is not None:
+                j += 1
+                node, score, piece = hit
+                if score is not None:
+                    self._offer(best, back, base, i, j, here + score, piece)
+            if trie.get(text[i], (None, None))[1] is None:
+                self._offer(best, back, base, i, i + 1, here + least, -1)
             if (i + 1 - base) % check == 0:
                 base, best, back = self._commit(text, base, best, back, i + 1)
         self.widest = max(self.widest, len(best))
@@ -211,7 +221,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        encoder, decoder = shared.value.encoder, shared.value.decoder
         for batch in batches:
             for start, part in texts(batch.column(1)):
                 coded = [encoder.encode(t.decode("utf-8", "replace")) for t in part]
