@@ -112,14 +112,14 @@ def apportion(df: DataFrame, weight: str, units: int, keys: list[str], method: s
         left = F.lit(units) - F.sum("floor_").over(group)
         place = F.row_number().over(group.orderBy(F.desc("rest_"), *keys))
         return base.withColumn("seats", (F.col("floor_") + F.when(place <= left, 1).otherwise(0)).cast("long")).drop("floor_", "rest_")
-    k = F.col("k").cast("double")
+    k = F.col("seat_").cast("double")
     divisor = {"jefferson": k + 1, "webster": k + 0.5, "adams": k, "huntington": F.sqrt(k * (k + 1))}[method]
     free = 1 if method in ("adams", "huntington") else 0
     n = F.count("*").over(group)
     most = F.least(F.lit(units), (F.ceil(quota * 1.5) + n).cast("int"))
     left = F.lit(units) - free * F.col("rows_")
-    asked = df.withColumn("rows_", n).withColumn("most_", most).withColumn("k", F.explode(F.sequence(F.lit(free), F.col("most_")))).withColumn("claim", F.col(weight) / divisor)
-    chosen = asked.withColumn("place_", F.row_number().over(group.orderBy(F.desc("claim"), *keys, "k"))).withColumn("left_", left)
+    asked = df.withColumn("rows_", n).withColumn("most_", most).withColumn("seat_", F.explode(F.sequence(F.lit(free), F.col("most_")))).withColumn("claim", F.col(weight) / divisor)
+    chosen = asked.withColumn("place_", F.row_number().over(group.orderBy(F.desc("claim"), *keys, "seat_"))).withColumn("left_", left)
     won = chosen.groupBy(*by, *keys).agg(F.first(weight).alias(weight), (F.sum(F.when(F.col("place_") <= F.col("left_"), 1).otherwise(0)) + free).cast("long").alias("seats"))
     return won
 
