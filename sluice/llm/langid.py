@@ -39,7 +39,8 @@ def grams(text: bytes, seen: np.ndarray) -> np.ndarray:
     """
     points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
     points = np.where(points < 0x3000, _FOLD[np.minimum(points, 0x2FFF)], points)
-    points = np.concatenate([[0], points[(points != 0) | np.r_[True, points[:-1] != 0]] if len(points) else points, [0]]).astype(np.uint32)
+    points = np.concatenate([[0], points, [0]]).astype(np.uint32)
+    points = points[(points != 0) | np.r_[True, points[:-1] != 0]]
     one = points * np.uint32(0x9E3779B1)
     two = (one[:-1] ^ (points[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
     three = (two[:-1] ^ (points[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)
