@@ -21,7 +21,7 @@ def test_netpbm_kinds():
 
 
 def bmp(rows, bits, palette=b""):
-    stride = (len(rows[0]) * bits // 8 + 3) // 4 * 4 if bits >= 8 else 4
+    stride = (len(rows[0]) + 3) // 4 * 4
     body = b"".join(r.ljust(stride, b"\0") for r in rows)
     width = len(rows[0]) * 8 // bits
     start = 54 + len(palette)

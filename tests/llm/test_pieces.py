@@ -43,8 +43,10 @@ def test_the_window_stays_bounded():
 
 
 def test_model_without_word_boundaries():
-    v = pieces.Vocabulary({"ab": (-1.0, 0), "a": (-2.0, 1), "b": (-2.0, 2), "b▁a": (-0.5, 3), "▁": (-1.0, 4)}, None, 9, ["ab", "a", "b", "b▁a", "▁"])
-    assert not v.splits and np.frombuffer(pieces.Encoder(v).encode("ab ab?"), np.int32).tolist() == [4, 1, 3, 2, 9]
+    # Divided at the space the text scores -4; across it -3 plus the score of the piece that holds it.
+    for across, want in ((-1.5, [4, 0, 4, 0, 9]), (-0.5, [4, 1, 3, 2, 9])):
+        v = pieces.Vocabulary({"ab": (-1.0, 0), "a": (-1.0, 1), "b": (-1.0, 2), "b▁a": (across, 3), "▁": (-1.0, 4)}, None, 9, ["ab", "a", "b", "b▁a", "▁"])
+        assert not v.splits and np.frombuffer(pieces.Encoder(v).encode("ab ab?"), np.int32).tolist() == want
 
 
 def test_awkward_texts_round_trip(awkward, nothing):
