@@ -40,7 +40,13 @@ def csv_clean_customers(spark, sf_dir):
 _BOOLS = "(VALUES ('yes'), ('True'), ('0'), ('off'), ('TRUE'), ('maybe'), ('t')) AS v(t)"
 
 
-@query(f"SELECT t, t IN ('y','Y','yes','Yes','YES','true','True','TRUE','on','On','ON') OR CASE WHEN t IN ('n','N','no','No','NO','false','False','FALSE','off','Off','OFF') THEN false END AS yaml11, CASE WHEN t IN ('true','True','TRUE') THEN true END AS yaml12, CASE WHEN t IN ('1','t','T','TRUE','true','True') THEN true WHEN t = '0' THEN false END AS go, lower(t) = 'true' AS java FROM {_BOOLS}".replace("t IN ('y','Y','yes','Yes','YES','true','True','TRUE','on','On','ON') OR CASE WHEN", "CASE WHEN t IN ('y','Y','yes','Yes','YES','true','True','TRUE','on','On','ON') THEN true WHEN"))
+@query(
+    "SELECT t, CASE WHEN t IN ('y','Y','yes','Yes','YES','true','True','TRUE','on','On','ON') THEN true "
+    "WHEN t IN ('n','N','no','No','NO','false','False','FALSE','off','Off','OFF') THEN false END AS yaml11, "
+    "CASE WHEN t IN ('true','True','TRUE') THEN true END AS yaml12, "
+    "CASE WHEN t IN ('1','t','T','TRUE','true','True') THEN true WHEN t = '0' THEN false END AS go, "
+    f"lower(t) = 'true' AS java FROM {_BOOLS}"
+)
 def boolean_readers(spark, sf_dir):
     rows = spark.createDataFrame([(t,) for t in ("yes", "True", "0", "off", "TRUE", "maybe", "t")], "t string")
     return rows.select("t", *[P.read_boolean(F.col("t"), r).alias(r) for r in ("yaml11", "yaml12", "go", "java")])

@@ -25,12 +25,12 @@ def duck():
 def plain(value):
     if value is None or value is pd.NaT or value is pd.NA or isinstance(value, float) and math.isnan(value):
         return None
-    if isinstance(value, (bool, str, bytes)):
-        return value
     if hasattr(value, "isoformat"):
         return str(pd.Timestamp(value))
     if hasattr(value, "tolist"):
         value = value.tolist()
+    if isinstance(value, (bool, str, bytes)):
+        return value
     if isinstance(value, (list, tuple)):
         return tuple(map(plain, value))
     return round(float(value), 5)
