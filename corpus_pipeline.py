@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.core.session import shared_dir, table
-from sluice.llm import langid, mixing, pieces, simhash, toxicity
+from sluice.llm import langid, mixing, pieces, shingles, simhash, toxicity
 from sluice.llm.common import fold
 from sluice.llm.registry import PIECES
 
@@ -40,8 +40,16 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each near-duplicate component."""
-    return simhash.keep_one(docs)
+    """Keep the document of the smallest id of each near-duplicate component, once each.
+
+    Links are fingerprints of three bits or fewer apart, as ``op9_simhash`` finds them, and five-word
+    shingle sets of similarity 0.8 or more, which fingerprints that close seldom meet. Rows without
+    an id can't be named by a component; they stay as they are.
+    """
+    named = docs.where("doc_id is not null")
+    found = shingles.merged(simhash.near_duplicates(named), shingles.components(named))
+    kept = _keep(named, found.where("doc_id = component_id")).dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
