@@ -1,6 +1,11 @@
-"""SentencePiece encoding and decoding by streaming Viterbi.
+"""SentencePiece encoding and decoding: streaming Viterbi for unigram models, merges for BPE models.
 
-The pieces of a model with their scores span a lattice over the text; its best path is the encoding.
+Scores of a BPE model are ranks of merges, not log probabilities, and the path of the largest sum is
+not that model's encoding. There the neighbours whose joint piece ranks first are merged, the left
+ones first among equals, until no neighbours make a piece. Nothing merges across two characters that
+are neighbours in no piece, so a text is committed run by run between such places.
+
+In a unigram model the pieces of a model with their scores span a lattice over the text; its best path is the encoding.
 The search keeps a window: a place can only be reached from the last ``longest`` characters, and as
 soon as the backpointer paths of all places that can still be extended run through one boundary, the
 ids up to it are committed and forgotten. Where no piece has the space sign behind another character
@@ -10,6 +15,7 @@ no piece covers become bytes, where the model has them, or the unknown id.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,6 +33,8 @@ SPACE = "▁"
 MEMORY = 600_000
 #: Score of a character that no piece covers, below the least score.
 UNKNOWN_PENALTY = 10.0
+#: Words up to this length are merged by looking at all neighbours, longer ones by a heap.
+SHORT = 24
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -38,6 +46,7 @@ class Vocabulary:
     bytes_at: list[int] | None
     unknown: int
     names: list[str]
+    bpe: bool = False
 
     def __post_init__(self):
         self.longest = max(map(len, self.scores), default=1)
@@ -56,10 +65,15 @@ class Vocabulary:
             at[piece[-1]] = (at.get(piece[-1], ({},))[0], *self.scores[piece])
         return root
 
+    @cached_property
+    def neighbours(self) -> set[str]:
+        """Two characters at a time, all that stand together in a piece."""
+        return {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+
     @cached_property
     def encoder(self) -> Encoder:
         """One encoder, with its memory of words, for all tasks of a worker."""
-        return Encoder(self)
+        return MergeEncoder(self) if self.bpe else Encoder(self)
 
     @cached_property
     def decoder(self) -> Decoder:
@@ -69,13 +83,18 @@ class Vocabulary:
 def load(path: str) -> Vocabulary:
     """Read a SentencePiece model file on the driver; its piece list is what tasks receive."""
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
 
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as file:
+        proto.ParseFromString(file.read())
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     every = range(model.get_piece_size())
     names = [model.id_to_piece(i) for i in every]
     plain = {names[i]: (model.get_score(i), i) for i in every if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
     octets = [i for i in every if model.is_byte(i)]
-    return Vocabulary(plain, octets if len(octets) == 256 else None, model.unk_id(), names)
+    bpe = proto.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE
+    return Vocabulary(plain, octets if len(octets) == 256 else None, model.unk_id(), names, bpe)
 
 
 @dataclass
@@ -165,6 +184,70 @@ class Window:
                 self.ids += [self.vocabulary.bytes_at[b] for b in text[start:stop].encode("utf-8", "surrogatepass")]
 
 
+def _merge_few(parts: list[str], scores: dict[str, tuple[float, int]]) -> list[str]:
+    """Merges of a short run of characters."""
+    found = [scores.get(a + b) for a, b in zip(parts, parts[1:])]
+    while True:
+        best, at = -np.inf, -1
+        for i, hit in enumerate(found):
+            if hit is not None and hit[0] > best:
+                best, at = hit[0], i
+        if at < 0:
+            return parts
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del found[at]
+        if at < len(found):
+            found[at] = scores.get(parts[at] + parts[at + 1])
+        if at:
+            found[at - 1] = scores.get(parts[at - 1] + parts[at])
+
+
+def _merge_many(parts: list[str], scores: dict[str, tuple[float, int]]) -> list[str]:
+    """Merges of a long run: candidates on a heap, those whose parts have changed are passed over."""
+    n = len(parts)
+    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+    heap: list[tuple[float, int, int, str]] = []
+
+    def offer(i: int, j: int) -> None:
+        if i >= 0 and j >= 0:
+            piece = parts[i] + parts[j]
+            if (hit := scores.get(piece)) is not None:
+                heapq.heappush(heap, (-hit[0], i, j, piece))
+
+    for i in range(n - 1):
+        offer(i, i + 1)
+    while heap:
+        _, i, j, piece = heapq.heappop(heap)
+        if not parts[i] or not parts[j] or len(parts[i]) + len(parts[j]) != len(piece):
+            continue
+        parts[i], parts[j] = piece, ""
+        after[i] = after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        offer(before[i], i)
+        offer(i, after[i])
+    return [p for p in parts if p]
+
+
+def merge(text: str, vocabulary: Vocabulary) -> list[int]:
+    """Ids of a text by the merges of a BPE model; ``text`` has its space signs."""
+    scores, known, ids, start = vocabulary.scores, vocabulary.neighbours, [], 0
+    for end in range(1, len(text) + 1):
+        if end < len(text) and text[end - 1 : end + 1] in known:
+            continue
+        run = list(text[start:end])
+        for piece in _merge_few(run, scores) if end - start <= SHORT else _merge_many(run, scores):
+            hit = scores.get(piece)
+            if hit is not None:
+                ids.append(hit[1])
+            elif vocabulary.bytes_at is None:
+                ids.append(vocabulary.unknown)
+            else:
+                ids += [vocabulary.bytes_at[b] for b in piece.encode("utf-8", "surrogatepass")]
+        start = end
+    return ids
+
+
 class Encoder:
     """Whole texts to id arrays (int32 bytes), remembering words where the model lets it."""
 
@@ -177,15 +260,25 @@ class Encoder:
             return b""
         text = SPACE + text.replace(" ", SPACE)
         if not self.vocabulary.splits:
-            return np.array(Window(self.vocabulary).run(text), np.int32).tobytes()
+            return self._coded(text)
         words = _WORDS.findall(text)
         memory = self.memory
         if len(memory) > MEMORY:
             memory.clear()
         for word in set(words).difference(memory):
-            memory[word] = np.array(Window(self.vocabulary).run(word), np.int32).tobytes()
+            memory[word] = self._coded(word)
         return b"".join(map(memory.__getitem__, words))
 
+    def _coded(self, text: str) -> bytes:
+        return np.array(Window(self.vocabulary).run(text), np.int32).tobytes()
+
+
+class MergeEncoder(Encoder):
+    """As ``Encoder`` for BPE models."""
+
+    def _coded(self, text: str) -> bytes:
+        return np.array(merge(text, self.vocabulary), np.int32).tobytes()
+
 
 def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:
     """Ids back to text: bytes are joined, space signs become spaces, the added first one goes."""
