@@ -22,7 +22,7 @@ LIMIT = 2
 #: Rates are rounded to this many parts so that running sums are exact integers.
 PARTS = 1_000_000
 #: Documents of one source and size that are ranked together; more are dealt over several ranks.
-GROUP = 4096
+GROUP = 1024
 
 
 def words_in(text: Column) -> Column:
@@ -110,15 +110,18 @@ def multipliers(table: DataFrame, targets: DataFrame, limit: int = LIMIT, rounds
     return state.select("source", "source_size", "target", "mean", F.round("at", 10).alias("multiplier"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
-    """``doc_id, size, source_size, target, copies, rate, taken`` for every document.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, limit: int = LIMIT, carry: Column | None = None) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, copies, rate`` for every document.
 
     ``taken`` is copies times size. Documents without words take part with no words. Repeated rows
-    are documents of their own. The choice among documents of equal source and size goes by a hash
-    of the id, so reruns agree. An empty table gives an empty result.
+    and rows that share an id or have none are documents of their own. The choice among documents
+    of equal source and size goes by a hash of id and text, so reruns agree. ``carry`` is a column
+    of the document that the result has as ``carried``. An empty table gives an empty result.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
-    sized = cut(sized.withColumn("deal", F.abs(F.hash(F.xxhash64("doc_id")) % 1_048_576)))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), F.abs(F.hash(F.xxhash64(id_col, text_col)) % 1_048_576).alias("deal"), *([] if carry is None else [carry.alias("carried")]))
+    more = [] if carry is None else ["carried"]
+    if carry is None:
+        sized = cut(sized)
     table = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     targets = cut(source_targets(table.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, limit))
     tilted = multipliers(table.where("size > 0"), targets, limit).alias("m")
@@ -135,7 +138,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = F.col("deal") % F.col("deals")
     keyed = sized.alias("d").join(
         rated.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.size") == F.col("r.size"))
-    ).select("doc_id", "d.source", "d.size", "source_size", "target", "rate", "parts", "deal", F.when(F.col("deals") > 1, dealt).otherwise(0).alias("part"))
+    ).select("doc_id", "d.source", "d.size", "source_size", "target", "rate", "parts", "deal", F.when(F.col("deals") > 1, dealt).otherwise(0).alias("part"), *more)
     # Only groups that are dealt over several ranks need their parts counted.
     parts = keyed.groupBy("source", "size", "part", "parts").agg(F.count("*").alias("m"))
     before = Window.partitionBy("source").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -147,15 +150,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .join(offsets.alias("o"), F.col("k.source").eqNullSafe(F.col("o.source")) & (F.col("k.size") == F.col("o.size")) & (F.col("k.part") == F.col("o.part")))
         .withColumn("at", rank)
         .withColumn("extra", F.col("parts") % PARTS)
-        .select("doc_id", F.col("k.size").alias("size"), "source_size", "target", "rate", (F.expr(f"parts div {PARTS}") + F.floor(end / PARTS) - F.floor((end - F.col("extra")) / PARTS)).cast("long").alias("copies"))
+        .select("doc_id", F.col("k.size").alias("size"), "source_size", "target", "rate", (F.expr(f"parts div {PARTS}") + F.floor(end / PARTS) - F.floor((end - F.col("extra")) / PARTS)).cast("long").alias("copies"), *more)
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+        .select("doc_id", "size", "source_size", "target", "taken", "copies", "rate", *more)
     )
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents in the mix, each row as often as it is taken; rows without an id stay once."""
-    copies = mix(docs.where(F.col(id_col).isNotNull()), id_col, **options).groupBy("doc_id").agg(F.max("copies").alias("copies_taken"))
-    taken = docs.join(copies.withColumnRenamed("doc_id", id_col), id_col)
-    rows = taken.where("copies_taken > 0").withColumn("copies_taken", F.explode(F.sequence(F.lit(1), F.col("copies_taken").cast("int"))))
-    return rows.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """The documents in the mix, each row as often as it is taken, with the columns of ``docs``.
+
+    Every row is taken for itself: rows that share an id, and rows without one, have copies of their own.
+    """
+    taken = mix(docs, id_col, carry=F.struct(*docs.columns), **options).where("copies > 0")
+    return taken.select("carried", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("carried.*")

@@ -3,10 +3,11 @@
 Every distinct shingle set has a MinHash sketch cut into bands, and sets that agree in a band are
 candidates. At a similarity of 0.8 a pair shares none of the 24 bands of five rows with a
 probability of 0.00007. Each candidate is verified on the shingles themselves. A bucket first links
-its members to its smallest one; only where verified links leave it in several components are the
-pairs between those compared too, so every pair of a bucket is joined or was compared. A bucket
-whose members are alike to its smallest costs as many comparisons as it has members; one of many that
-are alike in the band only costs up to the square of that.
+its members to its smallest one. Only where verified links leave it in several components does it
+come together once more, in blocks of bounded size: members outside the block's largest component
+are compared with all of other components, but for those that the number of shingles a set shares
+with nothing else in the block rules out. Links alone leave a block, so every pair of a bucket is
+joined, was compared or cannot be alike, and no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BANDS = 24
 ROWS = 5
 #: Shingles that are hashed for all rows at a time.
 CHUNK = 4096
+#: Shingles of the members of a bucket that one block holds; larger buckets are dealt over pairs of parts.
+BLOCK = 2_000_000
 _RNG = np.random.default_rng(SEED)
 _TIMES = (_RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
 _PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None]
@@ -108,9 +111,92 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, word
     return both.select("a", "b", "left", "right").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """``doc_id, component_id`` of every row with an id: the smallest id that links of the similarity reach."""
+def shingle_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``node, n, shingles`` (64-bit hashes, sorted) of the named documents, one row for each id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, part in texts(batch.column(1)):
+                found = [shingles(t, words) for t in part]
+                yield pa.record_batch([batch.column(0).slice(start, len(part)), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "n", "shingles"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    named = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
+    return named.join(nodes, "node", "left_semi").mapInArrow(run, f"node {kind}, n long, shingles binary").dropDuplicates(["node"])
+
+
+def _block_links(labels: list, parts: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links between members of a block whose labels differ, at least a forest of them."""
+    kinds: dict = {}
+    label = np.array([kinds.setdefault(x, len(kinds)) for x in labels])
+    if len(kinds) < 2:
+        return []
+    crossing = parts.min() != parts.max()
+    size = np.array([len(x) for x in sets])
+    start = np.r_[0, np.cumsum(size)[:-1]]
+    _, flat, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.add.reduceat((count[flat] > 1).astype(np.int64), start)
+    found: list[tuple[int, int]] = []
+    strays = np.flatnonzero(label != np.bincount(label).argmax())
+    waiting = np.zeros(len(sets), bool)
+    waiting[strays] = True
+    here = np.zeros(len(count), bool)
+    for x in strays.tolist():
+        waiting[x] = False
+        # No overlap is larger than what either set shares with anything here.
+        most = np.minimum(shared, shared[x])
+        open_ = (label != label[x]) & ~waiting & (most / (size + size[x] - most) >= least)
+        if crossing:
+            open_ &= parts != parts[x]
+        if not open_.any():
+            continue
+        here[flat[start[x] : start[x] + size[x]]] = True
+        both = np.add.reduceat(here[flat], start, dtype=np.int64)
+        here[flat[start[x] : start[x] + size[x]]] = False
+        for y in np.flatnonzero(open_ & (both / (size + size[x] - both) >= least)).tolist():
+            if label[x] != label[y]:
+                found.append((x, y))
+                label[label == label[y]] = label[x]
+    return found
+
+
+def block_links(blocks: DataFrame, kind: str, least: float) -> DataFrame:
+    """Links ``a, b`` within blocks ``band, value, block``; each row has its ``part, node, component, shingles``."""
+
+    def links(rows: list) -> pa.RecordBatch:
+        nodes = [r[2] for r in rows]
+        found = _block_links([r[3] for r in rows], np.array([r[1] for r in rows]), [np.frombuffer(r[4], np.uint64) for r in rows], least)
+        return pa.record_batch([pa.array([nodes[k[i]] for k in found], node_type[0]) for i in (0, 1)], ["a", "b"])
+
+    node_type: list[pa.DataType] = [pa.null()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for batch in batches:
+            node_type[0] = batch.schema.field(2).type
+            keys = batch.column(0).to_pylist()
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
+                if keys[k] != at and rows:
+                    yield links(rows)
+                    rows = []
+                at = keys[k]
+                rows.append(row)
+        if rows:
+            yield links(rows)
+
+    key = F.xxhash64("band", "value", "block").alias("key")
+    dealt = blocks.select(key, "part", "node", "component", "shingles").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+    """``doc_id, component_id`` of every row with an id: the smallest id that links of the similarity reach.
+
+    An id stands for one text: rows that share an id need the same text. Null texts are empty, and
+    texts without words are alike.
+    """
     docs = docs.where(F.col(id_col).isNotNull())
+    kind = docs.schema[id_col].dataType.simpleString()
     made = cut(sketches(docs, id_col, text_col, words))
     sets = made.groupBy("whole").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     buckets = sets.select("node", F.posexplode("bands").alias("band", "value"))
@@ -120,21 +206,25 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = connected_components(first, "a", "b")
     members = stars.select("band", "value", F.col("b").alias("node")).union(stars.select("band", "value", "a").distinct())
     members = members.join(linked, "node", "left").select("band", "value", "node", F.coalesce("component", "node").alias("component"))
-    # A star whose members all were compared with its smallest one is done when it has that one and one other.
-    open_ = members.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    apart = cut(members.join(open_.where("low <> high and n > 2").select("band", "value"), ["band", "value"]))
-    pairs = apart.select("band", "value", F.col("node").alias("a"), F.col("component").alias("ca")).join(
-        apart.select("band", "value", F.col("node").alias("b"), F.col("component").alias("cb")), ["band", "value"]
-    )
-    pairs = pairs.where("a < b and ca <> cb").select("a", "b").distinct().join(stars.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    linked = connected_components(first.union(verified(pairs, docs, id_col, text_col, words, least)), "a", "b")
+    # A bucket of two was compared as a star; one of a single component needs no more links.
+    open_ = members.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+    apart = cut(members.join(open_.where("low <> high and members > 2").select("band", "value"), ["band", "value"]))
+    whole = cut(shingle_sets(apart.select("node").distinct(), docs, id_col, text_col, words))
+    rows = apart.join(whole, "node")
+    parts = apart.join(whole.select("node", "n"), "node").groupBy("band", "value").agg(F.expr(f"1 + sum(n) div {block}").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    dealt = rows.join(parts, ["band", "value"]).select("band", "value", "node", "component", "shingles", "parts", part.alias("part"), other)
+    # Every two parts meet in one block; with one part the block is the bucket.
+    dealt = dealt.withColumn("block", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
+    linked = connected_components(first.union(block_links(dealt, kind, least)), "a", "b")
     known = sets.select("whole", "node").join(linked, "node", "left").select("whole", F.coalesce("component", "node").alias("component_id"))
     return made.select("doc_id", "whole").join(known, "whole").select("doc_id", "component_id")
 
 
 def merged(one: DataFrame, other: DataFrame) -> DataFrame:
     """``doc_id, component_id`` of the components that two partitions of the same ids give together."""
-    both = one.select("doc_id", F.col("component_id").alias("a")).join(other.select("doc_id", F.col("component_id").alias("b")), "doc_id")
-    both = cut(both.distinct())
+    left = one.select("doc_id", F.col("component_id").alias("a")).distinct()
+    both = cut(left.join(other.select("doc_id", F.col("component_id").alias("b")).distinct(), "doc_id"))
     linked = connected_components(both.select("a", "b").distinct(), "a", "b")
     return both.join(linked.withColumnRenamed("node", "a"), "a", "left").select("doc_id", F.coalesce("component", "a").alias("component_id"))

@@ -158,11 +158,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``key, text, row`` of every row: the key orders rows by id, null ids last, and tells rows of one id and
+    different texts apart."""
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    return docs.select(key.alias("key"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+
+
+def firsts(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key is their component's id in ``found``, each key once."""
+    kept = keyed.join(found.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct(), "key", "left_semi")
+    return kept.groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3) -> DataFrame:
-    """The documents that are the smallest id of their near-duplicate component, once each.
+    """One row of each near-duplicate component, that of the smallest id.
 
-    Rows without an id can't be named by a component; they stay as they are.
+    Rows are told apart by id and text: rows that share an id but no text are judged on their own,
+    rows without an id take part and stay only where no row of the component has one. Of rows
+    alike in id and text one stays.
     """
-    kept = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, most).where("doc_id = component_id")
-    named = docs.join(kept.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    keyed = row_keys(docs, id_col, text_col)
+    return firsts(keyed, near_duplicates(keyed, "key", "text", words, most))

@@ -72,6 +72,35 @@ def test_members_of_a_bucket_that_are_alike_but_not_to_its_smallest(spark, monke
     assert dict(shingles.components(docs).collect()) == {1: 1, 2: 2, 3: 2, 4: 4}
 
 
+def test_blocks_of_a_large_bucket(spark, edited):
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in edited], SCHEMA)
+    want = by_brute_force([(i, t or "") for i, t in edited])
+    assert dict(shingles.components(docs, block=500).collect()) == want
+
+
+def test_links_of_a_block_against_all_pairs():
+    import numpy as np
+
+    rng = random.Random(8)
+    for _ in range(60):
+        base = [rng.getrandbits(40) for _ in range(60)]
+        sets = []
+        for _ in range(25):
+            own = [rng.getrandbits(40) if rng.random() < rng.choice((0.02, 0.1, 0.3)) else x for x in rng.choice([base, list(sets[-1]) if sets else base])]
+            sets.append(np.unique(np.array(own, np.uint64)))
+        labels = [rng.randrange(6) for _ in sets]
+        group = list(labels)
+        for x, y in shingles._block_links(labels, np.zeros(len(sets), int), sets, 0.8):
+            assert shingles.jaccard(sets[x], sets[y]) >= 0.8
+            group = [group[x] if g == group[y] else g for g in group]
+        want = list(labels)
+        for x in range(len(sets)):
+            for y in range(x):
+                if want[x] != want[y] and shingles.jaccard(sets[x], sets[y]) >= 0.8:
+                    want = [want[x] if g == want[y] else g for g in want]
+        assert len(set(group)) == len(set(want)) and len(set(zip(group, want))) == len(set(want))
+
+
 def test_awkward_rows(spark, awkward, nothing):
     out = dict(shingles.components(awkward).distinct().collect())
     assert out == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 7: 7, 8: 1}
