@@ -22,38 +22,40 @@ from sluice.llm.registry import PIECES
 LEAST_LANGUAGE = 0.3
 
 
-def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Rows whose id has a kept verdict; copies of one row share its verdict."""
-    return docs.join(verdict.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+def _rows(docs: DataFrame) -> DataFrame:
+    """``row, text``: whole rows stand in for ids, so that verdicts hold for rows and not for ids."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "text")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those that no learned language fits."""
-    found = langid.identify(docs)
-    return _keep(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)))
+    model = langid.train(docs.where(fold(F.col("doc_id"), 5) != 0))
+    found = langid.predict(_rows(docs), model, "row")
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select("doc_id.*")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents predicted toxic; labels of the held-out fold are not learned from."""
-    found = toxicity.detect(docs, table(spark, sf_dir, "labels"))
-    return _keep(docs, found.where("predicted = 0"))
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(fold(F.col("doc_id"), 4) != 2), docs)
+    return toxicity.score(_rows(docs), model, "row").where("predicted = 0").select("doc_id.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each near-duplicate component, once each.
+    """Keep one document of each near-duplicate component, that of the smallest id.
 
     Links are fingerprints of three bits or fewer apart, as ``op9_simhash`` finds them, and five-word
-    shingle sets of similarity 0.8 or more, which fingerprints that close seldom meet. Rows without
-    an id can't be named by a component; they stay as they are.
+    shingle sets of similarity 0.8 or more, which fingerprints that close seldom meet. Rows that
+    share an id but no text are judged on their own; rows without an id stay only where no row of
+    their component has one; of rows alike in id and text one stays.
     """
-    named = docs.where("doc_id is not null")
-    found = shingles.merged(simhash.near_duplicates(named), shingles.components(named))
-    kept = _keep(named, found.where("doc_id = component_id")).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    keyed = simhash.row_keys(docs)
+    found = shingles.merged(simhash.near_duplicates(keyed, "key"), shingles.components(keyed, "key"))
+    return simhash.firsts(keyed, found)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that the sources meet their target weights."""
+    """Repeat or leave out documents so that the sources meet their target weights, row by row."""
     return mixing.mixed(docs)
 
 
