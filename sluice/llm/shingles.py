@@ -125,11 +125,10 @@ def shingle_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     return named.join(nodes, "node", "left_semi").mapInArrow(run, f"node {kind}, n long, shingles binary").dropDuplicates(["node"])
 
 
-def _block_links(labels: list, parts: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+def _block_links(labels: list[int], parts: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Links between members of a block whose labels differ, at least a forest of them."""
-    kinds: dict = {}
-    label = np.array([kinds.setdefault(x, len(kinds)) for x in labels])
-    if len(kinds) < 2:
+    _, label = np.unique(labels, return_inverse=True)
+    if not label.any():
         return []
     crossing = parts.min() != parts.max()
     size = np.array([len(x) for x in sets])
@@ -185,7 +184,7 @@ def block_links(blocks: DataFrame, kind: str, least: float) -> DataFrame:
             yield links(rows)
 
     key = F.xxhash64("band", "value", "block").alias("key")
-    dealt = blocks.select(key, "part", "node", "component", "shingles").repartition("key").sortWithinPartitions("key", "node")
+    dealt = blocks.select(key, "part", "node", F.xxhash64("component").alias("label"), "shingles").repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 

@@ -112,3 +112,10 @@ def test_stage_leaves_no_pair_of_the_table(spark):
     kept = [(r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, "").collect()]
     assert by_brute_force(kept) == {i: i for i, _ in kept}
     assert len(kept) < simhash.keep_one(docs).count()
+
+
+def test_struct_keys_in_open_buckets(spark, edited):
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in edited], SCHEMA)
+    want = by_brute_force([(i, t or "") for i, t in edited])
+    found = shingles.components(simhash.row_keys(docs), "key").collect()
+    assert {r["doc_id"]["id"]: r["component_id"]["id"] for r in found} == want
