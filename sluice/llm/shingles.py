@@ -87,8 +87,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, whole long, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
-    """The pairs ``a, b`` of ids whose texts have the similarity."""
+def verified(pairs: DataFrame, named: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs ``a, b`` whose texts in ``named`` (``node, text``) have the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,16 +103,15 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, word
             mask = pa.array(keep)
             yield pa.record_batch([batch.column(k).filter(mask) for k in (0, 1)], ["a", "b"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    named = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
+    kind = named.schema["node"].dataType.simpleString()
     both = pairs.join(named.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").join(
         named.select(F.col("node").alias("a"), F.col("text").alias("left")), "a"
     )
     return both.select("a", "b", "left", "right").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def shingle_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``node, n, shingles`` (64-bit hashes, sorted) of the named documents, one row for each id."""
+def shingle_sets(named: DataFrame, words: int) -> DataFrame:
+    """``node, n, shingles`` (64-bit hashes, sorted) of ``node, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,9 +119,7 @@ def shingle_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
                 found = [shingles(t, words) for t in part]
                 yield pa.record_batch([batch.column(0).slice(start, len(part)), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "n", "shingles"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    named = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
-    return named.join(nodes, "node", "left_semi").mapInArrow(run, f"node {kind}, n long, shingles binary").dropDuplicates(["node"])
+    return named.select("node", "text").mapInArrow(run, f"node {named.schema['node'].dataType.simpleString()}, n long, shingles binary")
 
 
 def _block_links(labels: list[int], parts: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -159,33 +156,28 @@ def _block_links(labels: list[int], parts: np.ndarray, sets: list[np.ndarray], l
     return found
 
 
-def block_links(blocks: DataFrame, kind: str, least: float) -> DataFrame:
-    """Links ``a, b`` within blocks ``band, value, block``; each row has its ``part, node, component, shingles``."""
+def block_links(blocks: DataFrame, least: float) -> DataFrame:
+    """Links ``a, b`` within blocks ``value, block``; each row has its ``part, node, component, shingles``."""
 
     def links(rows: list) -> pa.RecordBatch:
-        nodes = [r[2] for r in rows]
-        found = _block_links([r[3] for r in rows], np.array([r[1] for r in rows]), [np.frombuffer(r[4], np.uint64) for r in rows], least)
-        return pa.record_batch([pa.array([nodes[k[i]] for k in found], node_type[0]) for i in (0, 1)], ["a", "b"])
-
-    node_type: list[pa.DataType] = [pa.null()]
+        nodes = np.array([r[2] for r in rows], np.int64)
+        found = np.array(_block_links([r[3] for r in rows], np.array([r[1] for r in rows]), [np.frombuffer(r[4], np.uint64) for r in rows], least), np.int64).reshape(-1, 2)
+        return pa.record_batch([pa.array(nodes[found[:, k]]) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
         for batch in batches:
-            node_type[0] = batch.schema.field(2).type
-            keys = batch.column(0).to_pylist()
-            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
-                if keys[k] != at and rows:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                if row[0] != at and rows:
                     yield links(rows)
                     rows = []
-                at = keys[k]
+                at = row[0]
                 rows.append(row)
         if rows:
             yield links(rows)
 
-    key = F.xxhash64("band", "value", "block").alias("key")
-    dealt = blocks.select(key, "part", "node", F.xxhash64("component").alias("label"), "shingles").repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    dealt = blocks.select(F.xxhash64("value", "block").alias("key"), "part", "node", "component", "shingles")
+    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST, block: int = BLOCK) -> DataFrame:
@@ -195,30 +187,35 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts without words are alike.
     """
     docs = docs.where(F.col(id_col).isNotNull())
-    kind = docs.schema[id_col].dataType.simpleString()
     made = cut(sketches(docs, id_col, text_col, words))
-    sets = made.groupBy("whole").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-    buckets = sets.select("node", F.posexplode("bands").alias("band", "value"))
-    shared = buckets.groupBy("band", "value").agg(F.min("node").alias("a")).join(buckets, ["band", "value"]).where("a <> node")
-    stars = cut(shared.select("band", "value", "a", F.col("node").alias("b")))
-    first = cut(verified(stars.select("a", "b").distinct(), docs, id_col, text_col, words, least))
+    # Sets are known by their hash; the smallest id with a set stands for its text.
+    sets = made.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    buckets = cut(sets.select(F.col("whole").alias("node"), F.explode("bands").alias("value")))
+    shared = buckets.groupBy("value").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1")
+    stars = cut(buckets.join(shared, "value").where("a <> node").select("value", "a", F.col("node").alias("b")))
+    ends = stars.select(F.col("b").alias("whole")).union(stars.select(F.col("a").alias("whole"))).distinct()
+    firsts = made.join(ends, "whole", "left_semi").groupBy("whole").agg(F.min("doc_id").alias("first_id"))
+    named = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(firsts, "first_id")
+    named = cut(named.select(F.col("whole").alias("node"), "text").dropDuplicates(["node"]))
+    first = cut(verified(stars.select("a", "b").distinct(), named, words, least))
     linked = connected_components(first, "a", "b")
-    members = stars.select("band", "value", F.col("b").alias("node")).union(stars.select("band", "value", "a").distinct())
-    members = members.join(linked, "node", "left").select("band", "value", "node", F.coalesce("component", "node").alias("component"))
+    members = stars.select("value", F.col("b").alias("node")).union(stars.select("value", "a").distinct())
+    members = members.join(linked, "node", "left").select("value", "node", F.coalesce("component", "node").alias("component"))
     # A bucket of two was compared as a star; one of a single component needs no more links.
-    open_ = members.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
-    apart = cut(members.join(open_.where("low <> high and members > 2").select("band", "value"), ["band", "value"]))
-    whole = cut(shingle_sets(apart.select("node").distinct(), docs, id_col, text_col, words))
-    rows = apart.join(whole, "node")
-    parts = apart.join(whole.select("node", "n"), "node").groupBy("band", "value").agg(F.expr(f"1 + sum(n) div {block}").alias("parts"))
+    open_ = members.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+    apart = cut(members.join(open_.where("low <> high and members > 2").select("value"), "value"))
+    whole = cut(shingle_sets(named.join(apart.select("node").distinct(), "node", "left_semi"), words))
+    parts = apart.join(whole.select("node", "n"), "node").groupBy("value").agg(F.expr(f"1 + sum(n) div {block}").alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    dealt = rows.join(parts, ["band", "value"]).select("band", "value", "node", "component", "shingles", "parts", part.alias("part"), other)
+    dealt = apart.join(parts, "value").select("value", "node", "component", "parts", part.alias("part"), other)
     # Every two parts meet in one block; with one part the block is the bucket.
     dealt = dealt.withColumn("block", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
-    linked = connected_components(first.union(block_links(dealt, kind, least)), "a", "b")
-    known = sets.select("whole", "node").join(linked, "node", "left").select("whole", F.coalesce("component", "node").alias("component_id"))
-    return made.select("doc_id", "whole").join(known, "whole").select("doc_id", "component_id")
+    more = block_links(dealt.join(whole.select("node", "shingles"), "node"), least)
+    linked = connected_components(first.union(more), "a", "b")
+    reach = made.select("doc_id", "whole").join(linked.withColumnRenamed("node", "whole"), "whole", "left").select("doc_id", F.coalesce("component", "whole").alias("component"))
+    smallest = reach.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return reach.join(smallest, "component").select("doc_id", "component_id")
 
 
 def merged(one: DataFrame, other: DataFrame) -> DataFrame:
