@@ -1,12 +1,17 @@
 """Main text by site style trees.
 
 Pages of one host are merged into a tree of styles: a node is a path of tags with their classes and
-ids, and it gathers on how many pages it occurs and how often each content stands there. The
-importance of a node is the entropy of its contents over its pages (1: every page has its own, 0:
-the same everywhere), blended with the entropy of the presentations its children show. Branches of
-low importance are taken out of each page of the host, besides those whose presentation names what
-is never main text: menus, headers and footers of the page, sidebars, notices, adverts, forms,
-scripts, styles and comments.
+ids, and it gathers on how many distinct pages it occurs, how often each content stands there, which
+child styles it shows and how many words it holds. The importance of a node is the entropy of its
+contents over its pages (1: every page has its own, 0: the same everywhere), blended with the entropy
+of the presentations its children show.
+
+The tree decides over every branch, inside and outside of ``article`` and ``main``. A branch of low
+importance is taken out of each page of the host, unless it holds so many of the host's words that it
+can't be furniture. What a page's own markup says is a prior: elements whose tag, role or state means
+menus, footers, sidebars, forms, scripts and the like go; names that suggest furniture, and standing
+outside of a marked article, count against a branch until the tree shows that it is important and
+holds the bulk of the host's words. Hosts of fewer distinct pages than say anything have the prior only.
 """
 
 from __future__ import annotations
@@ -29,9 +34,13 @@ LEAST_PAGES = 4
 LEAST_IMPORTANCE = 0.35
 #: Share of the content's entropy in a node's importance; presentations have the rest.
 CONTENT_SHARE = 0.8
-#: Branches of all hosts up to this size are broadcast; larger tables are joined in salted parts.
-BROADCAST_BYTES = 32 << 20
-SALTS = 64
+#: A branch with this share of its host's words is never of low importance, and overrules names and a
+#: place outside of the marked article if it is important.
+BULK_SHARE = 0.5
+#: So many verdicts on all branches together are broadcast; more are joined to their pages.
+BROADCAST_ROWS = 400_000
+#: Paths that a worker remembers before it starts anew.
+MEMORY = 200_000
 
 # HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,48 +67,82 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+
 _WORD = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 MAIN = frozenset(("article", "main"))
+LOW, BULK = 1, 2
+_MASK = (1 << 63) - 1
 
 
 class Node:
-    """An open element: its style, whether it is noise by presentation, and its place in the path."""
+    """An open element: the hash of its path, whether the prior is for or against it, and the verdict."""
 
-    __slots__ = ("tag", "style", "noise", "path", "main")
+    __slots__ = ("tag", "path", "parent", "skipped", "named", "main", "out", "bulk")
 
-    def __init__(self, tag: str, style: str, noise: bool, path: str, main: bool):
-        self.tag, self.style, self.noise, self.path, self.main = tag, style, noise, path, main
+    def __init__(self, tag: str, path: int, parent: int, skipped: bool, named: bool, main: bool, out: bool, bulk: bool):
+        self.tag, self.path, self.parent, self.skipped, self.named, self.main, self.out, self.bulk = tag, path, parent, skipped, named, main, out, bulk
+
+
+_paths: dict[tuple[int, str], int] = {}
+
+
+def path_hash(parent: int, style: str) -> int:
+    found = _paths.get((parent, style))
+    if found is None:
+        if len(_paths) > MEMORY:
+            _paths.clear()
+        found = _paths[parent, style] = xxhash.xxh64_intdigest(style.encode("utf-8", "replace"), parent) & _MASK
+    return found
 
 
 def _names(value: str) -> set[str]:
     return {w.lower() for w in _WORD.findall(_CAMEL.sub(" ", value))}
 
 
-def _open(tag: str, attributes: str, stack: list[Node]) -> Node:
-    above = stack[-1] if stack else Node("", "", False, "", False)
-    style, noise = tag, tag in SKIPPED
+def _style(tag: str, names: str) -> str:
+    """Tag and names; numbers in them are alike, so that ``post-17`` and ``post-18`` are one style. A body has no names: they are the page's."""
+    return tag if tag in ("html", "body") else ".".join([tag, *sorted({_DIGITS.sub("#", n) for n in names.split()})])
+
+
+def _open(tag: str, attributes: str, above: Node, verdicts: dict[int, int]) -> Node:
+    style, skipped, named = tag, tag in SKIPPED, False
     main = above.main or tag in MAIN
     if attributes.strip():
         found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
         names = html.unescape(f"{found.get('class', '')} {found.get('id', '')}")
         if names.strip():
-            style = f"{tag}.{'.'.join(sorted(names.split()))}"
-            noise = noise or (tag not in ("html", "body", "article", "main") and bool(_names(names) & NOISE_WORDS))
-        noise = noise or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-        noise = noise or bool(re.search(r"display\s*:\s*none", found.get("style", ""), re.I))
-        main = main or found.get("role", "").lower() == "main"
+            style = _style(tag, names)
+            named = tag not in ("html", "body", "article", "main") and bool(_names(names) & NOISE_WORDS)
+        role = found.get("role", "").lower()
+        skipped = skipped or role in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+        skipped = skipped or bool(re.search(r"display\s*:\s*none", found.get("style", ""), re.I))
+        if role == "main":
+            main, style = True, style + "|main"
     # A header inside an article heads the article; one outside heads the page.
-    noise = noise or (tag == "header" and not above.main)
-    return Node(tag, style, above.noise or noise, f"{above.path}/{style}", main)
+    skipped = skipped or (tag == "header" and not above.main)
+    path = path_hash(above.path, style)
+    verdict = verdicts.get(path, 0)
+    out = above.out or skipped or verdict & LOW > 0 or (named and not verdict & BULK)
+    return Node(tag, path, above.path, above.skipped or skipped, named, main, out, above.bulk or verdict & BULK > 0)
 
 
-def walk(page: str) -> Iterator[tuple[str | None, Node | None]]:
-    """Text runs with their element, and ``(None, node)`` wherever a block begins or ends.
+def walk(page: str, root: int = 0, verdicts: dict[int, int] | None = None) -> Iterator[tuple[str | None, Node | None]]:
+    """Text runs with their element, ``("", node)`` where an element begins, and ``(None, None)`` wherever a block begins or ends.
 
     Broken markup is read as browsers do in the main: list items, cells and paragraphs close one
-    another, an end tag without its start is ignored, everything is closed at the end.
+    another, an end tag without its start is ignored, everything is closed at the end. Time and
+    memory are in proportion to the page, however deep its elements are.
     """
-    stack: list[Node] = []
+    verdicts = verdicts or {}
+    bottom = Node("", root, root, False, False, False, False, False)
+    stack: list[Node] = [bottom]
+    standing: dict[str, int] = {}
     at = 0
+
+    def pop() -> str:
+        tag = stack.pop().tag
+        standing[tag] -= 1
+        return tag
+
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -107,14 +150,14 @@ def walk(page: str) -> Iterator[tuple[str | None, Node | None]]:
         if tag is None:
             data = m[0]
             if data[0] != "<" or data == "<":
-                yield html.unescape(data), stack[-1] if stack else None
+                yield html.unescape(data), stack[-1]
             elif data.startswith("<![CDATA["):
-                yield data[9:].removesuffix("]]>"), stack[-1] if stack else None
+                yield data[9:].removesuffix("]]>"), stack[-1]
             continue
         tag = tag.lower()
         if m[1]:
-            if any(n.tag == tag for n in stack):
-                while stack.pop().tag != tag:
+            if standing.get(tag):
+                while pop() != tag:
                     pass
             elif tag == "p":
                 yield None, None
@@ -123,34 +166,36 @@ def walk(page: str) -> Iterator[tuple[str | None, Node | None]]:
             continue
         if tag in BLOCKS:
             yield None, None
-            if tag != "br" and any(n.tag == "p" for n in stack):
-                while stack.pop().tag != "p":
+            if tag != "br" and standing.get("p"):
+                while pop() != "p":
                     pass
-        if tag in CLOSES:
+        if tag in CLOSES and any(standing.get(x) for x in CLOSES[tag][0]):
             same, within = CLOSES[tag]
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in within:
                     break
                 if stack[k].tag in same:
-                    del stack[k:]
+                    while len(stack) > k:
+                        pop()
                     break
         if tag in VOID:
             continue
-        node = _open(tag, m[3], stack)
-        if tag in RAW and tag != "svg" and tag != "math" and tag != "object" and tag != "select":
+        if tag in RAW and tag not in ("svg", "math", "object", "select"):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         if not m[3].endswith("/") or tag in BLOCKS:
+            node = _open(tag, m[3], stack[-1], verdicts)
             stack.append(node)
+            standing[tag] = standing.get(tag, 0) + 1
+            yield "", node
 
 
-def blocks(page: str, low: frozenset[str] = frozenset()) -> list[str]:
-    """The page's kept blocks in order; ``low`` are the host's branches of low importance."""
+def blocks(page: str, root: int = 0, verdicts: dict[int, int] | None = None) -> list[str]:
+    """The page's kept blocks in order under the host's verdicts on its branches."""
     kept: list[tuple[str, bool]] = []
     run: list[str] = []
-    inside = False
-    memory: dict[str, bool] = {}
+    inside = marked = False
 
     def close() -> None:
         nonlocal run
@@ -159,122 +204,152 @@ def blocks(page: str, low: frozenset[str] = frozenset()) -> list[str]:
             kept.append((text, inside))
         run = []
 
-    for data, node in walk(page):
+    for data, node in walk(page, root, verdicts):
         if data is None:
             close()
             inside = False
-            continue
-        if node is not None and node.noise:
-            continue
-        if node is not None and low and not node.main:
-            out = memory.get(node.path)
-            if out is None:
-                out = memory[node.path] = any(node.path == p or node.path.startswith(p + "/") for p in low)
-            if out:
-                continue
-        inside = inside or (node is not None and node.main)
-        run.append(data)
+        elif not data:
+            marked = marked or (node.main and not node.skipped)
+        elif not node.out:
+            inside = inside or node.main or node.bulk
+            run.append(data)
     close()
-    # Where a page marks its article, what stands outside belongs to the site.
-    marked = [t for t, m in kept if m]
-    if not kept and low:
-        # A host of copies of one page: all of it is alike, and none of it is furniture for that.
-        return blocks(page)
-    return marked or [t for t, _ in kept]
+    # Where a page marks its article, standing outside counts against a text, unless it is in the bulk of its host.
+    return [t for t, m in kept if m or not marked] or [t for t, _ in kept]
+
 
+def extract(page: str, root: int = 0, verdicts: dict[int, int] | None = None) -> str:
+    return " ".join(blocks(page, root, verdicts))
 
-def extract(page: str, low: frozenset[str] = frozenset()) -> str:
-    return " ".join(blocks(page, low))
 
+def style_nodes(page: str, root: int = 0) -> dict[int, list]:
+    """``path: [parent, content, shape, words]`` of a page's style paths, the root's words last.
 
-def style_nodes(page: str) -> dict[str, tuple[int, int]]:
-    """Hashes of the content and of the child presentations of every style path of a page."""
-    content: dict[str, list[str]] = {}
-    shape: dict[str, set[str]] = {}
-    for data, node in walk(page):
-        if data is None or node is None or node.noise or node.main or not data.strip():
+    Content is the sum of the hashes of all texts below a path, whatever their order; the shape is
+    that of its distinct child styles and of its own text. Words of an article count for paths
+    inside of it, not for those around it. Branches that the markup rules out are not in it.
+    """
+    found: dict[int, list] = {root: [root, 0, 0, 0]}
+    inner: dict[int, bool] = {root: False}
+    for data, node in walk(page, root):
+        if data is None or node.skipped:
+            continue
+        row = found.get(node.path)
+        if row is None:
+            row = found[node.path] = [node.parent, 0, 0, 0]
+            inner[node.path] = node.main
+        text = _SPACE.sub(" ", data).strip()
+        if text:
+            row[1] += xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+            row[2] |= 1
+            row[3] += text.count(" ") + 1
+    everything = sum(r[3] for r in found.values())
+    # A path comes after its parent, so going backwards every child is whole before it is added.
+    for path in reversed(found):
+        parent, content, shape, words = found[path]
+        above = found[parent] if path != root else None
+        if above is None:
             continue
-        path, child = node.path, ""
-        while path:
-            content.setdefault(path, []).append(data)
-            shape.setdefault(path, set()).add(child)
-            path, _, child = path.rpartition("/")
-    digest = lambda t: xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1
-    return {p: (digest(_SPACE.sub(" ", "".join(c)).strip()), digest("|".join(sorted(shape[p])))) for p, c in content.items()}
+        if content:
+            above[1] += xxhash.xxh64_intdigest((content & (2**64 - 1)).to_bytes(8, "little"), path)
+            above[2] += xxhash.xxh64_intdigest(path.to_bytes(8, "little"), 2) & ~1
+        if inner[path] == inner[parent]:
+            above[3] += words
+    found = {p: [r[0], r[1] & _MASK, r[2] & _MASK, r[3]] for p, r in found.items() if r[1]}
+    if root in found:
+        found[root][3] = everything
+    return found
 
 
 def host_of(url: F.Column) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^/?#]*//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def low_branches(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, low``: the paths of each host's branches of low importance, topmost ones only.
+def root_of(url: F.Column) -> F.Column:
+    """The root of a host's tree: a hash of its name."""
+    return F.xxhash64(host_of(url)).bitwiseAND(_MASK)
 
-    Contents are counted per host, path and content with map-side sums before entropies are taken,
-    so a host of any size only sends one row per distinct content and task.
+
+def page_styles(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``root, page, path, parent, content, shape, words``: the style nodes of every distinct page of a host.
+
+    Pages of a host with the same source are one page, so copies have no weight of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts = batch.column(0).to_pylist()
-            counts: dict[tuple, int] = {}
-            for start, part in texts(batch.column(1)):
-                for i, page in enumerate(part):
-                    for path, (content, shape) in style_nodes(page.decode("utf-8", "replace")).items():
-                        for kind, value in ((0, content), (1, shape)):
-                            key = (hosts[start + i], path, kind, value)
-                            counts[key] = counts.get(key, 0) + 1
-            rows = list(counts)
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))]
-            yield pa.record_batch([*columns, pa.array(list(counts.values()), pa.int64())], ["host", "path", "kind", "value", "n"])
-
-    seen = (
-        pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-        .mapInArrow(run, "host string, path string, kind int, value long, n long")
-        .groupBy("host", "path", "kind", "value")
-        .agg(F.sum("n").alias("n"))
-    )
-    entropy = (
-        seen.groupBy("host", "path", "kind")
-        .agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-        .where(F.col("pages") >= LEAST_PAGES)
-    )
-    node = entropy.groupBy("host", "path").agg(
-        F.max(F.when(F.col("kind") == 0, 1 - F.col("nlogn") / (F.col("pages") * F.log("pages")))).alias("content"),
-        F.max(F.when(F.col("kind") == 1, 1 - F.col("nlogn") / (F.col("pages") * F.log("pages")))).alias("shape"),
+            roots, names = batch.column(0).to_pylist(), batch.column(1)
+            for start, part in texts(batch.column(2)):
+                rows: list[tuple] = []
+                page_at: list[int] = []
+                for i, page in enumerate(part, start):
+                    nodes = style_nodes(page.decode("utf-8", "replace"), roots[i])
+                    rows += [(roots[i], path, *row) for path, row in nodes.items()]
+                    page_at += [i] * len(nodes)
+                columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(6)]
+                yield pa.record_batch([columns[0], names.take(pa.array(page_at, pa.int64())), *columns[1:]], ["root", "page", "path", "parent", "content", "shape", "words"])
+
+    made = pages.select(root_of(F.col(url_col)).alias("root"), F.xxhash64(html_col).alias("page"), F.col(html_col).alias("html"))
+    return made.mapInArrow(run, "root long, page long, path long, parent long, content long, shape long, words long").dropDuplicates(["root", "path", "page"])
+
+
+def verdicts(styles: DataFrame) -> DataFrame:
+    """``path, verdict``: the branches of low importance (1) and those that are important and hold the bulk of their host's words (2).
+
+    Contents and shapes are counted by value before entropies are taken, so no host goes to one task.
+    Of bulky branches within one another the innermost counts.
+    """
+    each = styles.select("root", "path", "parent", F.expr("stack(2, 0, content, words, 1, shape, 0L) as (kind, value, words)"))
+    seen = each.groupBy("root", "path", "parent", "kind", "value").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
+    nlogn = F.col("n") * F.log("n")
+    node = seen.groupBy("root", "path", "parent").agg(
+        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"),
+        F.sum(F.when(F.col("kind") == 0, nlogn)).alias("content"),
+        F.sum(F.when(F.col("kind") == 1, nlogn)).alias("shape"),
+        F.sum("words").alias("words"),
     )
-    importance = CONTENT_SHARE * F.col("content") + (1 - CONTENT_SHARE) * F.col("shape")
-    return (
-        node.where(importance < LEAST_IMPORTANCE)
-        .groupBy("host")
-        .agg(F.array_sort(F.collect_list("path")).alias("low"))
+    node = cut(node.where(F.col("pages") >= LEAST_PAGES))
+    entropy = lambda c: 1 - F.col(c) / (F.col("pages") * F.log("pages"))
+    hosts = node.where("path = root").select("root", F.col("words").alias("all_words"))
+    rated = node.where("path <> root").join(hosts, "root").select(
+        "path", "parent", (CONTENT_SHARE * entropy("content") + (1 - CONTENT_SHARE) * entropy("shape")).alias("importance"), (F.col("words") / F.greatest("all_words", F.lit(1))).alias("share")
     )
+    low = (F.col("importance") < LEAST_IMPORTANCE) & (F.col("share") < BULK_SHARE)
+    bulky = rated.where((F.col("importance") >= LEAST_IMPORTANCE) & (F.col("share") >= BULK_SHARE))
+    innermost = bulky.join(bulky.select(F.col("parent").alias("path")).distinct(), "path", "left_anti")
+    return rated.where(low).select("path", F.lit(LOW).alias("verdict")).union(innermost.select("path", F.lit(BULK).alias("verdict")))
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page row.
 
     Null and empty pages give an empty text. Pages without a host form one host of their own.
     Repeated rows stay repeated; an empty table gives an empty result.
     """
+    spark = pages.sparkSession
+    styles = cut(page_styles(pages, url_col, html_col))
+    decided = cut(verdicts(styles))
+    kind = pages.schema[id_col].dataType.simpleString()
+    page = F.xxhash64(html_col)
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), root_of(F.col(url_col)).alias("root"), page.alias("page"))
+    few = decided.limit(broadcast_rows + 1).count() <= broadcast_rows
+    if few:
+        shared = spark.sparkContext.broadcast({r["path"]: r["verdict"] for r in decided.collect()})
+        rows = rows.select("page_id", "url", "html", "root")
+    else:
+        shared = None
+        # Each distinct page gets the verdicts on its own paths, which its source bounds.
+        own = styles.join(decided, "path").groupBy("root", "page").agg(F.map_from_entries(F.collect_list(F.struct("path", "verdict"))).alias("own"))
+        rows = rows.join(own, ["root", "page"], "left").select("page_id", "url", "html", "root", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lows = batch.column(3).to_pylist()
+            roots = batch.column(3).to_pylist()
             for start, part in texts(batch.column(2)):
-                found = [extract(p.decode("utf-8", "replace"), frozenset(lows[start + i] or ())) for i, p in enumerate(part)]
+                found = []
+                for i, p in enumerate(part, start):
+                    known = shared.value if shared is not None else dict(batch.column(4)[i].as_py() or ())
+                    found.append(extract(p.decode("utf-8", "replace"), roots[i], known))
                 yield pa.record_batch([batch.column(0).slice(start, len(part)), batch.column(1).slice(start, len(part)), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    low = cut(low_branches(pages, id_col, url_col, html_col).withColumnRenamed("host", "low_host"))
-    size = low.agg(F.sum(F.octet_length("low_host") + F.octet_length(F.array_join("low", "")) + 16 * F.size("low"))).first()[0] or 0
-    kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    if size <= broadcast_bytes:
-        joined = rows.join(F.broadcast(low), host_of(F.col("url")) == F.col("low_host"), "left")
-    else:
-        # A host of any size is dealt over all salts; each has the branches once.
-        salted = low.withColumn("low_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
-        joined = rows.withColumn("salt", salt).join(salted, (host_of(F.col("url")) == F.col("low_host")) & (F.col("salt") == F.col("low_salt")), "left")
-    joined = joined.select("page_id", "url", "html", "low")
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
