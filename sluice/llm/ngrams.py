@@ -11,8 +11,8 @@ summed per task before the shuffle, and written once to the folder all executors
 tasks map the files into memory. Nothing but the shards' sizes goes through the driver.
 
 Probabilities interpolate absolute discounts with the base model of single words, which gives
-unseen words the mass of a count of 0.1: they sum to one in every context. Pairs seen once are left
-to the base model.
+unseen words the mass of a count of 0.1: they sum to one in every context. Every pair of the training
+texts is stored, those seen once too.
 """
 
 from __future__ import annotations
@@ -35,11 +35,14 @@ from sluice.llm.common import fold, texts
 from sluice.llm.eliasfano import EliasFano
 
 DISCOUNT = 0.75
-LEAST_PAIRS = 2
 ADD = 0.1
 #: Shards grow with the root of the documents, so neither one shard's pairs nor the shards that a
 #: slice of text visits grow as fast as the corpus: ``SHARDS`` for every ``SHARD_DOCS`` under the root.
 SHARDS, SHARD_DOCS = 6, 4000
+#: No shard is built from more text than this on average.
+SHARD_BYTES = 128 << 20
+#: Shards of a level that a worker holds open before it closes the one opened first.
+OPEN_SHARDS = 256
 #: Bytes of text that are looked up together.
 SLICE = 8 << 20
 #: Bits of the sieve for each pair.
@@ -131,6 +134,11 @@ def _untagged(name: str, arrays: dict[str, np.ndarray]) -> EliasFano:
     return EliasFano(*(arrays[f"{name}_{k}"] for k in ("head", "low", "high", "ones")))
 
 
+def _make_room(shards: dict) -> None:
+    while len(shards) >= OPEN_SHARDS:
+        del shards[next(iter(shards))]
+
+
 class Words:
     """The first level: ids and counts of words by their hashes. ``base`` are the shards' first ids."""
 
@@ -150,6 +158,7 @@ class Words:
             if self.base[s + 1] == self.base[s]:
                 continue
             if s not in self.open:
+                _make_room(self.open)
                 arrays = self.store.get(f"words-{s}")
                 self.open[s] = _untagged("hash", arrays), arrays["count"]
             sequence, count = self.open[s]
@@ -267,8 +276,6 @@ def _write_pairs(store: Store, words, documents: int, tokens: int):
         base, end = int(level.base[shard]), int(level.base[shard + 1])
         last = shard == level.shards - 1
         keys, counts = _summed(np.concatenate([_unplaned(k, np.uint64) for k in pdf["keys"]]), np.concatenate([_unplaned(c, np.uint32) for c in pdf["counts"]]))
-        keep = counts >= LEAST_PAIRS
-        keys, counts = keys[keep], counts[keep]
         context, word = (keys >> np.uint64(32)).astype(np.int64) - base, (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         own = np.asarray(store.get(f"words-{shard}")["count"]) if end > base else np.zeros(0, np.int64)
         own = np.r_[own, documents] if last else own
@@ -323,6 +330,7 @@ class Pairs:
 
     def _shard(self, s: int):
         if s not in self.open:
+            _make_room(self.open)
             try:
                 arrays = self.words.store.get(f"pairs-{s}")
             except FileNotFoundError:
@@ -369,8 +377,8 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     training totals.
     """
     spark = docs.sparkSession
-    documents = docs.count()
-    shards = max(4, math.ceil(SHARDS * math.sqrt(documents / SHARD_DOCS)))
+    documents, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    shards = max(4, math.ceil(SHARDS * math.sqrt(documents / SHARD_DOCS)), math.ceil(size / SHARD_BYTES))
     store = Store(f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}")
     counted = _count_words(docs, text_col, shards).groupBy("shard").applyInPandas(_write_words(store), "shard int, n long, tokens long, bytes long").collect()
     sizes = np.zeros(shards, np.int64)

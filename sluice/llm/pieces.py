@@ -1,21 +1,18 @@
-"""SentencePiece encoding and decoding: streaming Viterbi for unigram models, merges for BPE models.
+"""SentencePiece encoding and decoding by streaming Viterbi search.
 
-Scores of a BPE model are ranks of merges, not log probabilities, and the path of the largest sum is
-not that model's encoding. There the neighbours whose joint piece ranks first are merged, the left
-ones first among equals, until no neighbours make a piece. Nothing merges across two characters that
-are neighbours in no piece, so a text is committed run by run between such places.
-
-In a unigram model the pieces of a model with their scores span a lattice over the text; its best path is the encoding.
+The pieces of a model span a lattice over the text. In a unigram model its best path by log
+probabilities is the encoding. Scores of a BPE model are ranks of merges, not log probabilities, and
+the path of the largest sum is not that model's encoding; there a step is open only if merges of a
+piece and the one before it leave both as they are, and the only open path is the encoding.
 The search keeps a window: a place can only be reached from the last ``longest`` characters, and as
 soon as the backpointer paths of all places that can still be extended run through one boundary, the
 ids up to it are committed and forgotten. Where no piece has the space sign behind another character
-every space starts such a boundary, so words are encoded one by one and remembered. Characters that
+every space starts such a boundary, so words are searched one by one and remembered. Characters that
 no piece covers become bytes, where the model has them, or the unknown id.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,8 +30,8 @@ SPACE = "▁"
 MEMORY = 600_000
 #: Score of a character that no piece covers, below the least score.
 UNKNOWN_PENALTY = 10.0
-#: Words up to this length are merged by looking at all neighbours, longer ones by a heap.
-SHORT = 24
+#: Pieces of a BPE model whose followers a worker remembers before it starts anew.
+ROWS = 100_000
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -66,9 +63,9 @@ class Vocabulary:
         return root
 
     @cached_property
-    def neighbours(self) -> set[str]:
-        """Two characters at a time, all that stand together in a piece."""
-        return {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+    def fits(self) -> dict[str, dict[str, bool]]:
+        """Which pieces of a BPE model may follow a piece, as far as was asked."""
+        return {}
 
     @cached_property
     def encoder(self) -> Encoder:
@@ -167,7 +164,7 @@ class Window:
         if joint <= base or joint > at:
             return base, best, back
         self._emit(text, base, back, joint)
-        return joint, best[joint - base :], [(max(a, joint), b) for a, b in back[joint - base :]]
+        return joint, best[joint - base :], [x and (max(x[0], joint), x[1]) for x in back[joint - base :]]
 
     def _emit(self, text: str, base: int, back: list, end: int) -> None:
         path = []
@@ -184,8 +181,9 @@ class Window:
                 self.ids += [self.vocabulary.bytes_at[b] for b in text[start:stop].encode("utf-8", "surrogatepass")]
 
 
-def _merge_few(parts: list[str], scores: dict[str, tuple[float, int]]) -> list[str]:
-    """Merges of a short run of characters."""
+def merged(text: str, scores: dict[str, tuple[float, int]]) -> list[str]:
+    """The pieces that merges leave of a short text: the neighbours whose joint piece ranks first, the left ones among equals."""
+    parts = list(text)
     found = [scores.get(a + b) for a, b in zip(parts, parts[1:])]
     while True:
         best, at = -np.inf, -1
@@ -202,50 +200,94 @@ def _merge_few(parts: list[str], scores: dict[str, tuple[float, int]]) -> list[s
             found[at - 1] = scores.get(parts[at - 1] + parts[at])
 
 
-def _merge_many(parts: list[str], scores: dict[str, tuple[float, int]]) -> list[str]:
-    """Merges of a long run: candidates on a heap, those whose parts have changed are passed over."""
-    n = len(parts)
-    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-    heap: list[tuple[float, int, int, str]] = []
-
-    def offer(i: int, j: int) -> None:
-        if i >= 0 and j >= 0:
-            piece = parts[i] + parts[j]
-            if (hit := scores.get(piece)) is not None:
-                heapq.heappush(heap, (-hit[0], i, j, piece))
-
-    for i in range(n - 1):
-        offer(i, i + 1)
-    while heap:
-        _, i, j, piece = heapq.heappop(heap)
-        if not parts[i] or not parts[j] or len(parts[i]) + len(parts[j]) != len(piece):
-            continue
-        parts[i], parts[j] = piece, ""
-        after[i] = after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-        offer(before[i], i)
-        offer(i, after[i])
-    return [p for p in parts if p]
-
-
-def merge(text: str, vocabulary: Vocabulary) -> list[int]:
-    """Ids of a text by the merges of a BPE model; ``text`` has its space signs."""
-    scores, known, ids, start = vocabulary.scores, vocabulary.neighbours, [], 0
-    for end in range(1, len(text) + 1):
-        if end < len(text) and text[end - 1 : end + 1] in known:
-            continue
-        run = list(text[start:end])
-        for piece in _merge_few(run, scores) if end - start <= SHORT else _merge_many(run, scores):
-            hit = scores.get(piece)
-            if hit is not None:
-                ids.append(hit[1])
-            elif vocabulary.bytes_at is None:
-                ids.append(vocabulary.unknown)
-            else:
-                ids += [vocabulary.bytes_at[b] for b in piece.encode("utf-8", "surrogatepass")]
-        start = end
-    return ids
+class MergeWindow(Window):
+    """The streaming search for a BPE model: a step of the lattice is open or closed in place of having a score.
+
+    A piece may follow another if merges of the two alone leave just these two; a chain of pieces is
+    the model's encoding if every neighbouring pair is of that kind, and each place of a text is
+    reached by exactly one such chain. So each place has one surviving path, and the boundary
+    through which the paths of all open places run is committed as in the search by scores.
+    """
+
+    def _row(self, before: str) -> dict[str, bool]:
+        """Which pieces may follow one, as far as was asked."""
+        fits = self.vocabulary.fits
+        row = fits.get(before)
+        if row is None:
+            if len(fits) > ROWS:
+                fits.clear()
+            row = fits[before] = {}
+        return row
+
+    def _fits(self, row: dict[str, bool], before: str, piece: str) -> bool:
+        fit = row[piece] = merged(before + piece, self.vocabulary.scores) == ([before, piece] if before else [piece])
+        return fit
+
+    def _short(self, text: str) -> list[int]:
+        trie, names, n = self.vocabulary.trie, self.vocabulary.names, len(text)
+        back: list = [None] * (n + 1)
+        last = [""] * (n + 1)
+        for i in range(n):
+            before, node, j = last[i], trie, i
+            row = self._row(before)
+            for c in text[i:]:
+                hit = node.get(c)
+                if hit is None:
+                    break
+                j += 1
+                node, score, piece = hit
+                if score is not None and back[j] is None:
+                    name = names[piece]
+                    fit = row.get(name)
+                    if self._fits(row, before, name) if fit is None else fit:
+                        back[j], last[j] = (i, piece), name
+            if back[i + 1] is None and (trie.get(text[i]) or (None, None))[1] is None:
+                fit = row.get(text[i])
+                if self._fits(row, before, text[i]) if fit is None else fit:
+                    back[i + 1], last[i + 1] = (i, -1), text[i]
+        self.widest = max(self.widest, n + 1)
+        self._emit(text, 0, back, n)
+        return self.ids
+
+    def run(self, text: str, check: int = 64) -> list[int]:
+        if len(text) <= check:
+            return self._short(text)
+        trie, names = self.vocabulary.trie, self.vocabulary.names
+        n, base = len(text), 0
+        back: list = [(0, -1)]  # for places from base on: where the piece starts and its id, None where no path has come yet
+        last = [""]  # the piece that ends there
+        for i in range(n):
+            before, node, j = last[i - base], trie, i
+            row = self._row(before)
+            while True:
+                if j - base + 1 >= len(back):
+                    back.append(None)
+                    last.append("")
+                if j == n or (hit := node.get(text[j])) is None:
+                    break
+                j += 1
+                node, score, piece = hit
+                if score is not None and back[j - base] is None:
+                    name = names[piece]
+                    fit = row.get(name)
+                    if self._fits(row, before, name) if fit is None else fit:
+                        back[j - base], last[j - base] = (i, piece), name
+            if back[i + 1 - base] is None and (trie.get(text[i]) or (None, None))[1] is None:
+                fit = row.get(text[i])
+                if self._fits(row, before, text[i]) if fit is None else fit:
+                    back[i + 1 - base], last[i + 1 - base] = (i, -1), text[i]
+            if (i + 1 - base) % check == 0:
+                start, back = self._settle(text, base, back, i + 1)
+                last = last[start - base :]
+                base = start
+        self.widest = max(self.widest, len(back))
+        self._emit(text, base, back, n)
+        return self.ids
+
+    def _settle(self, text: str, base: int, back: list, at: int) -> tuple[int, list]:
+        reached = [0.0 if b is not None else -np.inf for b in back]
+        base, _, back = self._commit(text, base, reached, back, at)
+        return base, back
 
 
 class Encoder:
@@ -277,7 +319,7 @@ class MergeEncoder(Encoder):
     """As ``Encoder`` for BPE models."""
 
     def _coded(self, text: str) -> bytes:
-        return np.array(merge(text, self.vocabulary), np.int32).tobytes()
+        return np.array(MergeWindow(self.vocabulary).run(text), np.int32).tobytes()
 
 
 def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:

@@ -11,6 +11,8 @@ Pieces are whole UTF-8 strings, so matching bytes and matching characters agree.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,8 @@ class Automaton:
         self.column[used] = np.arange(len(used))
         width = len(used) + 1
         go = np.full((n + 1, width), self.dead, np.int32)
-        pops = np.zeros((n + 1, width), np.uint8)
+        # No move pops more pieces than its node has bytes.
+        pops = np.zeros((n + 1, width), np.min_scalar_type(max(depth) + 1))
         fail = np.full(n + 1, self.dead, np.int64)
         popped = np.zeros(n + 1, np.int64)
         order = [0, 1]
@@ -73,7 +76,7 @@ class Automaton:
             # Without a child the move is the link's own move.
             go[nodes] = go[fail[nodes]]
             more = popped[nodes, None] + pops[fail[nodes]]
-            pops[nodes] = np.where(go[nodes] == self.dead, 0, np.minimum(more, 255))
+            pops[nodes] = np.where(go[nodes] == self.dead, 0, more)
             if len(below[d]):
                 at, column, child = below[d].T
                 go[at, column] = child
@@ -109,14 +112,26 @@ class Automaton:
         return out
 
 
-def vocabulary(path: str) -> tuple[set[bytes], set[bytes]]:
-    """Word-starting and continuing pieces of a SentencePiece model file, as UTF-8."""
+@dataclass
+class Pieces:
+    """Word-starting and continuing pieces; a worker builds their automaton once for all its tasks."""
+
+    initial: set[bytes]
+    continuing: set[bytes]
+
+    @cached_property
+    def automaton(self) -> Automaton:
+        return Automaton(self.initial, self.continuing)
+
+
+def vocabulary(path: str) -> Pieces:
+    """The pieces of a SentencePiece model file, as UTF-8."""
     names = load(path).scores
     initial = {p[1:].encode() for p in names if p.startswith(SPACE) and len(p) > 1 and SPACE not in p[1:]}
-    return initial, {p.encode() for p in names if SPACE not in p}
+    return Pieces(initial, {p.encode() for p in names if SPACE not in p})
 
 
-def token_counts(docs: DataFrame, pieces: tuple[set[bytes], set[bytes]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_tokens`` of every whole text.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` as they stand; each takes its longest starting piece, then
@@ -126,7 +141,7 @@ def token_counts(docs: DataFrame, pieces: tuple[set[bytes], set[bytes]], id_col:
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(*shared.value)
+        automaton = shared.value.automaton
         for batch in batches:
             for start, part in texts(batch.column(1)):
                 words = [t.split() for t in part]

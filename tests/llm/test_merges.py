@@ -28,3 +28,13 @@ def test_awkward_texts_have_the_models_ids():
 def test_unigram_models_keep_the_best_path():
     v = pieces.Vocabulary({"ab": (-9.0, 0), "a": (-1.0, 1), "b": (-1.0, 2), "▁": (-1.0, 3)}, None, 9, ["ab", "a", "b", "▁"])
     assert np.frombuffer(v.encoder.encode("ab"), np.int32).tolist() == [3, 1, 2]
+
+
+def test_the_streaming_window_of_a_bpe_model(spark):
+    """Whole texts without the help of word boundaries: same ids, and no more places held than a few pieces are long."""
+    v, own = pieces.load(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    text = " ".join(r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20).collect())
+    for check in (8, 64):
+        window = pieces.MergeWindow(v)
+        assert window.run(pieces.SPACE + text.replace(" ", pieces.SPACE), check) == own.encode(text)
+        assert window.widest <= check + 3 * v.longest

@@ -37,8 +37,7 @@ def brute(rows):
     words[None] = n
     kept = defaultdict(float)
     for (a, _), k in pairs.items():
-        if k >= ngrams.LEAST_PAIRS:
-            kept[a] += (k - ngrams.DISCOUNT) / words[a]
+        kept[a] += (k - ngrams.DISCOUNT) / words[a]
     single = lambda w: (words[w] + 0.1) / (total + 0.1 * (kinds + 1))
     out = []
     for doc_id, w in texts:
@@ -48,7 +47,7 @@ def brute(rows):
             p = single(b)
             if words[a]:
                 k = pairs[a, b]
-                p = max(1 - kept[a], 1e-9) * p + ((k - ngrams.DISCOUNT) / words[a] if k >= ngrams.LEAST_PAIRS else 0)
+                p = max(1 - kept[a], 1e-9) * p + ((k - ngrams.DISCOUNT) / words[a] if k else 0)
             full += math.log10(p)
         out.append((doc_id, len(w), sum(words[x] > 0 for x in w), total, base, full))
     return out

@@ -76,15 +76,22 @@ def test_automaton_equals_greedy_matching():
         assert wordpieces.Automaton(initial, continuing).count(words).tolist() == [greedy(w, initial, continuing) for w in words]
 
 
+def test_moves_that_pop_more_than_255_pieces():
+    initial, continuing = {b"a"}, {b"a", b"c", b"a" * 500 + b"b"}
+    words = [b"a" * 302 + b"c", b"a" * 402, b"a" * 900 + b"b", b"a" * 499 + b"b" + b"a" * 700]
+    assert wordpieces.Automaton(initial, continuing).count(words).tolist() == [greedy(w, initial, continuing) for w in words]
+
+
 def test_counts_equal_the_library(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
-    initial, continuing = wordpieces.vocabulary(PIECES)
+    pieces_ = wordpieces.vocabulary(PIECES)
+    initial, continuing = pieces_.initial, pieces_.continuing
     table = {t: i for i, t in enumerate(["[UNK]", *(w.decode() for w in initial), *("##" + w.decode() for w in continuing)])}
     library = Tokenizer(models.WordPiece(table, unk_token="[UNK]", max_input_chars_per_word=10**9))
     library.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
-    got = {r["doc_id"]: r["n_tokens"] for r in wordpieces.token_counts(docs, (initial, continuing)).collect()}
+    got = {r["doc_id"]: r["n_tokens"] for r in wordpieces.token_counts(docs, pieces_).collect()}
     for r in docs.collect():
         assert got[r["doc_id"]] == len(library.encode(r["text"], add_special_tokens=False).ids)
 
