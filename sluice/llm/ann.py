@@ -117,7 +117,8 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
     """For each query its ``k`` best of one block: table look-ups, then exact inner products.
 
     Equal vectors stand in the shortlist once and bring their smallest ids, so copies can't crowd
-    others out of it.
+    others out of it. The shortlist grows by all vectors whose looked-up score is as near to the
+    last place as the errors seen in it, so slightly different ones can't either.
     """
     _, first, which = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel(), return_index=True, return_inverse=True)
     order = np.argsort(which, kind="stable")
@@ -134,6 +135,15 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
         picks = np.argpartition(-rough, few - 1, axis=1)[:, :few]
         for i, pick in enumerate(picks):
             exact = (distinct[pick] * some[i]).sum(1)
+            if few > k + 1:
+                # Whatever may reach the last place by the largest error seen is scored exactly too.
+                last = np.partition(exact, few - k - 1)[few - k - 1]
+                within = rough[i] >= last - np.abs(exact - rough[i, pick]).max()
+                within[pick] = False
+                more = np.flatnonzero(within)
+                pick, exact = np.r_[pick, more], np.r_[exact, (distinct[more] * some[i]).sum(1)]
+                best = exact >= np.partition(exact, len(exact) - k - 1)[len(exact) - k - 1]
+                pick, exact = pick[best], exact[best]
             members = np.concatenate([order[edge[p] : edge[p + 1]][: k + 1] for p in pick])
             values = np.repeat(exact, np.minimum(edge[pick + 1] - edge[pick], k + 1))
             found = ids[members]

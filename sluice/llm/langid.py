@@ -89,21 +89,30 @@ class Model:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG, landmarks_per_lang: int = LANDMARKS_PER_LANG) -> Model | None:
-    """Fit on at most ``sample_per_lang`` texts a language, those of the smallest id hashes.
+    """Fit on at most ``sample_per_lang`` distinct texts a language, those of the smallest hashes of id and text.
 
-    Only the ids and languages are ranked; the sampled texts alone are read whole. Returns None
-    where no row has a text with a letter and a language.
+    Only rows under a hash that lets about twice the sample of a language through are ranked, and the
+    sampled texts alone are read whole, so neither a task nor the driver holds more than the bound.
+    Rows that share an id are told apart by text, repeated rows count once. Returns None where no
+    row has a text with a letter and a language.
     """
+    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    usable = usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"), F.xxhash64(id_col, text_col).alias("deal"))
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("deal", 0.02).alias("n"))
+    # The hash is even over 64 bits; a language of few texts passes whole.
+    reach = F.when(F.col("n") > 4 * sample_per_lang, (2.0 * sample_per_lang / F.col("n") - 0.5) * 2.0**64)
     pick = Window.partitionBy("lang").orderBy("deal", "doc_id")
-    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     ids = (
-        usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
-        .withColumn("deal", F.xxhash64("doc_id"))
+        usable.drop("text")
+        .join(sizes.select("lang", reach.alias("reach")), "lang")
+        .where(F.col("reach").isNull() | (F.col("deal") <= F.col("reach")))
+        .select("lang", "doc_id", "text_hash", "deal")
+        .distinct()
         .withColumn("rank", F.row_number().over(pick))
         .where(F.col("rank") <= sample_per_lang)
-        .select("doc_id", "lang", "rank")
+        .select("doc_id", "text_hash", "lang", "rank")
     )
-    chosen = [(r["doc_id"], r["lang"], r["rank"]) for r in ids.collect()]
+    chosen = [((r["doc_id"], r["text_hash"]), r["lang"], r["rank"]) for r in ids.collect()]
     if not chosen:
         return None
 
@@ -111,19 +120,21 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         seen = np.zeros(SPACE, np.uint8)
         for batch in batches:
             out = []
-            for _, part in texts(batch.column(1)):
+            for _, part in texts(batch.column(2)):
                 out += [grams(t, seen).astype(np.int32).tobytes() if has_letter(t) else None for t in part]
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "grams"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "text_hash", "grams"])
 
     kind = labelled.schema[id_col].dataType.simpleString()
-    wanted = F.broadcast(labelled.sparkSession.createDataFrame([(c[0],) for c in chosen], f"doc_id {kind}").distinct())
+    wanted = F.broadcast(labelled.sparkSession.createDataFrame([c[0] for c in chosen], f"doc_id {kind}, text_hash long").distinct())
     rows = (
-        usable.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .join(wanted, "doc_id", "left_semi")
-        .mapInArrow(read, f"doc_id {kind}, grams binary")
+        usable.select("doc_id", "text_hash", "text")
+        .join(wanted, ["doc_id", "text_hash"], "left_semi")
+        .mapInArrow(read, f"doc_id {kind}, text_hash long, grams binary")
         .where("grams is not null")
+        .groupBy("doc_id", "text_hash")
+        .agg(F.first("grams").alias("grams"))
     )
-    sets = {r["doc_id"]: np.frombuffer(r["grams"], np.int32) for r in rows.collect()}
+    sets = {(r["doc_id"], r["text_hash"]): np.frombuffer(r["grams"], np.int32) for r in rows.collect()}
     chosen = sorted((c for c in chosen if c[0] in sets), key=lambda c: (str(c[1]), c[2]))
     if not chosen:
         return None

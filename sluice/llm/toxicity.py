@@ -42,6 +42,7 @@ WILD = "aeiou"
 _SUBSTITUTE, _DROP, _WILD, _JOIN, _ONCE = -0.7, -0.4, -2.0, -0.3, -0.2
 _EDGE = "\"'`´.,;:?!()[]{}<>«»„“”‚‘’…"
 _TRAIL = re.compile(r"([^\w\s])\1{2,}$|^([^\w\s])\2{2,}")
+_SIGNS = re.compile(r"[@$]")
 _LONG = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r" [^\W_](?: [^\W_]){2,}(?= )| (?:[\w@$!|+] ){2,}[\w@$!|+](?= )")
 _LETTERS = {chr(97 + i): 1 + i for i in range(26)} | {chr(c): 27 + i for i, c in enumerate(x for x in range(0xDF, 0x100) if x != 0xF7)}
@@ -137,8 +138,15 @@ class Restorer:
         if core.isalpha() and not _LONG.search(core):
             return (core,)
         if not any(map(str.isalpha, core)):
-            return ()
-        return tuple(decode(core, self.model.logp).split())
+            # Signs alone may spell a word, numbers don't.
+            if len(core) < 3 or not _SIGNS.search(core) or not all(c in LEET for c in core):
+                return ()
+        found = decode(core, self.model.logp).split()
+        before = token[: token.find(core)][-1:] if core else ""
+        if before in ("!", "("):
+            # A sign at the edge of a disguised word may be its first letter.
+            found += decode(before + core, self.model.logp).split()
+        return tuple(dict.fromkeys(found))
 
     def spaced(self, joined: str) -> list[str]:
         """Words read from runs of three or more single signs in space-joined text with edges.
@@ -260,7 +268,9 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, id_col: str = "
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
     )
-    sample = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id").where("text is not null"))
+    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id").where("text is not null")
+    # A labelled id counts once, with the text of the smallest hash where rows share it.
+    sample = cut(known.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     rows, p, q = _select(sample, n_features, LEAST_DOCS)
     counts = char_counts(corpus, text_col).astype(np.float64)
     marks = [r["feature"] for r in rows if not r["feature"].endswith("-") and len(r["feature"]) > 3 and r["pos"] * q > 4 * r["neg"] * p]

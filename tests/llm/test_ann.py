@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from sluice.llm import ann
@@ -34,6 +35,22 @@ def test_recall_on_the_table(spark):
             assert x is None or s == pytest.approx((x * y).sum(), abs=1e-12)
 
 
+def test_recall_on_unseen_blocks_and_in_a_tight_cluster(spark):
+    """Six blocks whose codebooks saw a sixth of the rows; a third of them are slightly different copies of one vector."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(48000, 32))
+    x[::3] = rng.normal(size=32) + 0.01 * rng.normal(size=(16000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got = collect(ann.nearest(df, every=400))
+    hits = {True: [], False: []}
+    for q in range(0, len(x), 400):
+        scores = x.astype(np.float64) @ x[q].astype(np.float64)
+        scores[q] = -9
+        hits[q % 3 == 0].append(len({i for i, _ in got[q]} & set(np.argsort(-scores)[:20].tolist())) / 20)
+    assert np.mean(hits[True]) > 0.9 and np.mean(hits[False]) > 0.9
+
+
 def test_ties_copies_and_broken_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(60)]

@@ -47,3 +47,18 @@ def test_awkward_rows(awkward, nothing):
     assert all(0 <= r["score"] <= 1 for r in out)
     assert langid.identify(nothing).count() == 0
     assert {r["lang_pred"] for r in langid.identify(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_repeated_ids_and_texts_without_letters(spark):
+    """Rows of one id and different texts all may be learned from; repeated rows and texts of signs take no place in the sample."""
+    rows = [(1, "der die das und nicht", "de"), (1, "the and of not with", "en")] + [(2, "1234 !!", "fr")] * 500 + [(3, "le la les et pas", "fr")] * 500 + [(4, "el la los y no", "es")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, sample_per_lang=2)
+    assert model.langs == ["de", "en", "es", "fr"] and model.landmarks.shape[1] == 4
+    assert {(r["doc_id"], r["lang_pred"]) for r in langid.predict(df, model).collect()} == {(1, "de"), (1, "en"), (2, "und"), (3, "fr"), (4, "es")}
+
+
+def test_the_sample_of_a_large_language_is_full(spark):
+    df = spark.range(5000).selectExpr("id as doc_id", "concat('wort nummer ', id) as text", "'de' as lang").union(spark.range(900).selectExpr("id", "concat('word number ', id)", "'en'"))
+    model = langid.train(df, sample_per_lang=100, landmarks_per_lang=100)
+    assert model.landmarks.shape[1] == 200

@@ -15,11 +15,17 @@ def model(spark):
     return X.train(docs, labels.where(X.fold(F.col("doc_id"), 4) != 2), docs)
 
 
-@pytest.mark.parametrize(("given", "want"), [("1d10t", "idiot"), ("st*pid", "stupid"), ("s.t.u.p.i.d", "stupid"), ("w0rthl3ss", "worthless"), ("i d i o t", "idiot"), ("m0r0n!!", "moron"), ("stuuuupid", "stupid"), ("tr4sh", "trash"), ("OF!!", "of"), ("onor***", "onor"), ("The", "the")])
+@pytest.mark.parametrize(("given", "want"), [("1d10t", "idiot"), ("st*pid", "stupid"), ("s.t.u.p.i.d", "stupid"), ("w0rthl3ss", "worthless"), ("i d i o t", "idiot"), ("m0r0n!!", "moron"), ("stuuuupid", "stupid"), ("tr4sh", "trash"), ("OF!!", "of"), ("onor***", "onor"), ("The", "the"), ("455", "")])
 def test_disguises(model, given, want):
     assert X.Restorer(model.chars).restore(given) == want
 
 
+def test_signs_at_the_edge_and_signs_alone_are_decoded(model):
+    restorer = X.Restorer(model.chars)
+    assert restorer.words("@$$") == (X.decode("@$$", model.chars.logp),) and restorer.words("!!") == ()
+    assert set(restorer.words("!d!ot")) == {X.decode("d!ot", model.chars.logp), X.decode("!d!ot", model.chars.logp)}
+
+
 def test_decoding_is_the_best_of_all_readings(model):
     def cost(reading):
         a = b = 0
