@@ -36,7 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only on one machine (tests) a temporary folder is set where the session names none; a cluster
+    without one is an error, as its machines share no local folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -44,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     made = "file://" + tempfile.mkdtemp(prefix="sluice-")
     spark.sparkContext.setCheckpointDir(made)
     return made
