@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sluice.queries import QUERIES, SQL, analytics, governance, ingest, models, quality, statistics, streams, text
+from sluice.queries import QUERIES, SQL, analytics, governance, ingest, models, quality, relations, statistics, streams, text
 
-MODULES = (analytics, governance, ingest, models, quality, statistics, streams, text)
+MODULES = (analytics, governance, ingest, models, quality, relations, statistics, streams, text)
 
 
 def queries() -> dict:

@@ -47,15 +47,18 @@ def token_value(value: Column, salt: bytes, length: int = 12) -> Column:
 
 
 def mask_keep_last(value: Column, n: int = 4) -> Column:
-    """Stars but for the last characters; a value no longer than that is all stars."""
+    """All characters starred but the last ``n`` digits, where there are more digits than that; else stars only."""
     text = value.cast("string")
-    size = F.length(text)
-    return F.when(size <= n, F.repeat(F.lit("*"), size)).otherwise(F.concat(F.repeat(F.lit("*"), size - n), F.right(text, F.lit(n))))
+    digits = F.regexp_replace(text, r"\D", "")
+    stars = F.greatest(F.length(text) - n, F.lit(1))
+    return F.when(F.length(digits) > n, F.concat(F.repeat(F.lit("*"), stars), F.right(digits, F.lit(n)))).otherwise(F.repeat(F.lit("*"), F.length(text)))
 
 
 def mask_email(value: Column) -> Column:
+    """The first letter and the domain stay, at least one star between; a value without an address is masked whole."""
     local = F.substring_index(value, "@", 1)
-    return F.concat(F.substring(local, 1, 1), F.repeat(F.lit("*"), F.length(local) - 1), F.lit("@"), F.substring_index(value, "@", -1))
+    masked = F.concat(F.substring(local, 1, 1), F.repeat(F.lit("*"), F.greatest(F.length(local) - 1, F.lit(1))), F.lit("@"), F.substring_index(value, "@", -1))
+    return F.when(F.contains(value, F.lit("@")), masked).otherwise(mask_keep_last(value))
 
 
 def mask_match(kind: str, match: Column) -> Column:
@@ -80,7 +83,7 @@ def age_band(birth: Column, today: str, width: int = 10) -> Column:
 
 def zip_prefix(value: Column, digits: int = 3) -> Column:
     kept = F.substring(F.regexp_replace(value.cast("string"), r"\D", ""), 1, 5)
-    return F.concat(F.substring(kept, 1, digits), F.repeat(F.lit("*"), F.greatest(F.length(kept) - digits, F.lit(0))))
+    return F.when(F.length(kept) > 0, F.concat(F.substring(kept, 1, digits), F.repeat(F.lit("*"), F.greatest(F.length(kept) - digits, F.lit(0)))))
 
 
 def numeric_band(value: Column, width: float) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.operators.statistics import running
+
 
 def funnel(events: DataFrame, steps: list[str], user: str = "user_id", event: str = "event_type", segment: str | None = None) -> DataFrame:
     """``step, position, users, pct_of_top, step_conversion, drop_off_pct`` (by segment, if given).
@@ -148,9 +150,15 @@ def sessionize(events: DataFrame, user: str, ts: str, gap_seconds: int) -> DataF
 
 
 def rice(df: DataFrame, reach: str, impact: str, confidence: str, effort: str) -> DataFrame:
-    """Rows with ``rice`` = reach x impact x confidence / effort (0 without effort) and its rank."""
+    """Rows with ``rice`` = reach x impact x confidence / effort (0 without effort) and its rank.
+
+    Ranks are running counts over distinct scores in value ranges, so no task orders all rows.
+    """
     score = F.when(F.col(effort) > 0, F.col(reach) * F.col(impact) * F.col(confidence) / F.col(effort)).otherwise(0.0)
-    return df.withColumn("rice", score).withColumn("rank", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rice"))))
+    scored = df.withColumn("rice", score)
+    counts = scored.groupBy(F.col("rice").alias("score_")).agg(F.count("*").alias("n_"))
+    ranks = running(counts, "score_", {"upto_": "n_"}, descending=True).select("score_", (F.col("upto_") - F.col("n_") + 1).alias("rank"))
+    return scored.join(ranks, F.col("rice") == F.col("score_"), "left").drop("score_")
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str]) -> DataFrame:

@@ -112,3 +112,17 @@ def undersample(df: DataFrame, label: str, key: str, ratio: float = 1.0) -> Data
     share = n.join(F.broadcast(n.agg(F.min("n_").alias("least_")))).select(label, F.least(F.lit(1.0), ratio * F.col("least_") / F.col("n_")).alias("share_"))
     unit = (F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u")
     return df.join(F.broadcast(share), label).where(unit < F.col("share_")).drop("share_")
+
+
+def principal_components(df: DataFrame, vector: str, k: int) -> DataFrame:
+    """``component, variance, direction`` of the ``k`` directions of largest variance, as shares of all variance.
+
+    Covariances are summed by Spark; the driver solves a matrix of the vectors' dimension.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    usable = df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x)))
+    fitted = PCA(k=k, inputCol="v_", outputCol="p_").fit(usable.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v_")))
+    rows = [(i, float(fitted.explainedVariance[i]), fitted.pc.toArray()[:, i].tolist()) for i in range(k)]
+    return df.sparkSession.createDataFrame(rows, "component int, variance double, direction array<double>")

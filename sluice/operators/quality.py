@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,18 +33,28 @@ def _mask(rule: dict, df: DataFrame) -> tuple[Column | None, Column]:
     return None, F.lit(True)
 
 
+def _analysable(df: DataFrame, expression: str) -> bool:
+    """Whether a condition can be planned over the table; nothing is run."""
+    try:
+        return df.limit(0).select(F.expr(expression).cast("boolean")).schema is not None
+    except (AnalysisException, ParseException):
+        return False
+
+
 def run_rules(df: DataFrame, rules: list[dict], references: dict[str, DataFrame] | None = None) -> DataFrame:
     """``rule, type, severity, n_checked, n_violations, passed``: one row per rule.
 
     All row rules are counted in one pass. Nulls pass every rule but ``not_null``; a number that
     can't be read violates ``in_range``; ``unique`` marks all members of a repeated value; a rule of
-    a missing column or an unknown type fails with nothing checked.
+    a missing column, an unknown type or an expression that can't be planned fails with nothing checked.
     """
     spark = df.sparkSession
     plain, apart, failed = [], [], []
     for rule in rules:
         if rule.get("column") and rule["column"] not in df.columns:
             failed.append(rule)
+        elif rule["type"] == "expression" and not _analysable(df, rule["expr"]):
+            failed.append(rule)
         elif rule["type"] in ("not_null", "in_range", "allowed_values", "regex_match", "expression"):
             plain.append(rule)
         elif rule["type"] in ("unique", "foreign_key", "row_count"):

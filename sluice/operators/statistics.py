@@ -220,13 +220,50 @@ def brier(df: DataFrame, label: Column, score: Column, bins: int = 10) -> DataFr
     return g.agg((F.sum("sq") / n).alias("brier"), (F.sum(F.abs(F.col("s") - F.col("y"))) / n).alias("ece"), (F.sum("ll") / n).alias("log_loss"))
 
 
-def benjamini_hochberg(df: DataFrame, p: str, key: str) -> DataFrame:
-    """Rows with ``p_adjusted``: the running minimum from the largest p down, of p m / rank."""
-    all_ = Window.partitionBy(F.lit(0))
-    order = all_.orderBy(p, key)
-    ranked = df.withColumn("raw_", F.col(p) * F.count("*").over(all_) / F.row_number().over(order))
-    down = order.rowsBetween(0, Window.unboundedFollowing)
-    return ranked.withColumn("p_adjusted", F.least(F.lit(1.0), F.min("raw_").over(down))).drop("raw_")
+def benjamini_hochberg(df: DataFrame, p: str, buckets: int = 64) -> DataFrame:
+    """Rows with ``p_adjusted``: the running minimum from the largest p down, of p m / rank.
+
+    Equal p values have one adjusted value, that of their last rank, so ranks are counts of distinct
+    values: a running sum over value ranges, then the minimum within a range and over those above.
+    """
+    counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p_")).agg(F.count("*").alias("n_"))
+    ranked = running(counts, "p_", {"rank_": "n_"}, buckets=buckets)
+    edges = counts.agg(F.sum("n_").alias("m_"), F.percentile_approx("p_", [i / buckets for i in range(1, buckets)], 1000).alias("edges_"))
+    raw = ranked.join(F.broadcast(edges)).select("p_", (F.col("p_") * F.col("m_") / F.col("rank_")).alias("raw_"), F.size(F.filter(F.array_distinct("edges_"), lambda e: e < F.col("p_"))).alias("bucket_"))
+    within = Window.partitionBy("bucket_").orderBy(F.desc("p_")).rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket_")).rowsBetween(Window.unboundedPreceding, -1)
+    least = raw.groupBy("bucket_").agg(F.min("raw_").alias("low_")).select("bucket_", F.min("low_").over(above).alias("above_"))
+    known = raw.withColumn("own_", F.min("raw_").over(within)).join(F.broadcast(least), "bucket_")
+    known = known.select("p_", F.least(F.lit(1.0), F.col("own_"), F.col("above_")).alias("p_adjusted"))
+    return df.join(known, F.col(p) == F.col("p_"), "left").drop("p_")
+
+
+def murphy(df: DataFrame, label: Column, score: Column, bins: int = 10) -> DataFrame:
+    """``reliability, resolution, uncertainty``: what the Brier score of binned forecasts consists of."""
+    b = F.least(F.floor(score * bins), F.lit(bins - 1))
+    g = df.groupBy(b.alias("b")).agg(F.count("*").alias("n"), F.avg(score).alias("f"), F.avg(label.cast("double")).alias("o"))
+    base = df.agg(F.avg(label.cast("double")).alias("base"))
+    n = F.sum("n")
+    return g.join(F.broadcast(base)).agg((F.sum(F.col("n") * (F.col("f") - F.col("o")) ** 2) / n).alias("reliability"), (F.sum(F.col("n") * (F.col("o") - F.col("base")) ** 2) / n).alias("resolution"), F.max(F.col("base") * (1 - F.col("base"))).alias("uncertainty"))
+
+
+def lagged_correlation(series: DataFrame, at: str, x: str, y: str, lags: list[int]) -> DataFrame:
+    """``lag, n, r``: correlation of x with y that many steps later, on a whole-numbered time column."""
+    ahead = series.select(F.explode(F.array(*map(F.lit, lags))).alias("lag"), F.col(at).alias("at_"), F.col(x).alias("x_")).withColumn("then_", F.col("at_") + F.col("lag"))
+    later = series.select(F.col(at).alias("then_"), F.col(y).alias("y_"))
+    return ahead.join(later, "then_").groupBy("lag").agg(F.count("*").alias("n"), F.corr("x_", "y_").alias("r"))
+
+
+def prior_median(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """Rows with ``baseline``, the median of the earlier rows of their keys (null for the first)."""
+    earlier = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("baseline", F.percentile(value, 0.5).over(earlier))
+
+
+def strata(df: DataFrame, covariate: str, parts: int = 10) -> DataFrame:
+    """Rows with ``stratum`` (0 on) between the exact quantiles of a covariate; equal values share one."""
+    edges = df.agg(F.percentile(covariate, [i / parts for i in range(1, parts)]).alias("edges_"))
+    return df.join(F.broadcast(edges)).withColumn("stratum", F.size(F.filter("edges_", lambda e: e < F.col(covariate)))).drop("edges_")
 
 
 def leakage(train: DataFrame, test: DataFrame, features: list[str], target: str) -> DataFrame:

@@ -75,7 +75,7 @@ def token(value: str, salt: bytes, length: int = 12) -> str:
 
 @query("""
 WITH c AS (SELECT c_custkey AS subject, CASE WHEN c_custkey % 3 = 0 THEN 'ads' ELSE 'mail' END AS purpose, CASE WHEN c_custkey % 5 = 0 THEN 'withdrawn' ELSE 'granted' END AS status, CASE WHEN c_custkey % 7 = 0 THEN DATE '2024-01-01' ELSE DATE '2030-01-01' END AS expiry FROM customer WHERE c_custkey % 11 != 0),
-p AS (SELECT o_orderkey AS activity_id, 'mail' AS purpose, o_custkey AS subject FROM orders WHERE o_orderkey % 20 = 0 UNION ALL SELECT o_orderkey, 'mail', o_custkey + 1 FROM orders WHERE o_orderkey % 20 = 0),
+p AS (SELECT o_orderkey AS activity_id, 'mail' AS purpose, o_custkey AS subject FROM orders UNION ALL SELECT o_orderkey, 'mail', o_custkey + 1 FROM orders),
 j AS (SELECT p.*, c.status, c.expiry, EXISTS (SELECT 1 FROM c k WHERE k.subject = p.subject) AS known FROM p LEFT JOIN c ON p.subject = c.subject AND p.purpose = c.purpose)
 SELECT activity_id, purpose, CAST(subject AS VARCHAR) AS subject, CASE WHEN status IS NULL AND known THEN 'purpose-mismatch' WHEN status IS NULL THEN 'no-consent' WHEN status = 'withdrawn' THEN 'withdrawn' ELSE 'expired' END AS finding FROM j
 WHERE status IS NULL OR status = 'withdrawn' OR expiry < DATE '2026-07-01'
@@ -83,7 +83,7 @@ WHERE status IS NULL OR status = 'withdrawn' OR expiry < DATE '2026-07-01'
 def consent_audit(spark, sf_dir):
     k = F.col("c_custkey")
     consent = table(spark, sf_dir, "customer").where("c_custkey % 11 <> 0").select(k.cast("string").alias("subject_id"), F.when(k % 3 == 0, "ads").otherwise("mail").alias("purpose"), F.when(k % 5 == 0, "withdrawn").otherwise("granted").alias("status"), F.lit("2023-01-01").cast("date").alias("timestamp"), F.when(k % 7 == 0, F.lit("2024-01-01")).otherwise(F.lit("2030-01-01")).cast("date").alias("expiry"))
-    processing = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("activity_id"), F.lit("mail").alias("purpose"), F.concat_ws(";", F.col("o_custkey").cast("string"), (F.col("o_custkey") + 1).cast("string")).alias("subjects_touched"))
+    processing = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("activity_id"), F.lit("mail").alias("purpose"), F.concat_ws(";", F.col("o_custkey").cast("string"), (F.col("o_custkey") + 1).cast("string")).alias("subjects_touched"))
     return G.audit_consent(consent, processing, "2026-07-01")
 
 

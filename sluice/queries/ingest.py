@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sluice.core.session import table
@@ -31,10 +33,10 @@ def json_duplicate_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", I.duplicate_keys(text).alias("repeated"))
 
 
-@query("SELECT 'Customer Key' AS spoken, c_custkey AS customer_key, c_acctbal AS balance, c_mktsegment AS balance_2 FROM customer WHERE c_custkey % 10 != 3")
+@query("SELECT 'Customer Key' AS spoken, c_custkey AS customer_key, c_acctbal AS balance, c_mktsegment AS balance_2 FROM customer")
 def csv_clean_customers(spark, sf_dir):
-    raw = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 3").select(F.lit(" Customer Key ").alias("Spoken"), F.col("c_custkey").alias("Customer-Key"), F.concat(F.lit(" "), F.col("c_acctbal").cast("string")).alias("Balance"), F.concat("c_mktsegment", F.lit("  ")).alias("balance!"), F.lit("N/A").alias("Empty"))
-    return I.clean_table(raw.unionAll(raw.limit(5)))
+    raw = table(spark, sf_dir, "customer").select(F.lit(" Customer Key ").alias("Spoken"), F.col("c_custkey").alias("Customer-Key"), F.concat(F.lit(" "), F.col("c_acctbal").cast("string")).alias("Balance"), F.concat("c_mktsegment", F.lit("  ")).alias("balance!"), F.lit("N/A").alias("Empty"))
+    return I.clean_table(raw.unionAll(raw.where(F.col("`Customer-Key`") % 7 == 0)))
 
 
 _BOOLS = "(VALUES ('yes'), ('True'), ('0'), ('off'), ('TRUE'), ('maybe'), ('t')) AS v(t)"
@@ -52,10 +54,14 @@ def boolean_readers(spark, sf_dir):
     return rows.select("t", *[P.read_boolean(F.col("t"), r).alias(r) for r in ("yaml11", "yaml12", "go", "java")])
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS en, CAST(NULL AS DOUBLE) AS de, 'ok' AS en_status, 'refused' AS de_status FROM lineitem WHERE l_extendedprice >= 1000 AND l_extendedprice < 1000000")
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS x, l_orderkey % 3 = 1 AS german, l_orderkey % 3 = 2 AS plain FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN NOT german THEN x END AS en, CASE WHEN german THEN x END AS de, CASE WHEN german THEN 'refused' ELSE 'ok' END AS en_status, CASE WHEN german THEN 'ok' ELSE 'refused' END AS de_status FROM r
+""")
 def locale_numbers(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_extendedprice >= 1000 and l_extendedprice < 1000000")
-    text = F.format_number("l_extendedprice", 2)
+    rows, k = table(spark, sf_dir, "lineitem"), F.col("l_orderkey") % 3
+    grouped = F.format_number("l_extendedprice", 2)
+    text = F.when(k == 1, F.translate(grouped, ",.", ".,")).when(k == 2, F.replace(grouped, F.lit(","), F.lit(""))).otherwise(grouped)
     en, de = P.read_number(text, "en"), P.read_number(text, "de")
     return rows.select("l_orderkey", "l_linenumber", en["value"].cast("double").alias("en"), de["value"].cast("double").alias("de"), en["status"].alias("en_status"), de["status"].alias("de_status"))
 
@@ -113,10 +119,16 @@ def csv_sniff(spark, sf_dir):
     return files.sniff_delimiter(varied)
 
 
-@query("SELECT doc_id, CAST(len(text) - len(replace(text, chr(10), '')) AS INTEGER) AS lf, CASE WHEN contains(text, chr(10)) THEN 'lf' ELSE 'none' END AS style FROM documents WHERE NOT contains(text, chr(13))")
+@query("""
+WITH c AS (SELECT doc_id, (len(text) - len(replace(text, chr(13) || chr(10), ''))) // 2 AS crlf, len(text) - len(replace(text, chr(10), '')) AS lfs, len(text) - len(replace(text, chr(13), '')) AS crs
+FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, chr(10), chr(13) || chr(10)) WHEN 2 THEN replace(text, chr(10), chr(13)) ELSE text || chr(13) || chr(10) || chr(13) END AS text FROM documents)),
+n AS (SELECT doc_id, crlf, lfs - crlf AS lf, crs - crlf AS cr FROM c)
+SELECT doc_id, CAST(crlf AS INTEGER) AS crlf, CAST(lf AS INTEGER) AS lf, CAST(cr AS INTEGER) AS cr, CASE WHEN (crlf > 0)::INT + (lf > 0)::INT + (cr > 0)::INT > 1 THEN 'mixed' WHEN crlf > 0 THEN 'crlf' WHEN lf > 0 THEN 'lf' WHEN cr > 0 THEN 'cr' ELSE 'none' END AS style FROM n
+""")
 def line_end_styles(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\r")))
-    return rows.select("doc_id", I.line_ends(F.col("text")).alias("r")).select("doc_id", "r.lf", "r.style")
+    k, text = F.col("doc_id") % 4, F.col("text")
+    ends = F.when(k == 0, text).when(k == 1, F.replace(text, F.lit("\n"), F.lit("\r\n"))).when(k == 2, F.replace(text, F.lit("\n"), F.lit("\r"))).otherwise(F.concat(text, F.lit("\r\n\r")))
+    return table(spark, sf_dir, "documents").select("doc_id", I.line_ends(ends).alias("r")).select("doc_id", "r.crlf", "r.lf", "r.cr", "r.style")
 
 
 @query("SELECT 'week-' || strftime(b, '%Y%m%d') AS chunk, b::DATE AS begins, least(b + INTERVAL 7 DAY, TIMESTAMP '2024-02-10')::DATE AS ends FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-09', INTERVAL 7 DAY)) AS b)")
@@ -133,6 +145,6 @@ def retry_backoff(spark, sf_dir):
 def partition_pruned(spark, sf_dir):
     from sluice.core.session import shared_dir
 
-    path = f"{shared_dir(spark)}/partitioned-orders"
+    path = f"{shared_dir(spark)}/partitioned-orders-{uuid.uuid4().hex}"
     I.write_partitioned(table(spark, sf_dir, "orders"), path, "o_orderdate")
     return spark.read.parquet(path).where("year = 1995 and month in (3, 4)").groupBy("year", "month").agg(F.count("*").alias("n"))

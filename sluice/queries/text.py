@@ -78,14 +78,13 @@ def guardrail_actions(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS w FROM documents)
-SELECT doc_id, CAST(sum(CASE WHEN w IN ('good', 'great', 'excellent', 'love', 'easy', 'fast', 'helpful', 'amazing', 'best', 'happy') THEN 1 WHEN w IN ('bad', 'slow', 'terrible', 'hate', 'hard', 'broken', 'awful', 'worst', 'confusing', 'poor') THEN -1 ELSE 0 END) AS INTEGER) AS sentiment
-FROM w GROUP BY 1 HAVING sum(CASE WHEN w IN ('not', 'no', 'never', 'hardly') THEN 1 ELSE 0 END) = 0
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM documents),
+s AS (SELECT doc_id, w, list_transform(w, lambda x, i: (CASE WHEN x IN ('good', 'great', 'excellent', 'love', 'easy', 'fast', 'helpful', 'amazing', 'best', 'happy') THEN 1 WHEN x IN ('bad', 'slow', 'terrible', 'hate', 'hard', 'broken', 'awful', 'worst', 'confusing', 'poor') THEN -1 ELSE 0 END)
+* (CASE WHEN (i > 1 AND w[i - 1] IN ('not', 'no', 'never', 'hardly')) OR (i > 2 AND w[i - 2] IN ('not', 'no', 'never', 'hardly')) THEN -1 ELSE 1 END)) AS signs FROM w)
+SELECT doc_id, CAST(coalesce(list_sum(signs), 0) AS INTEGER) AS sentiment FROM s
 """)
 def sentiment_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, _DOCS).withColumn("w", T.words(F.col("text"), "[a-z']+"))
-    plain = docs.where((F.size("w") > 0) & ~F.exists("w", lambda x: x.isin(*T.NEGATORS)))
-    return plain.select("doc_id", T.sentiment(F.col("text")).alias("sentiment"))
+    return table(spark, sf_dir, _DOCS).select("doc_id", T.sentiment(F.col("text")).alias("sentiment"))
 
 
 @query(f"""
