@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.core.session import cut
+
 #: Bytes of text that a worker turns into Python objects at a time.
 SLICE_BYTES = 1 << 21
+#: So many keys of a few dozen bytes may be broadcast; more meet their rows by a shuffle.
+BROADCAST_KEYS = 400_000
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -18,6 +22,12 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def few(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """A table of keys, computed once; with a hint to broadcast it only where its rows were counted to be few."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def as_bytes(column: pa.Array) -> pa.Array:
     return column.cast(pa.binary()) if not pa.types.is_large_string(column.type) else column.cast(pa.large_binary())
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sluice.core.graph import connected_components
 from sluice.core.session import cut
-from sluice.llm.common import as_bytes, texts
+from sluice.llm.common import as_bytes, few, texts
 
 SEED = 42
 WORDS = 5
@@ -195,7 +195,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = cut(buckets.join(shared, "value").where("a <> node").select("value", "a", F.col("node").alias("b")))
     ends = stars.select(F.col("b").alias("whole")).union(stars.select(F.col("a").alias("whole"))).distinct()
     firsts = made.join(ends, "whole", "left_semi").groupBy("whole").agg(F.min("doc_id").alias("first_id"))
-    named = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(firsts, "first_id")
+    named = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(few(firsts), "first_id")
     named = cut(named.select(F.col("whole").alias("node"), "text").dropDuplicates(["node"]))
     first = cut(verified(stars.select("a", "b").distinct(), named, words, least))
     linked = connected_components(first, "a", "b")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sluice.core.graph import connected_components
 from sluice.core.session import cut
-from sluice.llm.common import texts
+from sluice.llm.common import few, texts
 
 SEED = 42
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -166,9 +166,17 @@ def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def firsts(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` whose key is their component's id in ``found``, each key once."""
-    kept = keyed.join(found.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct(), "key", "left_semi")
-    return kept.groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    """The rows of ``keyed`` whose key is their component's id in ``found``, each key once.
+
+    Rows that stay as they are aren't moved as long as the others are few; repeated keys are
+    grouped apart.
+    """
+    dropped = few(found.where("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct())
+    repeated = few(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    kept = keyed.join(dropped, "key", "left_anti").select("key", "row")
+    once = kept.join(repeated, "key", "left_anti").select("row.*")
+    again = kept.join(repeated, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.union(again.select("row.*"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3) -> DataFrame:
