@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import fold, texts
+from sluice.llm.common import few, fold, texts
 
 #: Bits of the space that n-grams are hashed into.
 SPACE = 1 << 18
@@ -98,13 +98,15 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     usable = usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"), F.xxhash64(id_col, text_col).alias("deal"))
-    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("deal", 0.02).alias("n"))
+    # One row a language: broadcast once counted to be few, so that no language's rows meet in one task.
+    sizes = few(usable.groupBy("lang").agg(F.approx_count_distinct("deal", 0.02).alias("n")))
     # The hash is even over 64 bits; a language of few texts passes whole.
     reach = F.when(F.col("n") > 4 * sample_per_lang, (2.0 * sample_per_lang / F.col("n") - 0.5) * 2.0**64)
     pick = Window.partitionBy("lang").orderBy("deal", "doc_id")
     ids = (
         usable.drop("text")
-        .join(sizes.select("lang", reach.alias("reach")), "lang")
+        .join(sizes, "lang")
+        .withColumn("reach", reach)
         .where(F.col("reach").isNull() | (F.col("deal") <= F.col("reach")))
         .select("lang", "doc_id", "text_hash", "deal")
         .distinct()
