@@ -15,6 +15,8 @@ from sluice.core.session import cut
 SLICE_BYTES = 1 << 21
 #: So many keys of a few dozen bytes may be broadcast; more meet their rows by a shuffle.
 BROADCAST_KEYS = 400_000
+#: A key of more than one in so many rows is heavy, so there are fewer heavy keys than this.
+HEAVY = 1000
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -28,6 +30,18 @@ def few(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
+def labelled(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``rows`` left joined to ``known``, which has one row a key.
+
+    Rows of heavy keys stay where they are and get theirs by a broadcast of fewer than ``HEAVY``
+    rows; the others are joined by a shuffle, so no task gets all rows of a group of copies.
+    """
+    total = rows.count()
+    heavy = F.broadcast(cut(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * HEAVY > total).select(key)))
+    near = rows.join(heavy, key, "left_semi").join(F.broadcast(known.join(heavy, key, "left_semi")), key, "left")
+    return near.union(rows.join(heavy, key, "left_anti").join(known, key, "left"))
+
+
 def as_bytes(column: pa.Array) -> pa.Array:
     return column.cast(pa.binary()) if not pa.types.is_large_string(column.type) else column.cast(pa.large_binary())
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sluice.core.graph import connected_components
 from sluice.core.session import cut
-from sluice.llm.common import as_bytes, few, texts
+from sluice.llm.common import as_bytes, few, labelled, texts
 
 SEED = 42
 WORDS = 5
@@ -194,7 +194,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = buckets.groupBy("value").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1")
     stars = cut(buckets.join(shared, "value").where("a <> node").select("value", "a", F.col("node").alias("b")))
     ends = stars.select(F.col("b").alias("whole")).union(stars.select(F.col("a").alias("whole"))).distinct()
-    firsts = made.join(ends, "whole", "left_semi").groupBy("whole").agg(F.min("doc_id").alias("first_id"))
+    firsts = sets.join(ends, "whole", "left_semi").select("whole", F.col("doc_id").alias("first_id"))
     named = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(few(firsts), "first_id")
     named = cut(named.select(F.col("whole").alias("node"), "text").dropDuplicates(["node"]))
     first = cut(verified(stars.select("a", "b").distinct(), named, words, least))
@@ -213,9 +213,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = dealt.withColumn("block", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
     more = block_links(dealt.join(whole.select("node", "shingles"), "node"), least)
     linked = connected_components(first.union(more), "a", "b")
-    reach = made.select("doc_id", "whole").join(linked.withColumnRenamed("node", "whole"), "whole", "left").select("doc_id", F.coalesce("component", "whole").alias("component"))
+    reach = sets.select("whole", "doc_id").join(linked.withColumnRenamed("node", "whole"), "whole", "left").select("whole", "doc_id", F.coalesce("component", "whole").alias("component"))
     smallest = reach.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return reach.join(smallest, "component").select("doc_id", "component_id")
+    known = cut(reach.join(smallest, "component").select("whole", "component_id"))
+    return labelled(made.select("doc_id", "whole"), known, "whole").select("doc_id", "component_id")
 
 
 def merged(one: DataFrame, other: DataFrame) -> DataFrame:
@@ -223,4 +224,4 @@ def merged(one: DataFrame, other: DataFrame) -> DataFrame:
     left = one.select("doc_id", F.col("component_id").alias("a")).distinct()
     both = cut(left.join(other.select("doc_id", F.col("component_id").alias("b")).distinct(), "doc_id"))
     linked = connected_components(both.select("a", "b").distinct(), "a", "b")
-    return both.join(linked.withColumnRenamed("node", "a"), "a", "left").select("doc_id", F.coalesce("component", "a").alias("component_id"))
+    return labelled(both.select("doc_id", "a"), linked.withColumnRenamed("node", "a"), "a").select("doc_id", F.coalesce("component", "a").alias("component_id"))

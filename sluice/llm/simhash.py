@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sluice.core.graph import connected_components
 from sluice.core.session import cut
-from sluice.llm.common import few, texts
+from sluice.llm.common import few, labelled, texts
 
 SEED = 42
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -152,8 +152,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "fp", "first_id", F.coalesce("component", "fp").alias("component")
     )
     least = reach.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = reach.join(least, "component").select("fp", "component_id")
-    return prints.join(known, "fp").select(
+    known = cut(reach.join(least, "component").select("fp", "component_id"))
+    return labelled(prints, known, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
