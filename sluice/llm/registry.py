@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.core.session import table
-from sluice.llm import ann, langid, media, mixing, ngrams, pieces, simhash, sitetree, toxicity, wordpieces
+from sluice.llm import ann, dialogues, langid, media, mixing, ngrams, phrases, pieces, secrets, simhash, sitetree, sql, toxicity, wordpieces
 
 #: Model file whose pieces op3 counts and op5 encodes with.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -51,12 +51,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op12_dialogue_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.forked_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_language_id, op2_media, op3_token_counts, op4_lm_scores, op5_sentencepiece, op6_nearest, op7_main_text, op8_mixing, op9_simhash, op10_toxicity)
+        for f in (op1_language_id, op2_media, op3_token_counts, op4_lm_scores, op5_sentencepiece, op6_nearest, op7_main_text, op8_mixing, op9_simhash, op10_toxicity, op11_secrets, op12_dialogue_trie, op13_collocations)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op11_secrets": sql.secrets(secrets.PATTERNS, secrets.CLASSES, secrets.ALLOWED),
+        "op12_dialogue_trie": sql.DIALOGUES,
+        "op13_collocations": sql.PHRASES,
+    }
