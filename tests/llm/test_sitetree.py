@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import time
 import tracemalloc
 
 import pytest
@@ -97,30 +98,40 @@ def by_hand(pages):
         for path, (texts, shape) in rows.items():
             tree[path].append((tuple(sorted(texts)), tuple(sorted(map(str, shape)))))
             words_of[path] += sum(len(t.split()) for _, t in texts)
-    low = set()
+    low, bulky, fixed = set(), set(), set()
     for path, seen in tree.items():
-        if len(seen) >= 4 and words_of[path] / total < 0.5:
-            if 0.8 * entropy([c for c, _ in seen]) + 0.2 * entropy([s for _, s in seen]) < 0.35:
+        if len(seen) >= 4:
+            share, shape = words_of[path] / total, entropy([s for _, s in seen])
+            important = 0.8 * entropy([c for c, _ in seen]) + 0.2 * shape >= 0.35
+            if not important and share < 0.5:
                 low.add(path)
+            if important and share >= 0.5:
+                bulky.add(path)
+            if important and share < 0.05 and shape < 0.15:
+                fixed.add(path)
+    inner = bulky - {p[:-1] for p in bulky}
 
-    def text(e, path):
-        return [] if path in low else [t for p in e.parts for t in ([p] if isinstance(p, str) else text(p, (*path, p.name)))]
+    def text(e, path, inside):
+        if path in low or (path in fixed and inner and not inside):
+            return []
+        inside = inside or path in inner
+        return [t for p in e.parts for t in ([p] if isinstance(p, str) else text(p, (*path, p.name), inside))]
 
-    return [" ".join(text(e, ("body",))) for e in pages], len(low)
+    return [" ".join(text(e, ("body",), False)) for e in pages], len(low), len(fixed) if inner else 0
 
 
 def test_verdicts_against_a_tree_by_hand(spark):
-    rng, rows, want, lows = random.Random(11), [], [], 0
+    rng, rows, want, lows, smalls = random.Random(11), [], [], 0, 0
     for h in range(14):
         pages = made_host(rng, rng.randint(3, 12))
         pages += [rng.choice(pages) for _ in range(rng.choice([0, 30]))]
-        texts, n = by_hand(pages)
-        lows += n
+        texts, n, k = by_hand(pages)
+        lows, smalls = lows + n, smalls + k
         for e, t in zip(pages, texts):
             want.append(t)
             rows.append((len(rows), f"http://h{h}.example/", f"<html>{e.source()}</html>"))
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert lows > 10
+    assert lows > 10 and smalls > 2
     for few in (sitetree.BROADCAST_ROWS, 0):
         out = {r["page_id"]: r["text"] for r in sitetree.extract_pages(df, broadcast_rows=few).collect()}
         assert [out[i] for i in range(len(want))] == want
@@ -155,6 +166,61 @@ def test_the_tree_decides_every_page_of_the_table(spark):
         assert low and sitetree.extract(r["html"], 0, low) == "" != sitetree.extract(r["html"])
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<a " * 300_000, None),
+    ("<a" * 300_000, None),
+    ("</ " * 300_000, None),
+    ("<! " * 300_000, None),
+    ("<p>x</p><a title=\"" * 100_000, None),
+    ("<a \">\"" * 200_000 + "'", None),
+    ("<a '" * 300_001 + "<b>y</b>", None),
+    ("<p>kept</p><!-- open " + "<p>x" * 300_000, "kept"),
+    ("<!-- a" * 300_000, ""),
+    ("kept <![CDATA[" * 200_000, None),
+    ("<li><ul>" + "<div>" * 50_000 + "<li></li>" * 50_000, ""),
+    ("x &#" + "9" * 300_000 + "; &#x" + "f" * 300_000 + "; &#0000065; y", "x \ufffd \ufffd A y"),
+])
+def test_broken_pages_take_time_in_proportion(page, text):
+    began = time.perf_counter()
+    found = sitetree.extract(page)
+    assert time.perf_counter() - began < 10
+    assert text is None or found == text
+
+
+def test_time_grows_with_the_page():
+    def seconds(n):
+        began = time.perf_counter()
+        sitetree.extract("<a " * n)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 40 * seconds(8_000) + 0.5
+
+
+def test_what_is_left_open():
+    assert sitetree.extract("<p>a</p><b title=\"x>y</b><p>c</p>") == "a y c"
+    assert sitetree.extract("<p>1 < 2 <p>b <a href='x>y'>z</a> <") == "1 < 2 b z <"
+
+
+def test_menu_and_advert_of_other_words_on_every_page(spark):
+    """Without names or tags that tell: the tree drops what always looks the same and holds little."""
+    words = lambda i, n: " ".join(f"w{i}n{k}x{n}" for k in range(n))
+    rows = []
+    for i in range(9):
+        bulk = "".join(f"<p>{words(i, 60 + k)}</p>" + "<ul><li>one</li></ul>" * (i % 2) for k in range(3))
+        menu = "<div class='qa'>" + "".join(f"<a href='/'>{words(i, 1)}</a>" for _ in range(3)) + "</div>"
+        rows.append((i, f"http://a.example/{i}", f"<body>{menu}<h1>Title {i}</h1><div class='qb'>{words(i, 5)}</div><div class='qc'>{bulk}</div></body>"))
+    out = {r["page_id"]: r["text"] for r in sitetree.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(9):
+        assert out[i].startswith(f"Title {i} w{i}n0x60") and f"w{i}n0x5 " not in out[i] and f"w{i}n0x1 " not in out[i]
+
+
+def test_a_name_of_furniture_keeps_the_bulk_of_a_lone_page(spark):
+    page = "<body><div class='post category-legal'>" + "long story " * 20 + "</div><div class='tags'>tag</div></body>"
+    rows = [(1, "http://lone.example/", page)]
+    assert sitetree.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).first()["text"] == ("long story " * 20).strip()
+
+
 def test_deep_pages_take_memory_in_proportion():
     tracemalloc.start()
     page = "<div class=a>" * 100_000 + "deep <li>" * 10
