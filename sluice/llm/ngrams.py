@@ -2,13 +2,16 @@
 
 The first level holds the training words: their 64-bit hashes as an Elias-Fano sequence (a word's
 id is its rank) with exact counts. The second holds what follows each word: monotone pointers into
-one sequence of followers, stored relative to their context, with smoothed log probabilities in 16
-bits. A pair is found by a successor search for the follower's id above its context's base; a sieve
+one sequence of followers, stored relative to their context, with discounted log probabilities in
+16 bits. A pair is found by a successor search for the follower's id above its context's base; a sieve
 of one hashed bit a pair spares most searches for pairs that aren't there.
 
-Levels are built in shards of equal hash ranges, each by one task from partial counts that were
-summed per task before the shuffle, and written once to the folder all executors share; scoring
-tasks map the files into memory. Nothing but the shards' sizes goes through the driver.
+Words are built in shards of equal hash ranges. Pairs are built in the cells of a grid, a range of
+contexts by a range of followers, so that a context that precedes a third of all words lies in many
+files; ids go by hash, which spreads its followers evenly. Each shard or cell is built by one task from
+partial counts that were summed per task before the shuffle and are summed again as they arrive, and
+written once to the folder all executors share; scoring tasks map the files into memory and know which
+of them exist, so a lost file is an error. Nothing but the files' sizes goes through the driver.
 
 Probabilities interpolate absolute discounts with the base model of single words, which gives
 unseen words the mass of a count of 0.1: they sum to one in every context. Every pair of the training
@@ -20,17 +23,16 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.core.session import shared_dir
+from sluice.core.session import cut, shared_dir
 from sluice.llm.common import fold, texts
 from sluice.llm.eliasfano import EliasFano
 
@@ -204,14 +206,43 @@ def contexts(ids: np.ndarray, sizes: np.ndarray, begin: int) -> np.ndarray:
     return out
 
 
+def _partial(cell: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Counts of sorted keys as one row for each shard or cell."""
+    order = np.argsort(cell, kind="stable")
+    cell, keys, counts = cell[order], keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
+    parts = list(zip(first, [*first[1:], len(cell)]))
+    return pa.record_batch([pa.array(cell[first].astype(np.int32)), pa.array([_planes(keys[a:b]) for a, b in parts], pa.binary()), pa.array([_planes(counts[a:b]) for a, b in parts], pa.binary())], ["shard", "keys", "counts"])
+
+
+_PARTIAL = "shard int, keys binary, counts binary"
+
+
+def _gathered(rows: DataFrame, write: Callable[[int, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """``write(shard, keys, counts)`` of each shard's sums; a task holds the distinct keys of one shard and a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, counts = None, [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for batch in batches:
+            for shard, k, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if shard != now and now is not None:
+                    yield write(now, *_summed(np.concatenate(keys), np.concatenate(counts)))
+                    keys, counts = keys[:0], counts[:0]
+                now = shard
+                keys.append(_unplaned(k.as_py(), np.uint64))
+                counts.append(_unplaned(c.as_py(), np.int64))
+                if len(keys) > 1 and sum(map(len, keys[1:])) > max(HELD_PAIRS, len(keys[0])):
+                    keys, counts = ([x] for x in _summed(np.concatenate(keys), np.concatenate(counts)))
+        if now is not None:
+            yield write(now, *_summed(np.concatenate(keys), np.concatenate(counts)))
+
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+
+
 def _count_words(docs: DataFrame, text_col: str, shards: int) -> DataFrame:
     def rows(total: Counter) -> pa.RecordBatch:
-        hashes = digest(list(total))
-        keys, counts = _summed(hashes, np.fromiter(total.values(), np.int64, len(total)))
-        shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-        edge = np.searchsorted(shard, np.arange(shards + 1))
-        used = np.flatnonzero(edge[1:] > edge[:-1])
-        return pa.record_batch([pa.array(used.astype(np.int32)), pa.array([keys[edge[s] : edge[s + 1]].tobytes() for s in used], pa.binary()), pa.array([_planes(counts[edge[s] : edge[s + 1]]) for s in used], pa.binary())], ["shard", "keys", "counts"])
+        keys, counts = _summed(digest(list(total)), np.fromiter(total.values(), np.int64, len(total)))
+        return _partial(((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64), keys, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -226,27 +257,45 @@ def _count_words(docs: DataFrame, text_col: str, shards: int) -> DataFrame:
         if total:
             yield rows(total)
 
-    return docs.select(text_col).mapInArrow(run, "shard int, keys binary, counts binary")
+    return docs.select(text_col).mapInArrow(run, _PARTIAL)
+
+
+class Grid:
+    """Cells of pairs: ``ranges`` of contexts, each as many word shards, by as many ranges of followers."""
+
+    def __init__(self, base: np.ndarray):
+        self.ranges = max(1, math.ceil(math.sqrt(len(base) - 1)))
+        self.vocabulary = int(base[-1])
+        # The begin of a text is the context after the last word.
+        self.edges = np.r_[base[: -1 : self.ranges], self.vocabulary + 1]
+
+    def range_of(self, context: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.edges, context, side="right") - 1
+
+    def cell_of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return self.range_of(context) * self.ranges + word * self.ranges // max(1, self.vocabulary)
+
+    def corner(self, cell: int) -> tuple[int, int]:
+        """The first context and follower of a cell."""
+        return int(self.edges[cell // self.ranges]), -(-(cell % self.ranges) * self.vocabulary // self.ranges)
 
 
 def _count_pairs(docs: DataFrame, text_col: str, words) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level: Words = words.value
-        reader, begin = Reader(level), int(level.base[-1])
+        reader, grid = Reader(level), Grid(level.base)
         held: list[np.ndarray] = []
         n = 0
 
         def rows() -> pa.RecordBatch:
             keys = np.concatenate(held)
             keys, counts = _summed(keys, np.ones(len(keys), np.int64))
-            edge = np.searchsorted(keys, np.r_[level.base[:-1].astype(np.uint64) << np.uint64(32), np.uint64(2**64 - 1)])
-            used = np.flatnonzero(edge[1:] > edge[:-1])
-            return pa.record_batch([pa.array(used.astype(np.int32)), pa.array([_planes(keys[edge[s] : edge[s + 1]]) for s in used], pa.binary()), pa.array([_planes(counts[edge[s] : edge[s + 1]].astype(np.uint32)) for s in used], pa.binary())], ["shard", "keys", "counts"])
+            return _partial(grid.cell_of(*_halves(keys)), keys, counts)
 
         for batch in batches:
             for _, part in texts(batch.column(0), SLICE):
                 ids, _, sizes = reader.read(part)
-                before = contexts(ids, sizes, begin)
+                before = contexts(ids, sizes, grid.vocabulary)
                 held.append(before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
                 n += len(ids)
                 if n > HELD_PAIRS:
@@ -256,60 +305,66 @@ def _count_pairs(docs: DataFrame, text_col: str, words) -> DataFrame:
         if held:
             yield rows()
 
-    return docs.select(text_col).mapInArrow(run, "shard int, keys binary, counts binary")
+    return docs.select(text_col).mapInArrow(run, _PARTIAL)
+
+
+def _halves(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _write_words(store: Store):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(pdf["shard"].iloc[0])
-        keys, counts = _summed(np.concatenate([np.frombuffer(k, np.uint64) for k in pdf["keys"]]), np.concatenate([_unplaned(c, np.int64) for c in pdf["counts"]]))
-        size = store.put(f"words-{shard}", _tagged("hash", EliasFano.build(keys, 1 << 64)) | {"count": counts})
-        return pd.DataFrame({"shard": [shard], "n": [len(keys)], "tokens": [int(counts.sum())], "bytes": [size]})
+    def run(shard: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        store.put(f"words-{shard}", _tagged("hash", EliasFano.build(keys, 1 << 64)) | {"count": counts})
+        return pa.record_batch([pa.array([shard], pa.int32()), pa.array([len(keys)]), pa.array([int(counts.sum())])], ["shard", "n", "tokens"])
 
     return run
 
 
-def _write_pairs(store: Store, words, documents: int, tokens: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _counts_of(level: Words, grid: Grid, k: int, documents: int) -> np.ndarray:
+    """How often each context of a range occurs."""
+    shards = range(k * grid.ranges, min((k + 1) * grid.ranges, level.shards))
+    own = [np.asarray(level.store.get(f"words-{s}")["count"]) for s in shards if level.base[s + 1] > level.base[s]]
+    return np.concatenate([np.zeros(0, np.int64), *own, *([[documents]] if grid.edges[k + 1] > grid.vocabulary else [])])
+
+
+def _write_pairs(store: Store, words, documents: int):
+    def run(cell: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         level: Words = words.value
-        shard = int(pdf["shard"].iloc[0])
-        base, end = int(level.base[shard]), int(level.base[shard + 1])
-        last = shard == level.shards - 1
-        keys, counts = _summed(np.concatenate([_unplaned(k, np.uint64) for k in pdf["keys"]]), np.concatenate([_unplaned(c, np.uint32) for c in pdf["counts"]]))
-        context, word = (keys >> np.uint64(32)).astype(np.int64) - base, (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        own = np.asarray(store.get(f"words-{shard}")["count"]) if end > base else np.zeros(0, np.int64)
-        own = np.r_[own, documents] if last else own
+        grid = Grid(level.base)
+        first, lowest = grid.corner(cell)
+        context, word = _halves(keys)
+        context, word = context - first, word - lowest
+        own = _counts_of(level, grid, cell // grid.ranges, documents)
         share = (counts - DISCOUNT) / own[context]
-        rest = np.maximum(1 - np.bincount(context, share, len(own)), 1e-9)
-        used = np.flatnonzero(np.bincount(context, minlength=len(own)))
+        kinds = np.bincount(context, minlength=len(own))
+        used = np.flatnonzero(kinds)
         # Followers relative to their context: each context's ids go on from the last value before it.
         pointer = np.searchsorted(context, np.arange(len(own) + 1))
         top = np.zeros(len(own), np.int64)
         top[used] = word[pointer[used + 1] - 1] + 1
         above = np.r_[0, np.cumsum(top)]
         follow = above[context] + word
-        vocabulary = int(level.base[-1])
-        single = np.zeros(len(word))
-        for s, some in _by_shard(level, word):
-            single[some] = np.asarray(store.get(f"words-{s}")["count"])[word[some] - level.base[s]]
-        single = (single + ADD) / (tokens + ADD * (vocabulary + 1))
-        logs = np.log10(share + rest[context] * single)
         arrays = _tagged("pointer", EliasFano.build(pointer, len(keys) + 1)) | _tagged("above", EliasFano.build(above, int(above[-1]) + 1)) | _tagged("follow", EliasFano.build(follow, int(above[-1]) + 1))
         bits = max(6, (SIEVE_BITS * max(1, len(keys))).bit_length())
         sieve = np.zeros(1 << bits, np.uint8)
         sieve[sieve_place(keys, bits)] = 1
-        size = store.put(f"pairs-{shard}", arrays | {"logp": quantise(logs), "rest": quantise(np.log10(rest)), "sieve": np.packbits(sieve, bitorder="little")})
-        return pd.DataFrame({"shard": [shard], "n": [len(keys)], "bytes": [size]})
+        store.put(f"pairs-{cell}", arrays | {"share": quantise(np.log10(share)), "sieve": np.packbits(sieve, bitorder="little")})
+        return pa.record_batch([pa.array([cell], pa.int32()), pa.array([cell // grid.ranges], pa.int32()), pa.array([len(keys)]), pa.array([_planes(used)], pa.binary()), pa.array([_planes(kinds[used])], pa.binary())], ["cell", "shard", "n", "keys", "counts"])
 
     return run
 
 
-def _by_shard(level: Words, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    shard = np.searchsorted(level.base, ids, side="right") - 1
-    order = np.argsort(shard, kind="stable")
-    edge = np.searchsorted(shard[order], np.arange(level.shards + 1))
-    for s in np.flatnonzero(edge[1:] > edge[:-1]):
-        yield int(s), order[edge[s] : edge[s + 1]]
+def _write_rests(store: Store, words, documents: int):
+    def run(k: int, contexts: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
+        level: Words = words.value
+        own = _counts_of(level, Grid(level.base), k, documents)
+        rest = np.ones(len(own))
+        # Every occurrence of a context has one follower, and each kind of follower gives up the discount.
+        rest[contexts.astype(np.int64)] = DISCOUNT * kinds / own[contexts.astype(np.int64)]
+        store.put(f"rests-{k}", {"rest": quantise(np.log10(rest))})
+        return pa.record_batch([pa.array([k], pa.int32())], ["shard"])
+
+    return run
 
 
 def sieve_place(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -323,64 +378,70 @@ def quantise(logs: np.ndarray) -> np.ndarray:
 
 
 class Pairs:
-    """The second level: log probabilities of a word after a context."""
+    """The second level: log probabilities of a word after a context. ``cells`` and ``ranges`` are the files that exist."""
 
-    def __init__(self, words: Words):
-        self.words, self.open = words, {}
+    def __init__(self, words: Words, cells: np.ndarray, ranges: np.ndarray):
+        self.words, self.grid, self.cells, self.ranges, self.open = words, Grid(words.base), set(cells.tolist()), set(ranges.tolist()), {}
 
-    def _shard(self, s: int):
-        if s not in self.open:
+    def _file(self, name: str) -> dict[str, np.ndarray]:
+        if name not in self.open:
             _make_room(self.open)
-            try:
-                arrays = self.words.store.get(f"pairs-{s}")
-            except FileNotFoundError:
-                self.open[s] = None
-            else:
-                self.open[s] = *(_untagged(k, arrays) for k in ("pointer", "above", "follow")), arrays["logp"], arrays["rest"], arrays["sieve"]
-        return self.open[s]
+            self.open[name] = self.words.store.get(name)
+        return self.open[name]
 
     def score(self, context: np.ndarray, word: np.ndarray, single: np.ndarray) -> np.ndarray:
         """Base-10 logs; ``single`` are those of the words alone, ids of -1 are unseen."""
         out = single.copy()
-        keys = context.astype(np.uint64) << np.uint64(32) | (word + 1).astype(np.uint64)
         some = np.flatnonzero(context >= 0)
-        keys, which = np.unique(keys[some], return_inverse=True)
-        before, follow = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
-        full = np.full(len(keys), np.nan)
-        rest = np.zeros(len(keys))
-        base = self.words.base
-        edge = np.searchsorted(before, np.r_[base[:-1], base[-1] + 1])
-        for s in np.flatnonzero(edge[1:] > edge[:-1]):
-            shard = self._shard(int(s))
-            if shard is None:
+        keys = context[some].astype(np.uint64) << np.uint64(32) | (word[some] + 1).astype(np.uint64)
+        keys, example, which = np.unique(keys, return_index=True, return_inverse=True)
+        before, follow = _halves(keys)
+        follow -= 1
+        alone = single[some][example]
+        share, rest = np.zeros(len(keys)), np.zeros(len(keys))
+        grid = self.grid
+        for k, a, b in _runs(grid.range_of(before)):
+            if k in self.ranges:
+                rest[a:b] = self._file(f"rests-{k}")["rest"][before[a:b] - grid.edges[k]] / -STEPS
+        known = np.flatnonzero(follow >= 0)
+        cell = grid.cell_of(before[known], follow[known])
+        order = np.argsort(cell, kind="stable")
+        for c, a, b in _runs(cell[order]):
+            if c not in self.cells:
                 continue
-            pointer, above, sequence, logp, left, sieve = shard
-            a, b = edge[s], edge[s + 1]
-            local = before[a:b] - base[s]
-            rest[a:b] = left[local] / -STEPS
-            place = sieve_place(keys[a:b] - np.uint64(1), (8 * len(sieve)).bit_length() - 1)
-            ask = np.flatnonzero((sieve[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & (follow[a:b] >= 0))
-            own, of = np.unique(local[ask], return_inverse=True)
+            file = self._file(f"pairs-{c}")
+            here = known[order[a:b]]
+            place = sieve_place(keys[here] - np.uint64(1), (8 * len(file["sieve"])).bit_length() - 1)
+            here = here[np.flatnonzero(file["sieve"][place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)]
+            pointer, above, sequence = (_untagged(name, file) for name in ("pointer", "above", "follow"))
+            first, lowest = grid.corner(c)
+            own, of = np.unique(before[here] - first, return_inverse=True)
             start, stop, floor = pointer.at(own)[of].astype(np.int64), pointer.at(own + 1)[of].astype(np.int64), above.at(own)[of]
-            at, equal = sequence.successor(floor + follow[a:b][ask].astype(np.uint64))
+            at, equal = sequence.successor(floor + (follow[here] - lowest).astype(np.uint64))
             hit = equal & (at >= start) & (at < stop)
-            full[a + ask[hit]] = logp[at[hit]] / -STEPS
-        found = full[which]
-        out[some] = np.where(np.isnan(found), single[some] + rest[which], found)
+            share[here[hit]] = 10 ** (file["share"][at[hit]] / -STEPS)
+        out[some] = np.where(share > 0, np.log10(share + 10 ** (rest + alone)), rest + alone)[which]
         return out
 
 
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Each value of a sorted array with the range of its places."""
+    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
+    for a, b in zip(first, [*first[1:], len(values)]):
+        yield int(values[a]), int(a), int(b)
+
+
 def train(docs: DataFrame, text_col: str = "text") -> dict:
     """Build the trie from all whole texts of ``docs``; returns what scoring needs.
 
-    ``folder`` holds the levels, ``base`` the shards' first ids, ``tokens`` and ``documents`` the
-    training totals.
+    ``folder`` holds the levels, ``base`` the shards' first ids, ``cells`` and ``ranges`` the files of
+    pairs, ``tokens`` and ``documents`` the training totals.
     """
     spark = docs.sparkSession
     documents, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
     shards = max(4, math.ceil(SHARDS * math.sqrt(documents / SHARD_DOCS)), math.ceil(size / SHARD_BYTES))
     store = Store(f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}")
-    counted = _count_words(docs, text_col, shards).groupBy("shard").applyInPandas(_write_words(store), "shard int, n long, tokens long, bytes long").collect()
+    counted = _gathered(_count_words(docs, text_col, shards), _write_words(store), "shard int, n long, tokens long").collect()
     sizes = np.zeros(shards, np.int64)
     for r in counted:
         sizes[r["shard"]] = r["n"]
@@ -388,8 +449,10 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     if base[-1] >= 1 << 32:
         raise ValueError("ids of words have 32 bits")
     words = spark.sparkContext.broadcast(Words(store, base))
-    _count_pairs(docs, text_col, words).groupBy("shard").applyInPandas(_write_pairs(store, words, documents, tokens), "shard int, n long, bytes long").collect()
-    return {"folder": store.uri, "base": base, "tokens": tokens, "documents": documents}
+    written = cut(_gathered(_count_pairs(docs, text_col, words), _write_pairs(store, words, documents), "cell int, shard int, n long, keys binary, counts binary"))
+    ranges = _gathered(written.select("shard", "keys", "counts"), _write_rests(store, words, documents), "shard int").collect()
+    cells = written.select("cell").collect()
+    return {"folder": store.uri, "base": base, "tokens": tokens, "documents": documents, "cells": np.array([r["cell"] for r in cells], np.int64), "ranges": np.array([r["shard"] for r in ranges], np.int64)}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -401,12 +464,12 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     """
     base, tokens = model["base"], model["tokens"]
     vocabulary = int(base[-1])
-    shared = docs.sparkSession.sparkContext.broadcast((model["folder"], base))
+    shared = docs.sparkSession.sparkContext.broadcast((model["folder"], base, model["cells"], model["ranges"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder, base = shared.value
+        folder, base, cells, ranges = shared.value
         words = Words(Store(folder), base)
-        reader, pairs = Reader(words), Pairs(words)
+        reader, pairs = Reader(words), Pairs(words, cells, ranges)
         for batch in batches:
             for start, part in texts(batch.column(1), SLICE):
                 ids, counts, sizes = reader.read(part)

@@ -78,3 +78,32 @@ def test_nothing_to_learn_from(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     row = ngrams.score_corpus(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (row["train_tokens"], row["n_known"], row["n_tokens"]) == (0, 0, 3) and row["score"] == row["base_score"]
+
+
+def test_a_context_of_a_third_of_all_pairs_lies_in_many_files(spark, tmp_path):
+    import pandas as pd
+
+    rows = [(i, " ".join(f"hot w{i * 40 + k} x{(i * k) % 97}" for k in range(40))) for i in range(300)]
+    docs = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text"])).repartition(6)
+    model = ngrams.train(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0"))
+    store = ngrams.Store(model["folder"])
+    words = ngrams.Words(store, model["base"])
+    grid = ngrams.Grid(model["base"])
+    hot = words.find(ngrams.digest([b"hot"]))[0]
+    cells = [c for c in model["cells"] if c // grid.ranges == grid.range_of(hot)[0]]
+    sizes = [len(store.get(f"pairs-{c}")["share"]) for c in cells]
+    assert len(cells) == grid.ranges > 1 and max(sizes) < 1.3 * sum(sizes) / len(sizes)
+    compare(ngrams.score_corpus(docs).collect(), brute(rows))
+
+
+def test_a_lost_file_is_an_error(spark):
+    import os
+
+    import pytest
+
+    docs = spark.createDataFrame([(i, f"a b c{i}") for i in range(50)], "doc_id long, text string")
+    model = ngrams.train(docs)
+    folder = model["folder"].removeprefix("file://").removeprefix("file:")
+    os.rename(f"{folder}/pairs-{model['cells'][0]}", f"{folder}/gone")
+    with pytest.raises(Exception, match="FileNotFoundError|No such file"):
+        ngrams.score(docs, model).collect()
