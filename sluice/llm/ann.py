@@ -153,11 +153,11 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
             yield query_ids[start + i], found[top], values[top]
 
 
-def _search(rows: DataFrame, is_query: Column, k: int, shortlist: int, double: bool, sample: int) -> DataFrame:
+def _search(rows: DataFrame, queries: DataFrame, k: int, shortlist: int, double: bool, sample: int) -> DataFrame:
     taught = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").collect()
     books = train(np.array([r["vector"] for r in taught], np.float32))
     index, blocks = _packed(rows, INDEX_BLOCK, books, double)
-    asked, _ = _packed(rows.where(is_query).dropDuplicates(["id", "vector"]), QUERY_BLOCK, None, double)
+    asked, _ = _packed(queries, QUERY_BLOCK, None, double)
     numbers = np.float64 if double else np.float32
     shared = rows.sparkSession.sparkContext.broadcast(books)
 
@@ -190,12 +190,13 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
     null ids. Vectors are compared with those of their own length. Rows with the query's own id
-    aren't its neighbours; other repeated rows stand for themselves. An empty table gives an empty
-    result.
+    aren't its neighbours; other repeated rows stand for themselves. Of several vectors of one id the
+    shortest and then smallest asks. An empty table gives an empty result.
     """
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     double = vectors.schema[vector_col].dataType.elementType.simpleString() == "double"
     lengths = [r[0] for r in rows.groupBy(F.size("vector").alias("n")).count().orderBy("n").collect()]
-    parts = [_search(rows.where(F.size("vector") == n), F.col("id") % every == 0, k, shortlist, double, sample) for n in lengths]
+    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct(F.size("vector").alias("n"), "vector")).alias("v")).select("id", "v.vector")
+    parts = [_search(rows.where(F.size("vector") == n), asked.where(F.size("vector") == n), k, shortlist, double, sample) for n in lengths]
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return reduce(DataFrame.unionByName, parts) if parts else empty

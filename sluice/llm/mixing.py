@@ -70,7 +70,7 @@ def multipliers(table: DataFrame, targets: DataFrame, limit: int = LIMIT, rounds
     """``source, target, source_size, mean, multiplier`` by safeguarded Newton iterations.
 
     ``table`` has ``source, size, n`` with positive sizes. Sizes enter as multiples of the source's
-    word-weighted mean. Each round sends one row per source and partition through a shuffle.
+    word-weighted mean. Multipliers that don't settle in ``rounds`` are an error. Each round sends one row per source and partition through a shuffle.
     """
     shape = table.groupBy("source").agg(
         (F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("mean"), F.min("size").alias("least")
@@ -106,8 +106,8 @@ def multipliers(table: DataFrame, targets: DataFrame, limit: int = LIMIT, rounds
             .coalesce(1)
         )
         if state.where("not settled").isEmpty():
-            break
-    return state.select("source", "source_size", "target", "mean", F.round("at", 10).alias("multiplier"))
+            return state.select("source", "source_size", "target", "mean", F.round("at", 10).alias("multiplier"))
+    raise RuntimeError(f"multipliers did not settle in {rounds} rounds")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, limit: int = LIMIT, carry: Column | None = None) -> DataFrame:

@@ -81,3 +81,9 @@ def test_encoding_beats_greedy():
         return float(((x - sum(books[m][codes[:, m]] for m in range(4))) ** 2).sum())
 
     assert error(8) <= error(1) < float((x**2).sum())
+
+
+def test_an_id_with_two_vectors_asks_once(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.5, 0.5, 0.5]), (1, [2.0, 1.0]), (2, [1.0, 3.0])]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [tuple(r) for r in out] == [(0, 1, 2, 3.0), (0, 2, 1, 1.0)]

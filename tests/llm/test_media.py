@@ -61,3 +61,11 @@ def test_pictures_with_errors(spark):
     df = spark.createDataFrame([(1, bytearray(b"P5\n2 2\n255\nabcd")), (2, None), (3, bytearray(b"P9"))], "k int, data binary")
     rows = {r["id"]: r for r in media.decode_pictures(df, "k", "data").collect()}
     assert rows[1]["height"] == 2 and rows[1]["error"] is None and rows[2]["error"] and rows[3]["error"]
+
+
+def test_samples_out_of_range_are_errors(spark):
+    data = [b"P2 1 1 255 99999999999", b"P2 1 1 255 300", b"P2 1 1 70000 5", b"P5 1 1 0 a", b"P2 0 3 255", b"P2 1 1 255 -5", b"P5 99999999999 99999999999 255 a", b"P2 1 1 " + b"9" * 5000, b"BM" + bytes(60), b"P2 1 1 255 0000000007"]
+    df = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(data)], "k int, data binary")
+    rows = {r["id"]: r for r in media.decode_pictures(df, "k", "data").collect()}
+    assert all(rows[i]["error"] and rows[i]["tiles"] is None for i in range(len(data) - 1))
+    assert rows[len(data) - 1]["error"] is None and media.read_tiles(rows[len(data) - 1]["tiles"]).tolist() == [[[7]]]

@@ -76,3 +76,10 @@ def test_awkward_rows(awkward, nothing):
     assert len(out) == 9 and all(0 <= r["taken"] <= 2 * r["size"] for r in out)
     assert mixing.mix(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
     assert mixing.mixed(awkward).columns == awkward.columns
+
+
+def test_unsettled_multipliers_are_an_error(spark):
+    table = spark.createDataFrame([("a", 3, 5), ("a", 7, 2)], "source string, size long, n long")
+    targets = spark.createDataFrame([("a", 29, 40.0)], "source string, source_size long, target double")
+    with pytest.raises(RuntimeError, match="settle"):
+        mixing.multipliers(table, targets, rounds=1)
