@@ -47,11 +47,15 @@ def token_value(value: Column, salt: bytes, length: int = 12) -> Column:
 
 
 def mask_keep_last(value: Column, n: int = 4) -> Column:
-    """All characters starred but the last ``n`` digits, where there are more digits than that; else stars only."""
+    """A star for each digit but the last ``n``, and these, where there are more digits than that.
+
+    Texts with fewer digits keep their last ``n`` characters; texts of ``n`` characters or fewer are
+    stars only.
+    """
     text = value.cast("string")
     digits = F.regexp_replace(text, r"\D", "")
-    stars = F.greatest(F.length(text) - n, F.lit(1))
-    return F.when(F.length(digits) > n, F.concat(F.repeat(F.lit("*"), stars), F.right(digits, F.lit(n)))).otherwise(F.repeat(F.lit("*"), F.length(text)))
+    last = lambda x: F.concat(F.repeat(F.lit("*"), F.length(x) - n), F.right(x, F.lit(n)))
+    return F.when(F.length(digits) > n, last(digits)).when(F.length(text) > n, last(text)).otherwise(F.repeat(F.lit("*"), F.length(text)))
 
 
 def mask_email(value: Column) -> Column:

@@ -128,19 +128,19 @@ def audit_grants(grants: DataFrame, as_of: str, conflicts: list[tuple[str, str]]
     return reduce(DataFrame.unionByName, parts)
 
 
-def roll_up(spark, edges: DataFrame, postings: DataFrame, max_depth: int = 32) -> DataFrame:
+def roll_up(spark, edges: DataFrame, postings: DataFrame, max_depth: int = 100) -> DataFrame:
     """``node, total``: postings summed into every ancestor of an edge table ``child, parent``.
 
     A recursive query walks up; a node already on the path ends its walk, so a cycle can't loop. A
-    child under two parents counts under both.
+    child under two parents counts under both. More than ``max_depth`` levels are an error.
     """
     edges.createOrReplaceTempView("sluice_edges")
     postings.groupBy("node").agg(F.sum("amount").alias("amount")).createOrReplaceTempView("sluice_postings")
     return spark.sql(f"""
-        WITH RECURSIVE up(leaf, node, path, depth) AS (
-          SELECT node, node, array(node), 0 FROM sluice_postings
-          UNION ALL SELECT u.leaf, e.parent, array_append(u.path, e.parent), u.depth + 1 FROM up u JOIN sluice_edges e ON u.node = e.child
-          WHERE NOT array_contains(u.path, e.parent) AND u.depth < {max_depth})
+        WITH RECURSIVE up(leaf, node, path) MAX RECURSION LEVEL {max_depth} AS (
+          SELECT node, node, array(node) FROM sluice_postings
+          UNION ALL SELECT u.leaf, e.parent, array_append(u.path, e.parent) FROM up u JOIN sluice_edges e ON u.node = e.child
+          WHERE NOT array_contains(u.path, e.parent))
         SELECT u.node, sum(p.amount) AS total FROM up u JOIN sluice_postings p ON u.leaf = p.node GROUP BY u.node
     """)
 

@@ -14,14 +14,18 @@ def bitemporal(facts: DataFrame, versions: DataFrame, key: str, at: str, known:
     """Facts with the version that was valid at ``at`` as it was known at ``known`` (null where none was).
 
     ``versions`` have the key, ``valid_from`` and ``recorded_at``. Of versions valid by then and
-    recorded by then the latest valid one counts, and of its records the last. Both sides meet on the
-    key only, so a key with many versions should have few facts or the other way round.
+    recorded by then the latest valid one counts, and of its records the last. Equal facts are looked
+    up once and given back as often as they occur. Both sides meet on the key only, so a key with many
+    versions should have few facts or the other way round.
     """
     from_ = versions.select(key, "valid_from", "recorded_at", *values)
-    rows = facts.withColumn("fact_", F.struct(*facts.columns)).withColumn("known_", known)
+    once = facts.groupBy(*facts.columns).agg(F.count("*").alias("times_"))
+    rows = once.select(F.struct(*facts.columns).alias("fact_"), key, at, "times_", known.alias("known_"))
     fits = (F.col("valid_from") <= F.col(at)) & (F.col("recorded_at") <= F.col("known_"))
     last = F.max(F.when(fits, F.struct("valid_from", "recorded_at", *values))).alias("v")
-    return rows.join(from_, key, "left").groupBy("fact_").agg(last).select("fact_.*", *[F.col(f"v.{c}").alias(c) for c in values])
+    found = rows.join(from_, key, "left").groupBy("fact_", "times_").agg(last)
+    again = found.withColumn("time_", F.explode(F.sequence(F.lit(1).cast("long"), "times_")))
+    return again.select("fact_.*", *[F.col(f"v.{c}").alias(c) for c in values])
 
 
 def keyset_page(df: DataFrame, order: list[str], after: tuple | None, size: int) -> DataFrame:
@@ -97,20 +101,22 @@ def levels(edges: DataFrame, before: str, after: str, max_rounds: int = 200) ->
 def json_paths(df: DataFrame, column: str) -> DataFrame:
     """``path, kind, n``: the union of the paths of JSON texts with the kinds of value found there.
 
-    Texts are read as variants and walked level by level; the elements of an array share one path.
+    Texts are read as variants and walked level by level, as many as there are; the elements of an
+    array share one path. A level is one pass over the values of the level before. Texts that aren't
+    JSON are left out.
     """
     at = df.select(F.lit("$").alias("path"), F.try_parse_json(column).alias("v")).where("v is not null")
     kinds = []
-    for _ in range(32):
+    while True:
         kind = F.regexp_extract(F.lower(F.schema_of_variant("v")), "^[a-z]+", 0)
         at = cut(at.withColumn("kind", F.when(kind == "bigint", "number").when(kind.isin("decimal", "double"), "number").otherwise(kind)))
         kinds.append(at.groupBy("path", "kind").agg(F.count("*").alias("n")))
-        inner = at.where("kind in ('object', 'array')").select("path", "kind", F.expr("try_variant_get(v, '$', 'map<string,variant>')").alias("m"), F.expr("try_variant_get(v, '$', 'array<variant>')").alias("a"))
-        named = inner.where("kind = 'object'").select("path", F.explode("m").alias("k", "v")).select(F.concat("path", F.lit("."), "k").alias("path"), "v")
-        listed = inner.where("kind = 'array'").select("path", F.explode("a").alias("v")).select(F.concat("path", F.lit("[]")).alias("path"), "v")
-        at = named.union(listed)
-        if at.isEmpty():
+        inner = at.where("kind in ('object', 'array')")
+        if inner.isEmpty():
             break
+        named = F.expr("transform(map_entries(try_variant_get(v, '$', 'map<string,variant>')), e -> struct(concat(path, '.', e.key) as path, e.value as v))")
+        listed = F.expr("transform(try_variant_get(v, '$', 'array<variant>'), e -> struct(concat(path, '[]') as path, e as v))")
+        at = inner.select(F.explode(F.when(F.col("kind") == "object", named).otherwise(listed)).alias("e")).select("e.*")
     out = kinds[0]
     for more in kinds[1:]:
         out = out.union(more)

@@ -57,10 +57,12 @@ def kanon_ladder(spark, sf_dir):
     return G.generalization_ladder(rows, {"full": ["c_mktsegment", "c_nationkey", band], "nation": ["c_mktsegment", "c_nationkey"], "segment": ["c_mktsegment"]}, 5)
 
 
-@query("SELECT c_custkey, left(sha256(c_name), 12) AS c_name, repeat('*', length(CAST(c_nationkey AS VARCHAR))) AS c_nationkey, CASE WHEN true THEN format('{:,}', CAST(floor(c_acctbal / 1000) * 1000 AS BIGINT)) || '-' || format('{:,}', CAST(floor(c_acctbal / 1000) * 1000 AS BIGINT) + 1000) END AS c_acctbal FROM customer")
+@query("SELECT c_custkey, left(sha256(c_name), 12) AS c_name, repeat('*', length(CAST(c_nationkey AS VARCHAR))) AS c_nationkey, CASE WHEN true THEN format('{:,}', CAST(floor(c_acctbal / 1000) * 1000 AS BIGINT)) || '-' || format('{:,}', CAST(floor(c_acctbal / 1000) * 1000 AS BIGINT) + 1000) END AS c_acctbal, repeat('*', length(CAST(c_custkey AS VARCHAR)) + 4) || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone FROM customer")
 def redact_policy(spark, sf_dir):
-    policy = {"c_name": {"strategy": "hash"}, "c_nationkey": {"strategy": "mask"}, "c_acctbal": {"strategy": "generalize", "as": "numeric", "width": 1000.0}, "c_mktsegment": {"strategy": "drop"}}
-    return G.apply_policy(table(spark, sf_dir, "customer"), policy)
+    policy = {"phone": {"strategy": "mask"}, "c_name": {"strategy": "hash"}, "c_nationkey": {"strategy": "mask"}, "c_acctbal": {"strategy": "generalize", "as": "numeric", "width": 1000.0}, "c_mktsegment": {"strategy": "drop"}}
+    key = F.col("c_custkey").cast("string")
+    phone = F.concat(F.lit("+1 ("), key, F.lit(") 010-"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"))
+    return G.apply_policy(table(spark, sf_dir, "customer").withColumn("phone", phone), policy)
 
 
 @query()

@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 def test_masks_of_short_and_odd_values(spark):
     df = spark.createDataFrame([("a@x.com", "12-34-56789", "no zip"), ("abc@x.com", "1234", "SW1A 12345"), ("nobody", "call 555", "1"), (None, None, None)], "mail string, phone string, zip string")
     out = df.select(privacy.mask_email(F.col("mail")), privacy.mask_keep_last(F.col("phone")), privacy.zip_prefix(F.col("zip"))).collect()
-    assert [tuple(r) for r in out] == [("a*@x.com", "*******6789", None), ("a**@x.com", "****", "112**"), ("******", "********", "1"), (None, None, None)]
+    assert [tuple(r) for r in out] == [("a*@x.com", "*****6789", None), ("a**@x.com", "****", "112**"), ("**body", "**** 555", "1"), (None, None, None)]
 
 
 def test_a_bad_expression_fails_alone(spark):
