@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sluice.core.session import table
 from sluice.queries import query
+from sluice.streaming import heartbeats as H
 from sluice.streaming import windows as W
 
 
@@ -53,3 +54,15 @@ def heartbeat_overdue(spark, sf_dir):
     jobs = e.select(F.col("user_id").alias("job")).distinct().select("job", (F.col("job") % 48 * 3600).alias("interval"), F.lit(600).alias("grace"))
     out = W.overdue(e, jobs, "user_id", "ts", "2024-01-31")
     return out.select("job", F.col("last").cast("timestamp_ntz").alias("last"), F.col("deadline").cast("timestamp_ntz").alias("deadline"))
+
+
+@query("""
+WITH p AS (SELECT DISTINCT user_id AS job, ts, 3600 * (12 + user_id % 36) AS s FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+g AS (SELECT job, ts AS last, ts + INTERVAL 1 SECOND * s AS deadline, lead(ts) OVER (PARTITION BY job ORDER BY ts) AS next FROM p)
+SELECT job, last, deadline FROM g WHERE (next IS NULL OR next > deadline) AND deadline <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)
+""")
+def stream_heartbeat_gaps(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    limit = (F.lit(12) + F.col("user_id") % 36) * 3600
+    out = H.run_silences(spark, sf_dir, schema, "user_id", "ts", limit, "10 minutes", "events.parquet")
+    return out.select("job", F.col("last").cast("timestamp_ntz").alias("last"), F.col("deadline").cast("timestamp_ntz").alias("deadline"))
