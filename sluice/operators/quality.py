@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.operators.statistics import quantiles
+
 
 def _mask(rule: dict, df: DataFrame) -> tuple[Column | None, Column]:
     """(violated, checked) of a row rule; None where a rule isn't one of rows."""
@@ -128,13 +130,14 @@ def infer_tests(profiled: DataFrame) -> DataFrame:
 def numeric_anomalies(df: DataFrame, key: str, column: str) -> DataFrame:
     """``key, value, zscore, modified_z, methods, severity``: rows that z, quartile fences or MAD flag.
 
-    Nothing is flagged of fewer than five values or of one distinct value. One pass gives moments
-    and exact quartiles, a second the median deviation; the few numbers go back as a broadcast row.
+    Nothing is flagged of fewer than five values or of one distinct value. Moments, exact quartiles and
+    the median deviation are taken over counts of distinct values; the few numbers are literals after.
     """
     own = df.select(F.col(key).alias("key"), F.col(column).cast("double").alias("value")).where("value is not null and not isnan(value)")
-    stats = own.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
-    mad = own.join(F.broadcast(stats)).agg(F.median(F.abs(F.col("value") - F.col("q")[1])).alias("mad"))
-    marked = own.join(F.broadcast(stats.join(F.broadcast(mad)))).where("n >= 5 and least < most")
+    stats = own.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    q = quantiles(own, "value", [0.25, 0.5, 0.75]) or [0.0] * 3
+    mad = (quantiles(own.select(F.abs(F.col("value") - q[1]).alias("far")), "far", [0.5]) or [0.0])[0]
+    marked = own.join(F.broadcast(stats)).withColumns({"q": F.array(*map(F.lit, q)), "mad": F.lit(mad)}).where("n >= 5 and least < most")
     iqr = F.col("q")[2] - F.col("q")[0]
     z = F.when(F.col("sd") > 0, (F.col("value") - F.col("mean")) / F.col("sd"))
     mz = F.when(F.col("mad") > 0, F.lit(0.6745) * (F.col("value") - F.col("q")[1]) / F.col("mad"))

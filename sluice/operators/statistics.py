@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.core.session import cut
 from sluice.functions.stats import chi2_upper, f_upper, normal_two_sided, t_two_sided, wilson
 
 
@@ -77,10 +79,14 @@ def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool =
     """Inclusive running sums over the whole order of a column, without one task for all rows.
 
     Rows are dealt into value ranges of about equal rows, each range is summed within itself, and
-    the few ranges' totals are summed before being added back.
+    the few ranges' totals are summed before being added back. There are ``buckets`` ranges, and 4 or
+    16 times as many beyond 10^8 or 10^9 rows.
     """
-    edges = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000).alias("edges_"))
-    dealt = df.join(F.broadcast(edges)).withColumn("bucket_", F.size(F.filter(F.array_distinct("edges_"), lambda e: e < F.col(order)))).drop("edges_")
+    fine = 16 * buckets
+    step = F.when(F.col("rows_") > 10**9, 1).when(F.col("rows_") > 10**8, 4).otherwise(16)
+    edges = df.agg(F.count("*").alias("rows_"), F.percentile_approx(order, [i / fine for i in range(1, fine)], 10_000).alias("fine_"))
+    edges = edges.withColumn("step_", step).select(F.array_distinct(F.expr("filter(fine_, (e, i) -> (i + 1) % step_ = 0)")).alias("edges_"))
+    dealt = df.join(F.broadcast(edges)).withColumn("bucket_", F.size(F.filter("edges_", lambda e: e < F.col(order)))).drop("edges_")
     by = F.col(order).desc() if descending else F.col(order).asc()
     within = Window.partitionBy("bucket_").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     side = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket_") if descending else F.asc("bucket_")).rowsBetween(Window.unboundedPreceding, -1)
@@ -91,6 +97,24 @@ def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool =
     return joined.select(*df.columns, *[(F.col(f"l_{k}") + F.col(f"b_{k}")).alias(k) for k in sums])
 
 
+def quantiles(df: DataFrame, column: str, probabilities: list[float]) -> list[float]:
+    """Exact quantiles of a column by linear interpolation; nulls take no part, an empty column has none.
+
+    Distinct values are counted first and their running counts taken over value ranges, so no task
+    holds all values.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    upto = cut(running(counts, "v", {"upto": "n"}))
+    rows = upto.agg(F.max("upto")).first()[0]
+    if not rows:
+        return []
+    places = [(rows - 1) * p for p in probabilities]
+    wanted = sorted({k for p in places for k in (floor(p), ceil(p))})
+    found = upto.agg(*[F.min(F.when(F.col("upto") > k, F.col("v"))).alias(f"v{k}") for k in wanted]).first()
+    value = lambda k: found[f"v{k}"]
+    return [value(floor(p)) + (value(ceil(p)) - value(floor(p))) * (p - floor(p)) for p in places]
+
+
 def contingency(df: DataFrame, row: str, column: str) -> DataFrame:
     """``row, column, n, expected, residual`` of a two-way table, empty cells included."""
     cells = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(row).alias("row"), F.col(column).alias("column")).agg(F.count("*").alias("n"))
@@ -262,8 +286,8 @@ def prior_median(df: DataFrame, by: list[str], order: str, value: str) -> DataFr
 
 def strata(df: DataFrame, covariate: str, parts: int = 10) -> DataFrame:
     """Rows with ``stratum`` (0 on) between the exact quantiles of a covariate; equal values share one."""
-    edges = df.agg(F.percentile(covariate, [i / parts for i in range(1, parts)]).alias("edges_"))
-    return df.join(F.broadcast(edges)).withColumn("stratum", F.size(F.filter("edges_", lambda e: e < F.col(covariate)))).drop("edges_")
+    edges = F.array(*[F.lit(e) for e in quantiles(df, covariate, [i / parts for i in range(1, parts)])]).cast("array<double>")
+    return df.withColumn("stratum", F.size(F.filter(edges, lambda e: e < F.col(covariate))))
 
 
 def leakage(train: DataFrame, test: DataFrame, features: list[str], target: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.core.session import table
+from sluice.operators import binning as B
 from sluice.operators import outliers as O
 from sluice.queries import query
 
@@ -14,3 +15,30 @@ def outlier_lineitems(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     out = O.explained_outliers(rows, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], contamination=0.01)
     return out.where("outlier").select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"), F.array_join(F.transform("reasons", lambda r: F.concat_ws(" ", r["feature"], r["direction"])), ", ").alias("reasons"))
+
+
+def _priced(spark, sf_dir):
+    """Whether an order is urgent, by its price and the age of its date in days; some prices stand for none."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 17 != 0, F.when(F.col("o_orderkey") % 19 == 0, -1.0).otherwise(F.col("o_totalprice"))).alias("price"), (F.col("o_totalprice") + (F.col("o_orderkey") * 7919) % 300_000 > 300_000).alias("large"))
+
+
+@query("""
+WITH p AS (SELECT CASE WHEN o_orderkey % 17 != 0 THEN CASE WHEN o_orderkey % 19 = 0 THEN -1.0 ELSE o_totalprice END END AS price, o_totalprice + (o_orderkey * 7919) % 300000 > 300000 AS large FROM orders),
+q AS (SELECT list_distinct(quantile_cont(price, [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])) AS edges FROM p WHERE price <> -1)
+SELECT CASE WHEN price IS NULL THEN 'missing' WHEN price = -1 THEN 'special' ELSE 'number' END AS kind, CASE WHEN price IS NULL THEN 0 WHEN price = -1 THEN -1 ELSE len(list_filter(edges, lambda e: e < price)) END::DOUBLE AS at, count(*) AS n, sum(large::INT)::BIGINT AS events FROM p, q GROUP BY 1, 2
+""")
+def prebins_of_prices(spark, sf_dir):
+    from sluice.operators.statistics import quantiles
+
+    rows = _priced(spark, sf_dir)
+    edges = quantiles(rows.where("price <> -1"), "price", [i / 20 for i in range(1, 20)])
+    return B.prebin_counts(rows, F.col("price"), F.col("large"), edges, [-1.0])
+
+
+@query()
+def binned_prices(spark, sf_dir):
+    """The optimal bins, as their frozen weights apply to every order."""
+    rows = _priced(spark, sf_dir)
+    best = B.fit_binning(rows, "price", F.col("large"), specials=[-1.0], method="optimal")
+    out = rows.groupBy(best.label(F.col("price")).alias("label"), F.round(best.woe(F.col("price")), 6).alias("woe"))
+    return out.agg(F.count("*").alias("n"), F.sum(F.col("large").cast("long")).alias("events"))
