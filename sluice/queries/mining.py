@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sluice.core.session import table
 from sluice.operators import binning as B
 from sluice.operators import outliers as O
+from sluice.operators import schemas as J
 from sluice.queries import query
 
 
@@ -42,3 +43,41 @@ def binned_prices(spark, sf_dir):
     best = B.fit_binning(rows, "price", F.col("large"), specials=[-1.0], method="optimal")
     out = rows.groupBy(best.label(F.col("price")).alias("label"), F.round(best.woe(F.col("price")), 6).alias("woe"))
     return out.agg(F.count("*").alias("n"), F.sum(F.col("large").cast("long")).alias("events"))
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, event_type, value, props FROM events),
+t AS (SELECT event_type AS v, count(*) AS n FROM e GROUP BY 1), s AS (SELECT count(*) AS n FROM e),
+f AS (
+  SELECT '$' AS path, 'object' AS types, (SELECT n FROM s) AS seen, (SELECT n FROM s) AS of, 0 AS distinct_values
+  UNION ALL SELECT '$.id', 'integer', (SELECT n FROM s), (SELECT n FROM s), (SELECT count(DISTINCT event_id) FROM e)
+  UNION ALL SELECT '$.type', 'string', (SELECT n FROM s), (SELECT n FROM s), (SELECT count(*) FROM t)
+  UNION ALL SELECT '$.props', 'object', (SELECT n FROM s), (SELECT n FROM s), 0
+  UNION ALL SELECT '$.props.k', 'integer', (SELECT n FROM s), (SELECT n FROM s), (SELECT count(DISTINCT json_extract(props, '$.k')) FROM e)
+  UNION ALL SELECT '$.user', 'object', count(*), (SELECT n FROM s), 0 FROM e WHERE value > 20
+  UNION ALL SELECT '$.user.name', 'string', count(*), count(*), count(DISTINCT user_id) FROM e WHERE value > 20
+  UNION ALL SELECT '$.tags', 'array', (SELECT n FROM s), (SELECT n FROM s), 0
+  UNION ALL SELECT '$.tags[]', 'string', count(*), count(*), count(DISTINCT event_type) FROM e WHERE value > 60)
+SELECT path, types, seen, of, distinct_values::BIGINT AS distinct_values, CASE WHEN seen >= 0.98 * of THEN 'required' WHEN seen < 0.2 * of THEN 'rare' ELSE 'optional' END AS decision FROM f WHERE seen > 0
+""")
+def schema_of_events(spark, sf_dir):
+    event = F.struct(
+        F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.from_json("props", "k long").alias("props"),
+        F.when(F.col("value") > 20, F.struct(F.concat(F.lit("u"), "user_id").alias("name"))).alias("user"),
+        F.when(F.col("value") > 60, F.array("event_type")).otherwise(F.array().cast("array<string>")).alias("tags"),
+    )
+    found = J.fields(J.evidence(table(spark, sf_dir, "events").select(F.to_json(event).alias("text")), "text"))
+    return found.select("path", "types", "seen", "of", F.col("distinct").alias("distinct_values"), F.when(F.col("decision").startswith("optional - rare"), "rare").otherwise(F.col("decision")).alias("decision"))
+
+
+@query("""
+SELECT '$.' || key AS path, types, n AS seen, d AS distinct_values FROM (
+  SELECT 'conv' AS key, 'integer' AS types, count(*) AS n, count(DISTINCT conv_id) AS d FROM conversations
+  UNION ALL SELECT 'turn', 'integer', count(*), count(DISTINCT turn) FROM conversations
+  UNION ALL SELECT 'role', 'string', count(*), count(DISTINCT role) FROM conversations
+  UNION ALL SELECT 'text', 'string', count(*), count(DISTINCT text) FROM conversations)
+""")
+def schema_of_conversations(spark, sf_dir):
+    turn = F.to_json(F.struct(F.col("conv_id").alias("conv"), "turn", "role", "text"))
+    found = J.fields(J.evidence(table(spark, sf_dir, "conversations").select(turn.alias("t")), "t"))
+    return found.where("parent = '$'").select("path", "types", "seen", F.col("distinct").alias("distinct_values"))
