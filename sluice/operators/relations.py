@@ -123,21 +123,6 @@ def json_paths(df: DataFrame, column: str) -> DataFrame:
     return out.groupBy("path", "kind").agg(F.sum("n").alias("n"))
 
 
-def page_barriers(html: Column) -> Column:
-    """``struct`` of what keeps readers out of a page: no language or title, images without a text, links without one, headings that skip a level."""
-    count = lambda pattern: F.regexp_count(html, F.lit(pattern))
-    headings = F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<h([1-6])[\s>]"), F.lit(1)), lambda x: x.cast("int"))
-    skips = F.size(F.filter(F.zip_with(F.concat(F.array(F.lit(0)), headings), F.concat(headings, F.array(F.lit(0))), lambda a, b: b - a), lambda d: d > 1))
-    return F.struct(
-        (count(r"(?i)<html[^>]*\slang=\"[^\"]+\"") == 0).alias("no_lang"),
-        (count(r"(?i)<title>[^<]*[^<\s][^<]*</title>") == 0).alias("no_title"),
-        (count(r"(?i)<img\b") - count(r"(?i)<img\b[^>]*\salt=\"")).alias("images_without_text"),
-        count(r"(?i)<a\b[^>]*>\s*</a>").alias("empty_links"),
-        count(r"(?i)<h1[\s>]").alias("h1"),
-        skips.alias("skipped_levels"),
-    )
-
-
 WIDE = r"[ᄀ-ᅟ⺀-〾ぁ-㏿㐀-䶿一-鿿ꀀ-꓏가-힣豈-﫿︰-﹯＀-｠￠-￦]"
 NO_WIDTH = r"[̀-ͯ​-‏⃐-⃿︀-️︠-︯]"
 

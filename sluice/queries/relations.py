@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sluice.core.session import shared_dir, table
+from sluice.operators import accessibility as A
 from sluice.operators import relations as R
 from sluice.operators import statistics as S
 from sluice.queries import query
@@ -146,12 +147,21 @@ def json_path_union(spark, sf_dir):
 
 
 @query(r"""
-SELECT page_id, NOT regexp_matches(html, '(?i)<html[^>]*\slang="[^"]+"') AS no_lang, NOT regexp_matches(html, '(?i)<title>[^<]*[^<\s][^<]*</title>') AS no_title,
-CAST(len(regexp_extract_all(html, '(?i)<img\b')) - len(regexp_extract_all(html, '(?i)<img\b[^>]*\salt="')) AS INTEGER) AS images_without_text, CAST(len(regexp_extract_all(html, '(?i)<a\b[^>]*>\s*</a>')) AS INTEGER) AS empty_links,
-CAST(len(regexp_extract_all(html, '(?i)<h1[\s>]')) AS INTEGER) AS h1, 0 AS skipped_levels FROM pages
+WITH p AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS h FROM pages),
+r AS (SELECT page_id, unnest(['html-lang', 'page-title', 'viewport', 'img-alt', 'link-name', 'link-vague', 'no-h1', 'multi-h1']) AS rule, unnest([
+  (NOT regexp_matches(h, '(?i)<html[^>]*\slang="[^"]+"'))::INT, (NOT regexp_matches(h, '(?i)<title'))::INT, (NOT regexp_matches(h, '(?i)<meta[^>]*name="viewport"'))::INT,
+  len(regexp_extract_all(h, '(?i)<img\b')) - len(regexp_extract_all(h, '(?i)<img\b[^>]*\salt=')), len(regexp_extract_all(h, '(?i)<a\b[^>]*>\s*</a>')), len(regexp_extract_all(h, '(?i)<a\b[^>]*>\s*(?:click here|here|read more|more|link|this|learn more)\s*</a>')),
+  (NOT regexp_matches(h, '(?i)<h1[\s>]') AND regexp_matches(h, '(?i)<h[2-6][\s>]'))::INT, (len(regexp_extract_all(h, '(?i)<h1[\s>]')) > 1)::INT]) AS n FROM p)
+SELECT page_id, rule, n::BIGINT AS n FROM r WHERE n > 0
 """)
 def page_accessibility(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", R.page_barriers(F.col("html")).alias("r")).select("page_id", "r.*")
+    found = A.findings(A.elements(table(spark, sf_dir, "pages"), "page_id", "html"))
+    return found.groupBy(F.col("page").alias("page_id"), "rule").agg(F.count("*").alias("n"))
+
+
+@query()
+def page_grades(spark, sf_dir):
+    return A.grades(A.elements(table(spark, sf_dir, "pages"), "page_id", "html")).select(F.col("page").alias("page_id"), "faults", "score", "grade")
 
 
 @query(r"SELECT doc_id, CAST(len(text) + len(regexp_extract_all(text, '[\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{33FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A000}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}]')) - len(regexp_extract_all(text, '[\x{0300}-\x{036F}\x{200B}-\x{200F}\x{20D0}-\x{20FF}\x{FE00}-\x{FE0F}\x{FE20}-\x{FE2F}]')) AS INTEGER) AS width FROM (SELECT doc_id, text || '日本e' || chr(769) AS text FROM documents)")
