@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from sluice.llm.common import texts
 
 SPACE = "▁"
-#: Words that a worker remembers before it starts anew.
-MEMORY = 600_000
+#: Words of either generation that a worker remembers.
+MEMORY = 100_000
 #: Score of a character that no piece covers, below the least score.
 UNKNOWN_PENALTY = 10.0
 #: Pieces of a BPE model whose followers a worker remembers before it starts anew.
@@ -295,7 +295,9 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        # Words since the last change of generations, and those of the one before.
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -304,11 +306,11 @@ class Encoder:
         if not self.vocabulary.splits:
             return self._coded(text)
         words = _WORDS.findall(text)
+        if len(self.memory) > MEMORY:
+            self.memory, self.older = {}, self.memory
         memory = self.memory
-        if len(memory) > MEMORY:
-            memory.clear()
         for word in set(words).difference(memory):
-            memory[word] = self._coded(word)
+            memory[word] = self.older.get(word) or self._coded(word)
         return b"".join(map(memory.__getitem__, words))
 
     def _coded(self, text: str) -> bytes:

@@ -31,7 +31,7 @@ RIDGE = 0.05
 #: Share of the character model's mass that goes to words marking toxic training texts.
 LEXICON_SHARE = 0.05
 #: Tokens whose features a worker remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 150_000
 
 # Leetspeak signs and the letters they stand for.
 LEET = {
