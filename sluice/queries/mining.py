@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from sluice.core.session import table
 from sluice.operators import binning as B
 from sluice.operators import outliers as O
+from sluice.operators import resampling as R
 from sluice.operators import schemas as J
+from sluice.operators import topics as T
 from sluice.queries import query
 
 
@@ -81,3 +83,23 @@ def schema_of_conversations(spark, sf_dir):
     turn = F.to_json(F.struct(F.col("conv_id").alias("conv"), "turn", "role", "text"))
     found = J.fields(J.evidence(table(spark, sf_dir, "conversations").select(turn.alias("t")), "t"))
     return found.where("parent = '$'").select("path", "types", "seen", F.col("distinct").alias("distinct_values"))
+
+
+def _labelled(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.max("n_chars").cast("double").alias("n_chars"), F.max(F.size(F.split("text", " "))).cast("double").alias("n_words"))
+    return table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(docs, "doc_id")
+
+
+@query("""
+WITH l AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1), d AS (SELECT toxic, count(*) AS n FROM l WHERE doc_id IN (SELECT doc_id FROM documents WHERE text IS NOT NULL) GROUP BY 1)
+SELECT toxic, n, max(n) OVER () - n AS made FROM d
+""")
+def smote_labels(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    made = R.smote(rows, "toxic", ["n_chars", "n_words"], "doc_id").groupBy(F.col("label").alias("toxic")).agg(F.count("*").alias("made"))
+    return rows.groupBy("toxic").agg(F.count("*").alias("n")).join(made, "toxic", "left").select("toxic", "n", F.coalesce("made", F.lit(0)).alias("made"))
+
+
+@query()
+def document_topics(spark, sf_dir):
+    return T.fit_topics(table(spark, sf_dir, "documents"), "doc_id", "text", 4, rounds=10)[1].select(F.col("id").alias("doc_id"), "topic", F.round("confidence", 4).alias("confidence"))
