@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -52,6 +53,16 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Rows of a small table that may be broadcast, once they have been counted.
+SMALL_ROWS = 400_000
+
+
+def counted_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A table computed once, with a hint to broadcast it only where it was counted to have ``most`` rows or fewer."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

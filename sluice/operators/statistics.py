@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from heapq import heappop, heappush, heappushpop
 from math import ceil, floor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sluice.core.session import cut
 from sluice.functions.stats import chi2_upper, f_upper, normal_two_sided, t_two_sided, wilson
@@ -279,9 +283,30 @@ def lagged_correlation(series: DataFrame, at: str, x: str, y: str, lags: list[in
 
 
 def prior_median(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """Rows with ``baseline``, the median of the earlier rows of their keys (null for the first)."""
-    earlier = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("baseline", F.percentile(value, 0.5).over(earlier))
+    """Rows with ``baseline``, the median of the earlier rows of their keys (null for the first).
+
+    Rows are dealt by key and sorted; two heaps for the key at hand give each row its median in the
+    logarithm of the rows before it. Null values are no history.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, low, high = None, [], []
+        for batch in batches:
+            keys = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in by))
+            found = []
+            for now, x in zip(keys, batch.column(batch.num_columns - 1).to_pylist()):
+                if now != key:
+                    key, low, high = now, [], []
+                found.append(None if not low else float(-low[0]) if len(low) > len(high) else (high[0] - low[0]) / 2)
+                if x is not None:
+                    # The lower half, negated, has as many as the upper or one more.
+                    heappush(high, -heappushpop(low, -x))
+                    if len(high) > len(low):
+                        heappush(low, -heappop(high))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*batch.schema.names[:-1], "baseline"])
+
+    sorted_ = df.withColumn("value_", F.col(value).cast("double")).repartition(*by).sortWithinPartitions(*by, order)
+    return sorted_.mapInArrow(run, StructType([*df.schema.fields, StructField("baseline", DoubleType())]))
 
 
 def strata(df: DataFrame, covariate: str, parts: int = 10) -> DataFrame:

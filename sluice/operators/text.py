@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.core.graph import connected_components
+from sluice.core.session import counted_small, cut
 from sluice.functions.privacy import PII, SECRETS
 
 WORD = r"[a-z0-9]+"
@@ -43,17 +44,19 @@ def tfidf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
 def search(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int) -> DataFrame:
     """``query, rank, key, score``: the ``k`` documents of greatest cosine per query, ties to the smaller key.
 
-    Only documents that share a term with a query are scored: an equi-join on terms, summed before
-    the ranking.
+    Only documents that share a term with a query are scored: words are counted once, the queries'
+    terms are broadcast once counted to be few, and products summed before the ranking.
     """
-    n = docs.agg(F.count("*").alias("docs"))
-    counts = term_counts(docs, key, text)
-    weights = tfidf(counts, n)
-    norms = weights.groupBy("key").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    idf = counts.groupBy("term").agg(F.count("*").alias("df"))
-    asked = term_counts(queries, query_key, query_text).join(idf, "term").join(F.broadcast(n)).select(F.col("key").alias("query"), "term", (F.col("n") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)).alias("q"))
-    asked = asked.withColumn("q", F.col("q") / F.sqrt(F.sum(F.col("q") ** 2).over(Window.partitionBy("query"))))
-    scores = weights.join(asked, "term").groupBy("query", "key").agg(F.sum(F.col("weight") * F.col("q")).alias("dot")).join(norms, "key").select("query", "key", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
+    counts = cut(term_counts(docs, key, text))
+    n = cut(docs.agg(F.count("*").alias("docs")))
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1
+    asked = term_counts(queries, query_key, query_text).join(df, "term").join(F.broadcast(n)).select(F.col("key").alias("query"), "term", (F.col("n") * idf).alias("q"), idf.alias("idf"))
+    asked = counted_small(asked.withColumn("q", F.col("q") / F.sqrt(F.sum(F.col("q") ** 2).over(Window.partitionBy("query")))))
+    weight = F.col("n") / F.col("total")
+    dots = counts.join(asked, "term").groupBy("query", "key").agg(F.sum(weight * F.col("idf") * F.col("q")).alias("dot"))
+    norms = tfidf(counts, n).groupBy("key").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
+    scores = dots.join(norms, "key").select("query", "key", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "key")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "rank", "key", "score")
 
@@ -123,7 +126,8 @@ def containment(df: DataFrame, items: DataFrame, key: str, text: str, item_key:
         each = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(n)), " ")))).otherwise(F.array().cast("array<bigint>"))
         return frame.select(F.col(k).alias("k"), F.explode(F.array_distinct(let(words(F.col(t)), each))).alias("g"))
 
-    own = grams(items, item_key, item_text)
+    # Few items: their n-grams go to the texts', which stay where they are but for the hits.
+    own = counted_small(grams(items, item_key, item_text))
     sizes = own.groupBy("k").agg(F.count("*").alias("m"))
     hits = grams(df, key, text).withColumnRenamed("k", "key").join(own.withColumnRenamed("k", "item"), "g").groupBy("key", "item").agg(F.count("*").alias("n"))
     return hits.join(sizes, hits["item"] == sizes["k"]).select("key", "item", F.round(F.col("n") / F.col("m"), 6).alias("share"))

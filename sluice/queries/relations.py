@@ -72,7 +72,7 @@ def lagged_order_correlation(spark, sf_dir):
 
 @query("SELECT event_id, round(median(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS baseline FROM events")
 def prior_median_events(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.struct("ts", "event_id").alias("at"))
     return S.prior_median(rows, ["user_id", "event_type"], "at", "value").select("event_id", F.round("baseline", 6).alias("baseline"))
 
 

@@ -37,3 +37,19 @@ def test_roll_up_of_many_levels(spark):
     assert out == {str(i): 5.0 for i in range(61)}
     with pytest.raises(Exception, match="(?i)recursion"):
         governance.roll_up(spark, edges, posts, max_depth=20).collect()
+
+
+def test_prior_median_streams_over_a_hot_key(spark):
+    import random
+    import statistics as plain
+
+    from sluice.operators import statistics
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), i, rng.choice([None, 1.0, 2.5, rng.random()])) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, at int, v double").repartition(6)
+    got = {r["at"]: r["baseline"] for r in statistics.prior_median(df, ["k"], "at", "v").collect()}
+    assert len(got) == 700
+    for k, at, _ in rows:
+        before = [v for q, t, v in rows if q == k and t < at and v is not None]
+        assert got[at] is None if not before else abs(got[at] - plain.median(before)) < 1e-12
