@@ -154,12 +154,23 @@ def sla_breaches(spark, sf_dir):
     return G.pipeline_sla(runs, slas)
 
 
-@query("SELECT * FROM (VALUES ('a', 'widened', 'info'), ('b', 'retyped', 'breaking'), ('c', 'removed', 'breaking'), ('d', 'added', 'info'), ('e', 'now-required', 'breaking'), ('f', 'now-nullable', 'warning'), ('h', 'added-required', 'breaking')) AS t(\"column\", change, severity)")
+@query("""
+WITH n AS (SELECT count(*) FILTER (c_custkey % 7 = 0) > 0 AS nulls, count(*) FILTER (c_custkey % 9 = 4) > 0 AS more FROM customer)
+SELECT * FROM (VALUES ('c_custkey', 'retyped', 'breaking'), ('c_nationkey', 'widened', 'info'), ('c_mktsegment', 'removed', 'breaking'), ('c_rank', 'added', 'info'), ('c_code', 'added-required', 'breaking')) AS t("column", change, severity)
+UNION ALL SELECT 'c_acctbal', 'now-nullable', 'warning' FROM n WHERE nulls
+""")
 def schema_compatibility(spark, sf_dir):
-    schema = "column string, type string, nullable boolean"
-    before = spark.createDataFrame([("a", "int", True), ("b", "string", True), ("c", "int", True), ("e", "int", True), ("f", "int", False), ("g", "int", False)], schema)
-    after = spark.createDataFrame([("a", "long", True), ("b", "int", True), ("d", "int", True), ("e", "int", False), ("f", "int", True), ("g", "int", False), ("h", "int", False)], schema)
-    return G.schema_changes(before, after)
+    """The columns of customers against those of a later version; a column is nullable where it has nulls."""
+    before = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    after = before.drop("c_mktsegment").withColumns({"c_custkey": k.cast("string"), "c_nationkey": F.col("c_nationkey").cast("long"), "c_acctbal": F.when(k % 7 != 0, F.col("c_acctbal")), "c_rank": F.when(k % 9 != 4, k), "c_code": F.lit("x")})
+
+    def columns(df):
+        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+        each = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), (F.col(c) > 0).alias("nullable")) for c, t in df.dtypes])
+        return nulls.select(F.explode(each).alias("c")).select("c.column", F.when(F.col("c.type") == "bigint", "long").otherwise(F.col("c.type")).alias("type"), "c.nullable")
+
+    return G.schema_changes(columns(before), columns(after))
 
 
 @query("""

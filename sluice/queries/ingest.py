@@ -39,19 +39,20 @@ def csv_clean_customers(spark, sf_dir):
     return I.clean_table(raw.unionAll(raw.where(F.col("`Customer-Key`") % 7 == 0)))
 
 
-_BOOLS = "(VALUES ('yes'), ('True'), ('0'), ('off'), ('TRUE'), ('maybe'), ('t')) AS v(t)"
+_BOOLS = "(SELECT o_orderkey, ['yes', 'True', '0', 'off', 'TRUE', 'maybe', 't', NULL][1 + o_orderkey % 8] AS t FROM orders)"
 
 
 @query(
-    "SELECT t, CASE WHEN t IN ('y','Y','yes','Yes','YES','true','True','TRUE','on','On','ON') THEN true "
+    "SELECT o_orderkey, t, CASE WHEN t IN ('y','Y','yes','Yes','YES','true','True','TRUE','on','On','ON') THEN true "
     "WHEN t IN ('n','N','no','No','NO','false','False','FALSE','off','Off','OFF') THEN false END AS yaml11, "
     "CASE WHEN t IN ('true','True','TRUE') THEN true END AS yaml12, "
     "CASE WHEN t IN ('1','t','T','TRUE','true','True') THEN true WHEN t = '0' THEN false END AS go, "
     f"lower(t) = 'true' AS java FROM {_BOOLS}"
 )
 def boolean_readers(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t in ("yes", "True", "0", "off", "TRUE", "maybe", "t")], "t string")
-    return rows.select("t", *[P.read_boolean(F.col("t"), r).alias(r) for r in ("yaml11", "yaml12", "go", "java")])
+    texts = F.array(*[F.lit(t) for t in ("yes", "True", "0", "off", "TRUE", "maybe", "t", None)])
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.get(texts, (F.col("o_orderkey") % 8).cast("int")).alias("t"))
+    return rows.select("o_orderkey", "t", *[P.read_boolean(F.col("t"), r).alias(r) for r in ("yaml11", "yaml12", "go", "java")])
 
 
 @query("""
@@ -72,10 +73,17 @@ def duration_readers(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", P.go_duration(F.concat(h, F.lit("h"), m, F.lit("m"))).alias("go"), P.iso_duration(F.concat(F.lit("P"), d, F.lit("DT1H")))["days"].alias("days"), P.short_duration(F.concat(h, F.lit("h "), m, F.lit("m"))).alias("short"))
 
 
-@query("SELECT * FROM (VALUES ('2024-03-31 02:30:00', 'nonexistent', NULL), ('2024-10-27 02:30:00', 'ambiguous', NULL), ('2024-06-01 12:00:00', 'ok', TIMESTAMP '2024-06-01 10:00:00'), ('nonsense', 'unparsed', NULL)) AS t(local, status, utc)")
+@query("""
+WITH e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-03-30' ELSE TIMESTAMP '2024-10-26' END + INTERVAL 1 MINUTE * (event_id % 3000) AS l, event_id % 101 = 0 AS bad FROM events),
+s AS (SELECT *, CASE WHEN bad THEN 'unparsed' WHEN l >= TIMESTAMP '2024-03-31 02:00:00' AND l < TIMESTAMP '2024-03-31 03:00:00' THEN 'nonexistent' WHEN l >= TIMESTAMP '2024-10-27 02:00:00' AND l < TIMESTAMP '2024-10-27 03:00:00' THEN 'ambiguous' ELSE 'ok' END AS status FROM e)
+SELECT event_id, status, CASE WHEN status = 'ok' THEN l - CASE WHEN l >= TIMESTAMP '2024-03-31 03:00:00' AND l < TIMESTAMP '2024-10-27 02:00:00' THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END END AS utc FROM s
+""")
 def timezone_status(spark, sf_dir):
-    rows = spark.createDataFrame([("2024-03-31 02:30:00",), ("2024-10-27 02:30:00",), ("2024-06-01 12:00:00",), ("nonsense",)], "local string")
-    return rows.select("local", P.local_to_utc(F.col("local"), F.lit("Europe/Berlin")).alias("r")).select("local", "r.status", F.col("r.utc").cast("timestamp_ntz").alias("utc"))
+    """Minutes of the two weekends on which Berlin changes its clocks."""
+    k = F.col("event_id")
+    local = F.when(k % 2 == 0, F.lit("2024-03-30").cast("timestamp_ntz")).otherwise(F.lit("2024-10-26").cast("timestamp_ntz")) + F.expr("make_dt_interval(0, 0, cast(event_id % 3000 as int), 0)")
+    text = F.when(k % 101 == 0, "nonsense").otherwise(F.date_format(local, "yyyy-MM-dd HH:mm:ss"))
+    return table(spark, sf_dir, "events").select("event_id", P.local_to_utc(text, F.lit("Europe/Berlin")).alias("r")).select("event_id", "r.status", F.col("r.utc").cast("timestamp_ntz").alias("utc"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'generic' WHEN 2 THEN 'access' ELSE 'keyword' END AS format, CASE WHEN event_id % 4 = 0 THEN 'ERROR' WHEN event_id % 4 = 1 THEN 'INFO' WHEN event_id % 4 = 2 THEN 'WARNING' ELSE 'DEBUG' END AS level FROM events")
@@ -131,9 +139,13 @@ def line_end_styles(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", I.line_ends(ends).alias("r")).select("doc_id", "r.crlf", "r.lf", "r.cr", "r.style")
 
 
-@query("SELECT 'week-' || strftime(b, '%Y%m%d') AS chunk, b::DATE AS begins, least(b + INTERVAL 7 DAY, TIMESTAMP '2024-02-10')::DATE AS ends FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-09', INTERVAL 7 DAY)) AS b)")
+@query("""
+WITH s AS (SELECT min(o_orderdate)::DATE::TIMESTAMP AS a, max(o_orderdate)::DATE::TIMESTAMP + INTERVAL 1 DAY AS z FROM orders)
+SELECT 'week-' || strftime(b, '%Y%m%d') AS chunk, b::DATE AS begins, least(b + INTERVAL 7 DAY, z)::DATE AS ends FROM (SELECT z, unnest(generate_series(a, z - INTERVAL 1 DAY, INTERVAL 7 DAY)) AS b FROM s)
+""")
 def backfill_weeks(spark, sf_dir):
-    return I.backfill_chunks(spark, "2024-01-01", "2024-02-10", "week")
+    span = table(spark, sf_dir, "orders").agg(F.min(F.to_date("o_orderdate")).cast("string").alias("a"), F.date_add(F.max(F.to_date("o_orderdate")), 1).cast("string").alias("z")).first()
+    return I.backfill_chunks(spark, span["a"], span["z"], "week")
 
 
 @query("SELECT event_id, least(60.0, 0.5 * 2 ** (event_id % 10)) AS wait FROM events")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from sluice.operators import accessibility as A
 from sluice.operators import relations as R
 from sluice.operators import statistics as S
 from sluice.queries import query
+from sluice.sources import files
 from sluice.queries.statistics import _SCORED, _scored, rounded
 
 
@@ -191,18 +193,24 @@ def files_written(rows, at):
     rows.write.options(**{k: v for k, v in CSV.items() if k not in ("multiLine", "mode")}).csv(at)
 
 
-@query("SELECT codec, count(*) AS n, round(sum(o_totalprice), 0) AS total FROM orders, (VALUES ('gzip'), ('lz4_raw'), ('snappy'), ('uncompressed'), ('zstd')) AS c(codec) GROUP BY 1")
+CODECS = ("gzip", "lz4_raw", "snappy", "uncompressed", "zstd")
+
+
+@query("SELECT codec, count(*) AS n, round(sum(o_totalprice), 0) AS total, codec <> 'uncompressed' AS smaller FROM orders, (VALUES ('gzip'), ('lz4_raw'), ('snappy'), ('uncompressed'), ('zstd')) AS c(codec) GROUP BY 1")
 def codec_compare(spark, sf_dir):
-    """Every codec gives the rows back; ``operators.relations`` leaves sizes to the store's own listing."""
+    """Every codec gives the rows back, in fewer bytes than none; ``codec_sizes`` has the bytes."""
     home, orders = f"{shared_dir(spark)}/codecs-{uuid.uuid4().hex}", table(spark, sf_dir, "orders")
-    parts = []
-    for codec in ("gzip", "lz4_raw", "snappy", "uncompressed", "zstd"):
-        orders.write.option("compression", codec).parquet(f"{home}/{codec}")
-        parts.append(spark.read.parquet(f"{home}/{codec}").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 0).alias("total")).select(F.lit(codec).alias("codec"), "n", "total"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    back = [(codec, spark.read.parquet(f"{home}/{codec}")) for codec in files.write_codecs(orders, home, CODECS)]
+    parts = [df.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 0).alias("total")).select(F.lit(codec).alias("codec"), "n", "total") for codec, df in back]
+    smaller = files.codec_sizes(spark, home, CODECS).select("codec", (F.col("ratio") < 1).alias("smaller"))
+    return reduce(lambda a, b: a.union(b), parts).join(F.broadcast(smaller), "codec")
+
+
+@query()
+def codec_sizes(spark, sf_dir):
+    """Bytes that the orders take under each codec, from the listing of their files."""
+    home = f"{shared_dir(spark)}/codecs-{uuid.uuid4().hex}"
+    return files.codec_sizes(spark, home, files.write_codecs(table(spark, sf_dir, "orders"), home, CODECS)).select("codec", "files", "bytes", F.round("ratio", 4).alias("ratio"))
 
 
 @query(f"""

@@ -18,6 +18,21 @@ def duplicate_files(spark: SparkSession, path: str, partial: int = 65536) -> Dat
     return some.join(groups, ["length", "start", "digest"]).select("path", "length", "digest", "copies")
 
 
+def write_codecs(df: DataFrame, home: str, codecs: tuple[str, ...]) -> tuple[str, ...]:
+    """The table as Parquet under each codec, in a folder of its name."""
+    for codec in codecs:
+        df.write.option("compression", codec).parquet(f"{home}/{codec}")
+    return codecs
+
+
+def codec_sizes(spark: SparkSession, home: str, codecs: tuple[str, ...]) -> DataFrame:
+    """``codec, files, bytes, ratio`` of what ``write_codecs`` wrote, by the files' listing; the ratio is to the largest."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load([f"{home}/{c}" for c in codecs]).select("path", "length")
+    codec = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
+    sizes = listed.groupBy(codec.alias("codec")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    return sizes.join(F.broadcast(sizes.agg(F.max("bytes").alias("most")))).select("codec", "files", "bytes", (F.col("bytes") / F.col("most")).alias("ratio"))
+
+
 def sniff_delimiter(lines: DataFrame, column: str = "value", delimiters: str = ",;\t|") -> DataFrame:
     """``delimiter, consistent, fields, verdict`` of sample lines; ambiguous where two fit as well.
 
