@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sluice.core.session import table
 from sluice.operators import panel as P
+from sluice.operators import sequential as Q
 from sluice.queries import query
 from sluice.queries.statistics import rounded
 
@@ -48,3 +49,17 @@ def leading_event_types(spark, sf_dir):
     grid = hours.select("user_id").distinct().join(F.broadcast(ends)).select("user_id", F.explode(F.sequence("low", "high")).alias("t"))
     series = grid.join(hours, ["user_id", "t"], "left").fillna(0.0, ["errors", "clicks"])
     return rounded(P.granger(series, ["user_id"], "t", "errors", "clicks", 3, 28))
+
+
+@query("""
+WITH r AS (SELECT epoch_us(ts) / 1000 AS o, user_id % 2 = 1 AS b, event_type = 'purchase' AS x FROM events), e AS (SELECT quantile_cont(o, [0.2, 0.4, 0.6, 0.8]) AS e FROM r),
+c AS (SELECT 1 + len(list_filter(e, lambda y: y < o)) AS look, count(*) FILTER (NOT b) AS na, count(*) FILTER (NOT b AND x) AS xa, count(*) FILTER (b) AS nb, count(*) FILTER (b AND x) AS xb FROM r, e GROUP BY 1),
+s AS (SELECT look, sum(na) OVER w AS n_a, sum(xa) OVER w AS x_a, sum(nb) OVER w AS n_b, sum(xb) OVER w AS x_b FROM c WINDOW w AS (ORDER BY look)), q AS (SELECT *, (x_a + x_b) / (n_a + n_b) AS q FROM s),
+z AS (SELECT *, (x_b / n_b - x_a / n_a) / sqrt(q * (1 - q) * (1 / n_a + 1 / n_b)) AS z FROM q)
+SELECT look, n_a::BIGINT AS n_a, x_a::BIGINT AS x_a, n_b::BIGINT AS n_b, x_b::BIGINT AS x_b, round(z, 5) AS z, 2.413 AS bound, abs(z) >= 2.4132 AS crossed FROM z
+""")
+def sequential_looks(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    order = F.unix_micros(F.col("ts").cast("timestamp")) / 1000
+    out = Q.looks(rows, order, F.col("user_id") % 2 == 1, F.col("event_type") == "purchase", 5, Q.bounds(5))
+    return out.select("look", "n_a", "x_a", "n_b", "x_b", F.round("z", 5).alias("z"), F.round("bound", 3).alias("bound"), "crossed")
