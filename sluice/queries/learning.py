@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sluice.core.session import table
 from sluice.operators import learning as L
-from sluice.operators import schedules
+from sluice.operators import schedules, tuning
 from sluice.queries import query
 
 FEATURES = ["frequency", "monetary", "recency", "mean_value"]
@@ -51,3 +51,11 @@ def cron_fires_customers(spark, sf_dir):
     line = F.when(k % 3 == 0, both).when(k % 3 == 1, F.format_string("%d %d * feb MON-FRI", k % 60, k % 24)).otherwise(F.format_string("*/15 %d %d * *", k % 24, 1 + k % 28))
     lines = table(spark, sf_dir, "customer").select("c_custkey", line.alias("line"))
     return schedules.fires(lines, "line", "2024-01-15", "2024-03-14").select("c_custkey", "fires_at")
+
+
+@query()
+def tuned_churn(spark, sf_dir):
+    """Trials of the logistic model's penalty and features' number of the churn model."""
+    model = lambda p: L.scaled_logistic(FEATURES[: p["features"]], "churned", p["penalty"])
+    space = {"penalty": tuning.Number(1e-4, 10.0, log=True), "features": tuning.Number(1, len(FEATURES), step=1)}
+    return tuning.tune(_churn(spark, sf_dir), "churned", "o_custkey", model, space, trials=6, k=2)[1]
