@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sluice.queries import QUERIES, SQL, analytics, governance, ingest, learning, loading, mining, models, panel, quality, relations, statistics, streams, text
+from sluice.queries import QUERIES, SQL, analytics, commerce, governance, ingest, learning, loading, mining, models, panel, quality, relations, statistics, streams, text
 
-MODULES = (analytics, governance, ingest, learning, loading, mining, models, panel, quality, relations, statistics, streams, text)
+MODULES = (analytics, commerce, governance, ingest, learning, loading, mining, models, panel, quality, relations, statistics, streams, text)
 
 
 def queries() -> dict:
