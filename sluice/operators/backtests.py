@@ -17,12 +17,12 @@ def rolling_origins(series: DataFrame, keys: list[str], t: str, y: str, horizon:
     the last whole period known, ``drift`` goes on in the line from the first to the last, ``mean`` is
     that of all known. A forecast sees nothing after its origin; a series too short has no rows.
     """
-    by = [*keys, t]
     ordered = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
     known = series.select(*keys, F.col(t).cast("long").alias(t), F.col(y).cast("double").alias("y_")).withColumns({"mean_": F.avg("y_").over(ordered), "first_": F.first("y_").over(ordered)})
     last = known.groupBy(*keys).agg((F.max(t) + 1).alias("n_"))
     lately = last.select(*keys, F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(origins - 1)), lambda i: F.col("n_") - horizon - i * step), lambda o: o >= least)).alias("origin"))
-    at = lately.join(known.withColumn("origin", F.col(t) + 1).drop(t), [*keys, "origin"]).withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    ends = known.select(*keys, (F.col(t) + 1).alias("end_"), "y_", "mean_", "first_")
+    at = lately.join(ends, [*[lately[k].eqNullSafe(ends[k]) for k in keys], lately["origin"] == ends["end_"]]).select(*[lately[c] for c in lately.columns], "y_", "mean_", "first_", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("ahead"))
     at = at.withColumns({t: F.col("origin") - 1 + F.col("ahead"), "season_": F.col("origin") - 1 + F.col("ahead") - period * F.ceil(F.col("ahead") / period)})
     values = known.select(*keys, F.col(t).alias("step_"), F.col("y_").alias("value_"))
     on = lambda a, b, column: [*[a[k].eqNullSafe(b[k]) for k in keys], a[column] == b["step_"]]
