@@ -1,4 +1,5 @@
 import random
+import uuid
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -24,7 +25,7 @@ def test_a_stream_goes_on_from_its_checkpoint(spark):
     """Two runs over files that grow give the alerts of all pings, each once, jobs by themselves."""
     rng = random.Random(4)
     rows = sorted((1_700_000_000 + rng.randrange(40_000), job) for job in range(7) for _ in range(60 if job else 3))
-    home = f"{shared_dir(spark)}/test-heartbeats-{rng.random()}"
+    home = f"{shared_dir(spark)}/test-heartbeats-{uuid.uuid4().hex}"
     schema = "job long, ts timestamp"
     half = len(rows) // 2
     limit = F.lit(500) + F.col("job") * 100
