@@ -29,15 +29,15 @@ def _effects(spark, sf_dir):
     return P.group_time_effects(rows, "unit", "t", "y", "adopt", "cluster")
 
 
-@query(f"{_PANEL} SELECT g::BIGINT AS g, t::BIGINT AS t, n_treated::BIGINT AS n_treated, n_control::BIGINT AS n_control, round(effect, 3) AS effect, round(error, 3) AS error, round(effect / error, 5) AS z FROM e")
+@query(f"{_PANEL} SELECT g::BIGINT AS g, t::BIGINT AS t, n_treated::BIGINT AS n_treated, n_control::BIGINT AS n_control, round(effect, 1) AS effect, round(error, 1) AS error, round(effect / nullif(error, 0), 4) AS z FROM e")
 def group_time_orders(spark, sf_dir):
     out = _effects(spark, sf_dir)
-    return out.select("g", "t", "n_treated", "n_control", F.round("effect", 3).alias("effect"), F.round("error", 3).alias("error"), F.round("z", 5).alias("z"))
+    return out.select("g", "t", "n_treated", "n_control", F.round("effect", 1).alias("effect"), F.round("error", 1).alias("error"), F.round("z", 4).alias("z"))
 
 
-@query(f"{_PANEL} SELECT (t - g)::BIGINT AS after, round(sum(n_treated * effect) / sum(n_treated), 3) AS effect, sum(n_treated)::BIGINT AS n FROM e GROUP BY 1")
+@query(f"{_PANEL} SELECT (t - g)::BIGINT AS after, round(sum(n_treated * effect) / sum(n_treated), 1) AS effect, sum(n_treated)::BIGINT AS n FROM e GROUP BY 1")
 def event_study_orders(spark, sf_dir):
-    return rounded(P.event_study(_effects(spark, sf_dir)), 3)
+    return rounded(P.event_study(_effects(spark, sf_dir)), 1)
 
 
 @query()
