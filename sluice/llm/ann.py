@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.core.session import cut
+
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors that the codebooks are trained on, those of the smallest id hashes.
 SAMPLE = 8192
@@ -153,8 +155,24 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
             yield query_ids[start + i], found[top], values[top]
 
 
-def _search(rows: DataFrame, queries: DataFrame, k: int, shortlist: int, double: bool, sample: int) -> DataFrame:
-    taught = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").collect()
+def _taught(rows: DataFrame, n: int, sample: int) -> DataFrame:
+    """The ``sample`` rows of the smallest id hashes, of ``n``.
+
+    Hashes under a threshold are ranked alone: every task hands on its share of them and not a whole
+    sample. The driver is given the sample, ranked before.
+    """
+    own, share = F.xxhash64("id"), 1.25 * sample / n
+    near = rows
+    while share < 1:
+        near = rows.where(own < F.lit(int(share * 2**64) - 2**63))
+        if near.limit(sample).count() == sample:
+            break
+        near, share = rows, 4 * share
+    return cut(near.orderBy(own, "id").limit(sample).select("vector"))
+
+
+def _search(rows: DataFrame, queries: DataFrame, k: int, shortlist: int, double: bool, sample: int, n: int) -> DataFrame:
+    taught = _taught(rows, n, sample).collect()
     books = train(np.array([r["vector"] for r in taught], np.float32))
     index, blocks = _packed(rows, INDEX_BLOCK, books, double)
     asked, _ = _packed(queries, QUERY_BLOCK, None, double)
@@ -174,8 +192,10 @@ def _search(rows: DataFrame, queries: DataFrame, k: int, shortlist: int, double:
                 n = [len(g[1]) for g in got]
                 yield pa.record_batch([pa.array(np.repeat([g[0] for g in got], n).astype(np.int64)), pa.array(np.concatenate([g[1] for g in got]).astype(np.int64)), pa.array(np.concatenate([g[2] for g in got]))], ["query_id", "vec_id", "score"])
 
+    # Copies of the queries, one for each block of the index, go by a shuffle: what they grow to isn't seen before.
     pairs = (
         asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+        .hint("merge")
         .join(index, "block")
         .select("query_ids", "queries", "ids", "vectors", "codes", "scale")
     )
@@ -195,8 +215,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     double = vectors.schema[vector_col].dataType.elementType.simpleString() == "double"
-    lengths = [r[0] for r in rows.groupBy(F.size("vector").alias("n")).count().orderBy("n").collect()]
+    lengths = [tuple(r) for r in rows.groupBy(F.size("vector").alias("n")).count().orderBy("n").collect()]
     asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct(F.size("vector").alias("n"), "vector")).alias("v")).select("id", "v.vector")
-    parts = [_search(rows.where(F.size("vector") == n), asked.where(F.size("vector") == n), k, shortlist, double, sample) for n in lengths]
+    parts = [_search(rows.where(F.size("vector") == n), asked.where(F.size("vector") == n), k, shortlist, double, sample, rows_of) for n, rows_of in lengths]
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return reduce(DataFrame.unionByName, parts) if parts else empty

@@ -87,3 +87,32 @@ def test_an_id_with_two_vectors_asks_once(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.5, 0.5, 0.5]), (1, [2.0, 1.0]), (2, [1.0, 3.0])]
     out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
     assert [tuple(r) for r in out] == [(0, 1, 2, 3.0), (0, 2, 1, 1.0)]
+
+
+def test_tasks_hand_on_their_share_of_the_sample(spark):
+    """The sample is that of the smallest hashes, and no task brings a whole one of its own."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 20000, 1, 8).select("id", F.array(F.col("id").cast("float")).alias("vector"))
+    want = [r["vector"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(500).select("vector").collect()]
+    seen = []
+    cut = ann.cut
+    ann.cut = lambda df: seen.append(df) or cut(df)
+    try:
+        assert [r["vector"] for r in ann._taught(rows, 20000, 500).collect()] == want
+        assert [r["vector"] for r in ann._taught(rows.where("id < 300"), 300, 500).collect()] == [r["vector"] for r in rows.where("id < 300").orderBy(F.xxhash64("id"), "id").select("vector").collect()]
+        # Rows of one id have one hash.
+        assert ann._taught(rows.withColumn("id", F.lit(7).cast("long")), 20000, 500).count() == 500
+    finally:
+        ann.cut = cut
+    assert "xxhash64" in seen[0]._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1]
+
+
+def test_queries_are_not_broadcast_with_their_copies(spark):
+    """However few, they are repeated for every block of the index, through the driver if broadcast."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(400)], "vec_id long, embedding array<float>")
+    found = ann.nearest(df)
+    assert found.count() == 400
+    found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
