@@ -54,3 +54,14 @@ def test_what_cannot_be_read(spark, tmp_path):
     assert D.read_csv(spark, str(tmp_path), "a string, b string, c string", doubtful="preferred").count() == 2
     with pytest.raises(Exception, match="too large"):
         D.dialects(spark, str(tmp_path), most_bytes=3).collect()
+
+
+def test_files_without_rows_are_read_beside_the_others(spark, tmp_path):
+    """A writer leaves a header alone, or nothing, for a partition without rows."""
+    (tmp_path / "a.csv").write_text("id;name;part\n1;né;0.5\n2;b;1.5\n", encoding="cp1252")
+    (tmp_path / "b.csv").write_text("id;name;part\n")
+    (tmp_path / "c.csv").write_bytes("\ufeff".encode())
+    found = {os.path.basename(r["path"]): (r["header"], r["basis"], r["status"]) for r in D.dialects(spark, str(tmp_path), "*.csv").collect()}
+    assert found == {"a.csv": ("header", "text_over_nontext", "ok"), "b.csv": ("header", "other_files", "ok"), "c.csv": (None, None, "empty")}
+    out = D.read_csv(spark, str(tmp_path), "id int, name string, part double", "*.csv")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "né", 0.5), (2, "b", 1.5)]
