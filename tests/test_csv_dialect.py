@@ -65,3 +65,24 @@ def test_files_without_rows_are_read_beside_the_others(spark, tmp_path):
     assert found == {"a.csv": ("header", "text_over_nontext", "ok"), "b.csv": ("header", "other_files", "ok"), "c.csv": (None, None, "empty")}
     out = D.read_csv(spark, str(tmp_path), "id int, name string, part double", "*.csv")
     assert sorted(tuple(r) for r in out.collect()) == [(1, "né", 0.5), (2, "b", 1.5)]
+
+
+def test_csv_queries_over_tables_whose_first_split_has_no_rows(spark, tmp_path):
+    from sluice.queries import loading
+
+    rows = spark.range(40).selectExpr("id as c_custkey", "concat('Customer#', id) as c_name", "id / 8D as c_acctbal", "'BUILDING' as c_mktsegment")
+    home = str(tmp_path / "customer.parquet")
+    rows.coalesce(1).write.option("compression", "none").parquet(home)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        # Splits are smaller than the one row group, which belongs to the split of its middle.
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.parquet(home).rdd.glom().map(len).first() == 0
+        found = {(r["style"], r["delimiter"], r["encoding"], r["header"]) for r in loading.csv_dialects(spark, str(tmp_path)).collect()}
+        assert found == {(0, ",", "utf-8", "header"), (1, ";", "cp1252", "header"), (2, "\t", "utf-16-be", "undetermined"), (3, "|", "utf-8", "header")}
+        out = loading.csv_of_many_dialects(spark, str(tmp_path))
+        assert sorted(r["c_custkey"] for r in out.collect()) == list(range(40))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
