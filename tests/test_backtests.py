@@ -50,3 +50,9 @@ def test_recommendations_by_hand(spark):
         for k, (s, j) in enumerate(scores, 1):
             want.append((u, k, j, -s, max((i for i in range(8) if m[u, i]), key=lambda i: (m[u, i] * sim[i, j], -i))))
     assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-6 and g[4] == w[4] for g, w in zip(got, want))
+
+
+def test_recommended_scores_are_rounded_once(spark):
+    rows = spark.createDataFrame([(1, 1, 61.47764999952)], "u int, i int, r double")
+    similar = spark.createDataFrame([(1, 2, 1.0)], "item int, other int, score double")
+    assert models.recommend(rows, similar, "u", "i", "r", 3).selectExpr("round(score, 4)").first()[0] == 61.4776
