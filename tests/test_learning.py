@@ -57,3 +57,11 @@ def test_cron_against_plain_days(spark):
         got[r["line"]].append(r["fires_at"])
     want["0 12 */2 * mon"] = []
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_each_cron_line_is_read_once(spark):
+    """Rows join what their line gave; the parser was written out for every use of a field."""
+    df = spark.range(6).select("id", F.when(F.col("id") % 3 == 0, "0 6 * * MON").when(F.col("id") % 3 == 1, "*/30 5 1 * *").alias("line"))
+    out = schedules.fires(df, "line", "2024-01-01", "2024-01-08")
+    assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["id"], str(r["fires_at"])) for r in out.collect()) == sorted([(i, f"2024-01-0{d} 06:00:00") for i in (0, 3) for d in (1, 8)] + [(i, f"2024-01-01 05:{m}:00") for i in (1, 4) for m in ("00", "30")])
