@@ -12,6 +12,11 @@ from pyspark.ml.feature import CountVectorizer, IDF, RegexTokenizer, StandardSca
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.core.session import counted_small, cut
+
+#: Blocks of items whose pairs are summed cell by cell; a user's ratings are shuffled once for each.
+ITEM_BLOCKS = 8
+
 
 def segments(df: DataFrame, features: list[str], ks: range = range(2, 9), seed: int = 7):
     """Rows with ``segment`` under the number of clusters of the best silhouette, and that number."""
@@ -38,13 +43,27 @@ def folds(df: DataFrame, label: str, key: str, k: int, seed: int = 0) -> DataFra
 def item_similarity(ratings: DataFrame, user: str, item: str, rating: str, k: int, least_shared: int = 1) -> DataFrame:
     """``item, other, score``: each item's ``k`` nearest by cosine over its users' ratings.
 
-    Pairs arise within a user; users' lists are what bounds them.
+    Pairs arise within a user; users' lists are what bounds them. Items are dealt into ``ITEM_BLOCKS``
+    blocks by a hash, and a user's lists of two blocks go to the cell of these. A cell has all of its
+    pairs, which are made and summed where they are: lists are shuffled, once for each block, not pairs.
     """
-    one = ratings.groupBy(F.col(user).alias("user"), F.col(item).alias("item")).agg(F.avg(rating).alias("r"))
-    norm = one.groupBy("item").agg(F.sqrt(F.sum(F.col("r") ** 2)).alias("norm"))
-    a, b = one.alias("a"), one.alias("b")
-    dots = a.join(b, (F.col("a.user") == F.col("b.user")) & (F.col("a.item") != F.col("b.item"))).groupBy(F.col("a.item").alias("item"), F.col("b.item").alias("other")).agg(F.sum(F.col("a.r") * F.col("b.r")).alias("dot"), F.count("*").alias("shared"))
-    scored = dots.where(F.col("shared") >= least_shared).join(norm, "item").join(norm.select(F.col("item").alias("other"), F.col("norm").alias("other_norm")), "other")
+    own = ratings.select(F.col(user).alias("user"), F.col(item).alias("item"), F.col(rating).alias("rating")).where("user is not null").repartition("user")
+    one = own.groupBy("user", "item").agg(F.avg("rating").alias("r")).where("item is not null")
+    parts = one.groupBy("user", F.pmod(F.xxhash64("item"), F.lit(ITEM_BLOCKS)).cast("int").alias("block")).agg(F.collect_list(F.struct("item", "r")).alias("l"))
+    lists = cut(parts.groupBy("user").agg(F.collect_list(F.struct("block", F.col("l.item").alias("items"), F.col("l.r").alias("rs"))).alias("parts")))
+    rated = lists.select(F.explode("parts").alias("p")).select(F.explode(F.arrays_zip("p.items", "p.rs")).alias("e"))
+    norm = counted_small(rated.groupBy(F.col("e.items").alias("item")).agg(F.sqrt(F.sum(F.col("e.rs") ** 2)).alias("norm")))
+    cell = lambda p, q: F.struct((p["block"] * ITEM_BLOCKS + q["block"]).alias("cell"), p["items"].alias("ia"), p["rs"].alias("ra"), q["items"].alias("ib"), q["rs"].alias("rb"))
+    met = F.flatten(F.transform("parts", lambda p: F.transform(F.filter("parts", lambda q: p["block"] <= q["block"]), lambda q: cell(p, q))))
+    dealt = lists.select(F.explode(met).alias("c")).select("c.*").repartition(4 * ITEM_BLOCKS * (ITEM_BLOCKS + 1) // 2, "cell")
+    pairs = dealt.select("cell", "ib", "rb", F.explode(F.arrays_zip("ia", "ra")).alias("a")).select("cell", "a", F.explode(F.arrays_zip("ib", "rb")).alias("b"))
+    pairs = pairs.select("cell", F.col("a.ia").alias("x"), F.col("b.ib").alias("y"), (F.col("a.ra") * F.col("b.rb")).alias("product"))
+    # Within a block each pair is met twice, in both orders.
+    once = pairs.where((F.col("cell") % (ITEM_BLOCKS + 1) != 0) | (F.col("x") < F.col("y")))
+    sums = once.groupBy("cell", "x", "y").agg(F.sum("product").alias("dot"), F.count("*").alias("shared"))
+    both = F.array(F.struct(F.col("x").alias("item"), F.col("y").alias("other")), F.struct(F.col("y").alias("item"), F.col("x").alias("other")))
+    dots = sums.where(F.col("shared") >= least_shared).select(F.explode(both).alias("e"), "dot", "shared").select("e.item", "e.other", "dot", "shared")
+    scored = dots.join(norm, "item").join(norm.select(F.col("item").alias("other"), F.col("norm").alias("other_norm")), "other")
     out = scored.select("item", "other", F.round(F.col("dot") / (F.col("norm") * F.col("other_norm")), 9).alias("score"))
     best = Window.partitionBy("item").orderBy(F.desc("score"), "other")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")

@@ -56,3 +56,25 @@ def test_recommended_scores_are_rounded_once(spark):
     rows = spark.createDataFrame([(1, 1, 61.47764999952)], "u int, i int, r double")
     similar = spark.createDataFrame([(1, 2, 1.0)], "item int, other int, score double")
     assert models.recommend(rows, similar, "u", "i", "r", 3).selectExpr("round(score, 4)").first()[0] == 61.4776
+
+
+def test_item_pairs_are_summed_where_they_arise(spark):
+    import itertools
+    import re
+
+    rng = random.Random(5)
+    rows = [(u if u else None, i, float(rng.randint(1, 5))) for u in range(30) for i in range(50) if rng.random() < 0.2]
+    out = models.item_similarity(spark.createDataFrame(rows, "u int, i int, r double"), "u", "i", "r", 5, 2)
+    got = sorted(tuple(r) for r in out.collect())
+    of = {}
+    for u, i, r in rows:
+        of.setdefault(i, {})[u] = r
+    want = []
+    norm = {i: math.sqrt(sum(r * r for u, r in x.items() if u)) for i, x in of.items()}
+    for i in of:
+        shared = {j: [(of[i][u], of[j][u]) for u in of[i] if u and u in of[j]] for j in of if j != i}
+        scored = sorted((-round(sum(a * b for a, b in s) / (norm[i] * norm[j]), 9), j) for j, s in shared.items() if len(s) >= 2)
+        want += [(i, j, -s) for s, j in itertools.islice(scored, 5)]
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and all(abs(g[2] - w[2]) < 1e-8 for g, w in zip(got, sorted(want)))
+    # No exchange by the items of a pair.
+    assert not re.search(r"hashpartitioning\((cell#\d+, )?\w+#\d+L?, \w+#\d+L?", out._jdf.queryExecution().executedPlan().toString())
