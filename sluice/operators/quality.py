@@ -101,15 +101,22 @@ def rollup(results: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """``column, rows, nulls, distinct_values, low, high, mean`` of every column, in one aggregation."""
+    """``column, rows, nulls, distinct_values, low, high, mean`` of every column.
+
+    All but the distinct values are one aggregation without groups; each column's values are grouped by
+    themselves, so no row is repeated for every column.
+    """
     names = df.columns
     numeric = {f.name for f in df.schema if f.dataType.typeName() in ("integer", "long", "double", "float", "short", "byte") or f.dataType.typeName().startswith("decimal")}
-    sums = []
+    sums, distinct = [], []
     for i, n in enumerate(names):
         c = F.col(f"`{n}`")
-        sums += [F.count_if(c.isNull()).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}"), F.min(c).cast("string").alias(f"l{i}"), F.max(c).cast("string").alias(f"h{i}"), (F.avg(c) if n in numeric else F.lit(None).cast("double")).alias(f"m{i}")]
+        sums += [F.count_if(c.isNull()).alias(f"n{i}"), F.min(c).cast("string").alias(f"l{i}"), F.max(c).cast("string").alias(f"h{i}"), (F.avg(c) if n in numeric else F.lit(None).cast("double")).alias(f"m{i}")]
+        distinct.append(df.select(c.alias("v")).groupBy("v").agg(F.count("v").alias("n")).agg(F.count("v").alias(f"d{i}")))
     rows = [F.struct(F.lit(n).alias("column"), F.col("rows"), F.col(f"n{i}").alias("nulls"), F.col(f"d{i}").alias("distinct_values"), F.col(f"l{i}").alias("low"), F.col(f"h{i}").alias("high"), F.col(f"m{i}").alias("mean")) for i, n in enumerate(names)]
-    return df.agg(F.count("*").alias("rows"), *sums).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    # One row each.
+    whole = reduce(DataFrame.crossJoin, [F.broadcast(d) for d in distinct], df.agg(F.count("*").alias("rows"), *sums))
+    return whole.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def infer_tests(profiled: DataFrame) -> DataFrame:
@@ -305,8 +312,10 @@ def type_ladder(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column, inferred``: the narrowest type that keeps every text value as it is.
 
     Leading zeros, plus signs and thousands separators stay text; zeros and ones are SMALLINT; one
-    distinct truth word is no boolean. All columns are counted in one pass.
+    distinct truth word is no boolean. All columns are counted in one pass, and of distinct values only
+    truth words, one by one: the others don't matter.
     """
+    truths = ("true", "false", "yes", "no", "t", "f", "y", "n")
     sums = []
     for i, c in enumerate(columns):
         v = F.nullif(F.trim(F.col(c)), F.lit(""))
@@ -314,7 +323,7 @@ def type_ladder(df: DataFrame, columns: list[str]) -> DataFrame:
         number = v.try_cast("double")
         sums += [
             F.count(v).alias(f"n{i}"), F.count_if(whole).alias(f"w{i}"), F.count_if(whole | point).alias(f"p{i}"), F.max(F.when(whole, F.abs(v.try_cast("decimal(38,0)")))).alias(f"m{i}"),
-            F.count_if(F.lower(v).isin("true", "false", "yes", "no", "t", "f", "y", "n")).alias(f"b{i}"), F.count_distinct(F.lower(v)).alias(f"k{i}"),
+            F.count_if(F.lower(v).isin(*truths)).alias(f"b{i}"), reduce(Column.__add__, [F.coalesce(F.max((F.lower(v) == w).cast("int")), F.lit(0)) for w in truths]).alias(f"k{i}"),
             F.count_if(v.rlike(r"^\d{4}-\d{2}-\d{2}$") & v.try_cast("date").isNotNull()).alias(f"d{i}"), F.count_if(v.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$") & v.try_cast("timestamp").isNotNull()).alias(f"t{i}"),
             F.count_if(number.isNotNull() & v.rlike(r"^-?[0-9.]+[eE][-+]?[0-9]+$")).alias(f"e{i}"), F.max(F.length(v)).alias(f"l{i}"),
             F.max(F.length(F.regexp_extract(v, r"\.(\d+)$", 1))).alias(f"s{i}"),

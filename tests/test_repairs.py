@@ -67,3 +67,11 @@ def test_ladder_classes_are_the_texts_of_the_sql(spark, tmp_path):
     con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
     want = con.execute(oracle_sql()["kanon_ladder"]).fetchall()
     assert sorted(tuple(r) for r in queries()["kanon_ladder"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_profile_repeats_no_rows(spark):
+    from sluice.operators import quality
+
+    out = quality.profile(spark.createDataFrame([(1, "a"), (1, None), (2, "b")], "k int, v string"))
+    assert [tuple(r)[:6] for r in out.orderBy("column").collect()] == [("k", 3, 0, 2, "1", "2"), ("v", 3, 1, 2, "a", "b")]
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
