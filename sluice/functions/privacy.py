@@ -30,7 +30,8 @@ def hash_value(value: Column, length: int = 12) -> Column:
 def token_value(value: Column, salt: bytes, length: int = 12) -> Column:
     """``tok_`` and the start of the base-32 HMAC-SHA256 of the value, made of built-in functions.
 
-    HMAC is two nested SHA-256 over the salt's padded blocks; base 32 comes from the digest's bits.
+    HMAC is two nested SHA-256 over the salt's padded blocks; base 32 comes from the digest's bits, which
+    are made once a value.
     """
     import hashlib
 
@@ -40,10 +41,13 @@ def token_value(value: Column, salt: bytes, length: int = 12) -> Column:
     text = F.encode(value.cast("string"), "UTF-8")
     first = F.unhex(F.sha2(F.concat(F.lit(inner), text), 256))
     digest = F.sha2(F.concat(F.lit(outer), first), 256)
-    bits = F.rpad(F.concat(*[F.lpad(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(8)]), 260, "0")
+    parts = range(min(8, -(-5 * length // 32)))
+    binary = lambda d: F.concat(*[F.lpad(F.conv(F.substring(d, 1 + 8 * i, 8), 16, 2), 32, "0") for i in parts])
+    bits = F.rpad(F.element_at(F.transform(F.array(digest), binary), 1), 260, "0")
     letters = F.lit("abcdefghijklmnopqrstuvwxyz234567")
-    code = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.substring(letters, F.conv(F.substr(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
-    return F.when(value.isNotNull(), F.concat(F.lit("tok_"), F.array_join(code, "")))
+    letter = lambda b, i: F.substring(letters, F.conv(F.substr(b, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))
+    code = F.transform(F.array(bits), lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: letter(b, i)), ""))
+    return F.when(value.isNotNull(), F.concat(F.lit("tok_"), F.element_at(code, 1)))
 
 
 def mask_keep_last(value: Column, n: int = 4) -> Column:

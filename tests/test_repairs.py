@@ -75,3 +75,16 @@ def test_profile_repeats_no_rows(spark):
     out = quality.profile(spark.createDataFrame([(1, "a"), (1, None), (2, "b")], "k int, v string"))
     assert [tuple(r)[:6] for r in out.orderBy("column").collect()] == [("k", 3, 0, 2, "1", "2"), ("v", 3, 1, 2, "a", "b")]
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_make_their_bits_once(spark):
+    import base64
+    import hashlib
+    import hmac
+
+    df = spark.createDataFrame([("Customer#1",), ("",), (None,)], "v string")
+    out = df.select("v", *[privacy.token_value(F.col("v"), b"pepper", n).alias(f"t{n}") for n in (1, 12, 20, 52)])
+    for r in out.collect():
+        code = r["v"] is not None and base64.b32encode(hmac.new(b"pepper", r["v"].encode(), hashlib.sha256).digest()).decode().lower()
+        assert all(r[f"t{n}"] == (f"tok_{code[:n]}" if code else None) for n in (1, 12, 20, 52))
+    assert spark.range(2).select(privacy.token_value(F.col("id"), b"pepper"))._jdf.queryExecution().optimizedPlan().toString().count("conv(") < 9
