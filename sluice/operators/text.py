@@ -147,17 +147,21 @@ def guardrails(text: Column, max_chars: int = 4000, blocked: tuple[str, ...] = (
     reasons, out = [F.when(F.length(text) > max_chars, "length"), F.when(_any(lower, INJECTION), "injection")], text
     if blocked:
         reasons.append(F.when(_any(lower, blocked), "blocklist"))
-    pii, secret = F.lit(False), F.lit(False)
-    for name in ("Email", "SSN", "Credit Card"):
-        pii = pii | out.rlike(PII[name])
-        out = F.regexp_replace(out, PII[name], f"[{name.upper().replace(' ', '_')}]")
-    for name, pattern in SECRETS.items():
-        secret = secret | out.rlike(pattern)
-        out = F.regexp_replace(out, pattern, f"[{name.upper()}]")
-    reasons += [F.when(pii, "pii"), F.when(secret, "secret")]
-    found = F.filter(F.array(*reasons), lambda r: r.isNotNull())
-    blocks = F.size(F.filter(found, lambda r: r != "pii")) > 0
-    return F.struct(F.when(blocks, "BLOCK").when(pii, "REDACT").otherwise("ALLOW").alias("action"), found.alias("reasons"), out.alias("text"))
+    rules = [("pii", PII[name], f"[{name.upper().replace(' ', '_')}]") for name in ("Email", "SSN", "Credit Card")] + [("secret", pattern, f"[{name.upper()}]") for name, pattern in SECRETS.items()]
+
+    def redact(left: list, out: Column, pii: Column, secret: Column) -> Column:
+        """The rules left, each tried once on the text so far: what it changes, it found."""
+        if not left:
+            return verdict(out, pii, secret)
+        (kind, pattern, mark), *others = left
+        after = let(F.struct(F.regexp_replace(out, pattern, mark).alias("text"), out.alias("before")), lambda v: F.struct(v["text"].alias("text"), (v["text"] != v["before"]).alias("hit")))
+        return let(after, lambda v: redact(others, v["text"], pii | v["hit"] if kind == "pii" else pii, secret | v["hit"] if kind == "secret" else secret))
+
+    def verdict(out: Column, pii: Column, secret: Column) -> Column:
+        found = F.filter(F.array(*reasons, F.when(pii, "pii"), F.when(secret, "secret")), lambda r: r.isNotNull())
+        return let(found, lambda f: F.struct(F.when(F.size(F.filter(f, lambda r: r != "pii")) > 0, "BLOCK").when(pii, "REDACT").otherwise("ALLOW").alias("action"), f.alias("reasons"), out.alias("text")))
+
+    return redact(rules, out, F.lit(False), F.lit(False))
 
 
 def _any(text: Column, phrases: tuple[str, ...]) -> Column:
