@@ -84,13 +84,14 @@ def levels(edges: DataFrame, before: str, after: str, max_rounds: int = 200) ->
     """``node, level``: the longest path to each node of an acyclic graph; a cycle raises.
 
     A round hands levels on along all edges at once and is one join and one aggregation, so there
-    are as many rounds as levels.
+    are as many rounds as levels. Tables meet by shuffles: what a round broadcasts would go through the
+    driver once for every round.
     """
     steps = cut(edges.select(F.col(before).alias("a"), F.col(after).alias("b")).distinct())
     now = cut(steps.select(F.col("a").alias("node")).union(steps.select(F.col("b").alias("node"))).distinct().withColumn("level", F.lit(0)))
     for _ in range(max_rounds):
-        pushed = steps.join(now.select(F.col("node").alias("a"), (F.col("level") + 1).alias("next")), "a").groupBy(F.col("b").alias("node")).agg(F.max("next").alias("next"))
-        after_ = cut(now.join(pushed, "node", "left").select("node", F.col("level").alias("old"), F.greatest("level", F.coalesce("next", F.lit(0))).alias("level")))
+        pushed = steps.hint("merge").join(now.select(F.col("node").alias("a"), (F.col("level") + 1).alias("next")), "a").groupBy(F.col("b").alias("node")).agg(F.max("next").alias("next"))
+        after_ = cut(now.hint("merge").join(pushed, "node", "left").select("node", F.col("level").alias("old"), F.greatest("level", F.coalesce("next", F.lit(0))).alias("level")))
         done = after_.where("old <> level").isEmpty()
         now = after_.drop("old")
         if done:
