@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,18 +212,97 @@ def keyword_recall(output: Column, expected: Column) -> Column:
     return F.when(n > 0, F.size(F.filter(expected, lambda w: F.contains(F.lower(output), F.lower(w)))) / n).otherwise(1.0)
 
 
-def semantic_cache(df: DataFrame, key: str, order: str, vector: str, by: list[str], threshold: float) -> DataFrame:
+#: Rows of a block that one task holds of each of two parts.
+CACHE_PART = 16_384
+#: Scores that a task has at a time, and candidates whose exact score it takes at a time.
+_SCORES = 1 << 22
+_EXACT = 1 << 17
+#: Scores are rounded to six digits; what a product by blocks is off by is far below a hundredth of that.
+_NEAR = 1.01e-6
+
+
+def _records(group: np.ndarray, order: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The rows whose key is smaller than the keys of all rows before them in their group, by ``order`` and then ``key``."""
+    by = np.lexsort((key, order, group))
+    # A later group's values are below those of all groups before it, so the smallest so far starts anew.
+    value = key[by] - group[by].astype(np.int64) * (int(key.max()) + 1 if len(key) else 1)
+    return by[np.r_[True, value[1:] < np.minimum.accumulate(value)[:-1]][: len(by)]]
+
+
+def _cache_fronts(v: np.ndarray, at: np.ndarray, key: np.ndarray, asking: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``row, source, score`` of the asked rows that may be the best of those before each asking row.
+
+    Rows are places in ``v``; ``at`` and ``key`` are ranks. A row is left out only if one before the same
+    rows, of a smaller key and as good a score, is there.
+    """
+    # Of equal vectors a later one counts only if its key is smaller.
+    _, same = np.unique(np.ascontiguousarray(v[asked]).view(np.dtype((np.void, 8 * v.shape[1]))).ravel(), return_inverse=True)
+    asked = asked[_records(same, at[asked], key[asked])]
+    asked = asked[np.argsort(at[asked], kind="stable")]
+    asking = asking[np.argsort(at[asking], kind="stable")]
+    before = np.searchsorted(at[asked], at[asking])
+    asking, before, others = asking[before > 0], before[before > 0], np.ascontiguousarray(v[asked].T)
+    odd = np.isnan(v).any()
+    start = 0
+    while start < len(asking):
+        stop = start + min(4096, max(1, _SCORES // int(before[min(len(before), start + 4096) - 1])))
+        rows, own = asking[start:stop], before[start:stop]
+        scores = v[rows] @ others[:, : own[-1]]
+        if odd:  # the greatest of all, as in Spark
+            scores[np.isnan(scores)] = np.inf
+        low = int(own[0])
+        scores[:, low:][np.arange(low, own[-1])[None, :] >= own[:, None]] = -np.inf
+        best = scores.max(1)
+        i, j = np.nonzero(scores >= np.where(np.isinf(best), best, best - _NEAR)[:, None])
+        for k in range(0, len(i), _EXACT):
+            a, b = rows[i[k : k + _EXACT]], asked[j[k : k + _EXACT]]
+            exact = np.zeros(len(a))
+            for c in range(v.shape[1]):  # in the order of components
+                exact += v[a, c] * v[b, c]
+            front = _records(a, -np.where(np.isnan(exact), np.inf, exact), key[b])
+            yield a[front], b[front], exact[front]
+        start = stop
+
+
+def semantic_cache(df: DataFrame, key: str, order: str, vector: str, by: list[str], threshold: float, part: int = CACHE_PART) -> DataFrame:
     """``key, hit, source, score``: the most similar earlier row of the same block at or above the threshold.
 
-    Vectors are compared by cosine with earlier rows of ``by`` only, an equi-join.
+    Vectors are compared by cosine with earlier rows of ``by`` only, ties to the smaller key. A block is
+    dealt over parts of about ``part`` rows, and every two parts meet in a task of their own that hands on
+    the few sources of each row that may be the best; no pairs are emitted. The products still grow with
+    the square of a block. Vectors of several lengths or with nulls don't compare.
     """
     norm = F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     unit = let(norm, lambda n: F.transform(vector, lambda x: x / n))
-    rows = df.select(*by, F.col(key).alias("key"), F.col(order).alias("at"), unit.alias("v"))
-    a, b = rows.alias("a"), rows.alias("b")
-    match = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by]
-    dot = F.aggregate(F.zip_with(F.col("a.v"), F.col("b.v"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = a.join(b, [*match, F.col("b.at") < F.col("a.at")], "left").select(F.col("a.key").alias("key"), F.col("b.key").alias("source"), F.round(dot, 6).alias("score"))
+    whole = F.col("v").isNotNull() & F.col("at").isNotNull() & ~F.exists("v", lambda x: x.isNull()) & (F.size("v") > 0)
+    rows = df.select(*by, F.col(key).alias("key"), F.col(order).alias("at"), unit.cast("array<double>").alias("v"))
+    full = rows.where(" and ".join(f"`{c}` is not null" for c in by) or "true").where(whole).withColumn("dim_", F.size("v"))
+    of_block = [*by, "dim_"]
+    parts = counted_small(full.groupBy(*of_block).agg(F.expr(f"1 + (count(*) - 1) div {part}").alias("parts_")))
+    tasks = parts.agg(F.sum(F.expr("parts_ * (parts_ + 1)"))).first()[0] or 1
+    mine = F.pmod(F.xxhash64("key", "at"), F.col("parts_")).alias("mine_")
+    dealt = full.join(parts, of_block).select(*of_block, "key", "at", "v", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_") - 1)).alias("other_"))
+    pair = [F.least("mine_", "other_").alias("low_"), F.greatest("mine_", "other_").alias("high_")]
+    dealt = dealt.select(*of_block, *pair, "mine_", "key", "at", "v").repartition(min(tasks, 20_000), *of_block, "low_", "high_")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        v = pc.list_flatten(rows["v"]).to_numpy().reshape(rows.num_rows, -1)
+        at, place = (pc.rank(rows[c].combine_chunks(), "ascending", tiebreaker="dense").to_numpy().astype(np.int64) for c in ("at", "key"))
+        mine = rows["mine_"].to_numpy()
+        one, two = np.flatnonzero(mine == mine.min()), np.flatnonzero(mine != mine.min())
+        if rows["low_"][0] == rows["high_"][0]:
+            sides = [(one, one)]
+        else:
+            sides = [(one, two), (two, one)] if len(two) else []
+        found = [x for a, b in sides for x in _cache_fronts(v, at, place, a, b)]
+        row, source, score = (np.concatenate([x[k] for x in found]) if found else np.empty(0, t) for k, t in enumerate((np.int64, np.int64, np.float64)))
+        return pa.table({"key": rows["key"].take(pa.array(row)), "source": rows["key"].take(pa.array(source)), "score": pa.array(score)})
+
+    kind = rows.schema["key"].dataType.simpleString()
+    fronts = dealt.groupBy(*of_block, "low_", "high_").applyInArrow(compare, f"key {kind}, source {kind}, score double")
+    alone = rows.select("key", F.lit(None).cast(kind).alias("source"), F.lit(None).cast("double").alias("score"))
+    pairs = alone.union(fronts.select("key", "source", F.round("score", 6).alias("score")))
     best = pairs.groupBy("key").agg(F.max_by(F.struct("source", "score"), F.struct("score", -F.col("source"))).alias("m"))
     hit = F.coalesce(F.col("m.score") >= threshold, F.lit(False))
     return best.select("key", hit.alias("hit"), F.when(hit, F.col("m.source")).alias("source"), F.when(hit, F.col("m.score")).alias("score"))
