@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.core.graph import connected_components
-from sluice.core.session import counted_small, cut
+from sluice.core.session import SMALL_ROWS, counted_small, cut, shared_dir
 from sluice.functions.privacy import PII, SECRETS
 
 WORD = r"[a-z0-9]+"
@@ -33,34 +34,152 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     return w.select("key", F.size("w").alias("total"), F.explode("w").alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"), F.max("total").alias("total"))
 
 
-def tfidf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """``key, term, weight, norm``: share in the text times ln((1 + N) / (1 + df)) + 1.
+def bags(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, total, terms`` (``term, n``) of every key's words, counted before they leave their row and written once.
 
-    ``n_docs`` is one row ``docs``. Document frequencies join on the term; a frequent term's rows are
-    split by adaptive execution like any skewed join's.
+    Only rows of a key that has several are brought together, after their terms are added up.
     """
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    w = counts.join(df, "term").join(F.broadcast(n_docs)).select("key", "term", (F.col("n") / F.col("total") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)).alias("weight"))
-    return w
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = pc.list_flatten(batch.column(1)).dictionary_encode()
+            kinds = max(1, len(coded.dictionary))
+            found, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * kinds + coded.indices.to_numpy(), return_counts=True)
+            ends = np.searchsorted(found, np.arange(len(sizes) + 1) * kinds).astype(np.int32)
+            terms = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(found % kinds)), pa.array(n)], ["term", "n"])
+            yield pa.record_batch([batch.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), terms)], ["key", "total", "terms"])
+
+    spark, home = df.sparkSession, f"{shared_dir(df.sparkSession)}/terms-{uuid.uuid4().hex}"
+    kind = df.schema[key].dataType.simpleString()
+    df.select(F.col(key).alias("key"), words(F.col(text)).alias("w")).mapInArrow(count, f"key {kind}, total long, terms array<struct<term: string, n: bigint>>").write.parquet(home)
+    rows = spark.read.parquet(home)
+    repeated = counted_small(rows.groupBy(F.col("key").alias("again")).agg(F.count("*").alias("rows")).where("rows > 1").select("again"))
+    if repeated.isEmpty():
+        return rows
+    same = rows["key"].eqNullSafe(repeated["again"])
+    met = rows.join(repeated, same, "left_semi").select("key", F.explode("terms").alias("t")).groupBy("key", "t.term").agg(F.sum("t.n").alias("n"))
+    return rows.join(repeated, same, "left_anti").unionByName(met.groupBy("key").agg(F.sum("n").alias("total"), F.collect_list(F.struct("term", "n")).alias("terms")))
+
+
+def norms(counted: DataFrame, df: DataFrame, n_docs: int) -> DataFrame:
+    """``key, norm`` of the TF-IDF weights of :func:`bags`: share in the text times ln((1 + N) / (1 + df)) + 1.
+
+    ``df`` is ``term, df``. The terms in most texts are broadcast, as many as may be; occurrences of the
+    others alone meet their frequency by a shuffle.
+    """
+    steps = {r["step"]: r["terms"] for r in df.groupBy(F.floor(F.log2("df")).alias("step")).agg(F.count("*").alias("terms")).collect()}
+    least, held = 1 + max(steps, default=0), 0
+    while least > 0 and held + steps.get(least - 1, 0) <= SMALL_ROWS:
+        least, held = least - 1, held + steps.get(least - 1, 0)
+    known = df.select("term", _idf(n_docs).alias("idf"), F.floor(F.log2("df")).alias("step"))
+    often = F.broadcast(cut(known.where(F.col("step") >= least).drop("step")))
+    each = counted.where("key is not null").select("key", "total", F.explode("terms").alias("t")).select("key", F.col("t.term").alias("term"), (F.col("t.n") / F.col("total")).alias("share"))
+    squares = each.join(often, "term")
+    if least > 0:
+        squares = squares.unionByName(each.join(often, "term", "left_anti").join(known.where(F.col("step") < least).drop("step").hint("merge"), "term"))
+    return squares.groupBy("key").agg(F.sqrt(F.sum((F.col("share") * F.col("idf")) ** 2)).alias("norm"))
+
+
+def _idf(n_docs: int) -> Column:
+    return F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1
+
+
+#: Numbers of a table of terms by queries, and products at a time in a task.
+_ASKED = 1 << 22
+#: Pairs that a task holds before it leaves those that others have beaten.
+_HELD = 100_000
+
+
+def _leading(query: np.ndarray, score: np.ndarray, key: np.ndarray, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may be among a query's first ``k`` once scores are rounded to nine digits, and the least score for that."""
+    by = np.lexsort((key, -score, query))
+    q, s = query[by], score[by]
+    place = np.arange(len(by))
+    start = np.searchsorted(q, np.arange(n))
+    least = np.zeros(n)
+    enough = np.diff(np.r_[start, len(q)]) >= k
+    least[enough] = s[start[enough] + k - 1] - 1.01e-9
+    # Of equal scores the k smallest keys.
+    new = np.r_[True, (q[1:] != q[:-1]) | (s[1:] != s[:-1])][: len(q)]
+    run = np.maximum.accumulate(np.where(new, place, 0))
+    return by[(s >= least[q]) & (place - run < k)], least
 
 
 def search(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int) -> DataFrame:
     """``query, rank, key, score``: the ``k`` documents of greatest cosine per query, ties to the smaller key.
 
-    Only documents that share a term with a query are scored: words are counted once, the queries'
-    terms are broadcast once counted to be few, and products summed before the ranking.
+    Words are counted once. A text keeps its terms that queries ask for, and a task hands on the pairs
+    that may lead of those it has; queries go to the tasks by blocks of bounded size.
     """
-    counts = cut(term_counts(docs, key, text))
-    n = cut(docs.agg(F.count("*").alias("docs")))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1
-    asked = term_counts(queries, query_key, query_text).join(df, "term").join(F.broadcast(n)).select(F.col("key").alias("query"), "term", (F.col("n") * idf).alias("q"), idf.alias("idf"))
-    asked = counted_small(asked.withColumn("q", F.col("q") / F.sqrt(F.sum(F.col("q") ** 2).over(Window.partitionBy("query")))))
-    weight = F.col("n") / F.col("total")
-    dots = counts.join(asked, "term").groupBy("query", "key").agg(F.sum(weight * F.col("idf") * F.col("q")).alias("dot"))
-    norms = tfidf(counts, n).groupBy("key").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    scores = dots.join(norms, "key").select("query", "key", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
+    spark = docs.sparkSession
+    counted, n = bags(docs, key, text), docs.count()
+    df = cut(counted.select(F.explode("terms").alias("t")).groupBy("t.term").agg(F.count("*").alias("df")))
+    asked = term_counts(queries, query_key, query_text).join(df, "term").select(F.col("key").alias("query"), "term", (F.col("n") * _idf(n)).alias("q"), _idf(n).alias("idf"))
+    asked = cut(asked.withColumn("q", F.col("q") / F.sqrt(F.sum(F.col("q") ** 2).over(Window.partitionBy("query"))) * F.col("idf")))
+    size = asked.agg(F.count_distinct("term") * F.count_distinct("query")).first()[0]
+    blocks = 1 + size // _ASKED
+    lengths = norms(counted, df, n)
+    kind, query_kind = counted.schema["key"].dataType.simpleString(), asked.schema["query"].dataType.simpleString()
+
+    def block(part: DataFrame) -> DataFrame:
+        own = part.select("query", "term", "q").toArrow().combine_chunks()
+        names, terms = pc.unique(own["query"]), pc.unique(own["term"])
+        table = np.zeros((len(terms), len(names)))
+        table[pc.index_in(own["term"], terms).to_numpy(), pc.index_in(own["query"], names).to_numpy()] = own["q"].to_numpy()
+        shared = spark.sparkContext.broadcast((names, terms, table))
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held = batch.column(2).flatten()
+                at = pc.index_in(held.field(0), shared.value[1])
+                row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy())
+                use = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                at, times, row = at.take(pa.array(use)).to_numpy(), held.field(1).to_numpy()[use], row[use]
+                by = np.lexsort((at, row))
+                ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+                out = pa.record_batch([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(at[by].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(times[by].astype(np.int64)))], ["key", "total", "at", "n"])
+                yield out.filter(pc.greater(pc.list_value_length(out.column(2)), 0))
+
+        def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, _, table = shared.value
+            least = np.zeros(len(names))
+            query, score, keys = [np.empty(0, np.int64)], [np.empty(0)], []
+
+            def settle() -> None:
+                nonlocal query, score, keys, least
+                q, s, held = np.concatenate(query), np.concatenate(score), pa.concat_arrays(keys)
+                kept, least = _leading(q, s, pc.rank(held, "ascending", tiebreaker="dense").to_numpy().astype(np.int64), k, len(names))
+                query, score, keys = [q[kept]], [s[kept]], [held.take(pa.array(kept))]
+
+            for batch in batches:
+                sizes = pc.list_value_length(batch.column(2)).to_numpy().astype(np.int64)
+                at, weight = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy() / np.repeat(batch.column(1).to_numpy(), sizes)
+                norm, starts = batch.column(4).to_numpy(), np.r_[0, np.cumsum(sizes)]
+                first, most = 0, max(1, _ASKED // max(1, len(names)))
+                while first < batch.num_rows:
+                    last = max(first + 1, int(np.searchsorted(starts, starts[first] + most, "right")) - 1)
+                    a, b = starts[first], starts[last]
+                    dots = np.add.reduceat(table[at[a:b]] * weight[a:b, None], starts[first:last] - a) / norm[first:last, None]
+                    row, q = np.nonzero((dots > 0) & (dots >= least))
+                    query.append(q)
+                    score.append(dots[row, q])
+                    keys.append(batch.column(0).take(pa.array(row + first)))
+                    if sum(map(len, query)) > _HELD:
+                        settle()
+                    first = last
+            if keys:
+                settle()
+                yield pa.record_batch([names.take(pa.array(query[0])), keys[0], pa.array(score[0])], ["query", "key", "score"])
+
+        kept = counted.mapInArrow(keep, f"key {kind}, total long, at array<int>, n array<bigint>").join(lengths, "key")
+        return kept.select("key", "total", "at", "n", "norm").mapInArrow(lead, f"query {query_kind}, key {kind}, score double")
+
+    found = block(asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == 0))
+    for i in range(1, blocks):
+        found = found.union(block(asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "key")
+    scores = found.select("query", "key", F.round("score", 9).alias("score"))
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "rank", "key", "score")
 
 

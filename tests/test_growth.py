@@ -1,6 +1,9 @@
 """Work that once grew faster than its input, held against plain versions."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -51,3 +54,40 @@ def test_semantic_cache_hands_on_few_rows_of_copies():
     v, at = np.tile([0.6, 0.8], (n, 1)), np.arange(n)
     found = list(text._cache_fronts(v, at, at, at, at))
     assert sum(len(x[0]) for x in found) == n - 1 and all((x[1] == 0).all() for x in found)
+
+
+def plain_search(docs, queries, k):
+    """All words of a key together, every document against every query."""
+    bags, asked = {}, {}
+    for key, t in docs:
+        bags.setdefault(key, Counter()).update(re.findall("[a-z0-9]+", (t or "").lower()))
+    for key, t in queries:
+        asked.setdefault(key, Counter()).update(re.findall("[a-z0-9]+", (t or "").lower()))
+    df = Counter(t for b in bags.values() for t in b)
+    idf = {t: math.log((1 + len(docs)) / (1 + n)) + 1 for t, n in df.items()}
+    out = set()
+    for query, wanted in asked.items():
+        q = {t: n * idf[t] for t, n in wanted.items() if t in idf}
+        length, scores = math.sqrt(sum(x * x for x in q.values())), []
+        for key, bag in bags.items():
+            if key is not None and any(t in bag for t in q):
+                w = {t: n / bag.total() * idf[t] for t, n in bag.items()}
+                scores.append((-round(sum(w.get(t, 0) * x / length for t, x in q.items()) / math.sqrt(sum(x * x for x in w.values())), 9), key))
+        out |= {(query, r, key, round(-s, 7)) for r, (s, key) in enumerate(sorted(scores)[:k], 1)}
+    return out
+
+
+def test_search_hands_on_leading_pairs_alone(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    some = lambda n: " ".join(rng.choice(words[: rng.choice([5, 20, 60])]) for _ in range(rng.randrange(n)))
+    docs = [(rng.choice([i, i, i, 7, None]), some(30)) for i in range(200)] + [(1000 + i, "w1 w2 w3") for i in range(50)] + [(2000, None), (2001, "")]
+    queries = [(f"q{i}", some(8)) for i in range(12)] + [("copies", "w1 w2 w3"), (None, "w4 w5"), ("none", "unheard"), ("q1", "w7 w8")]
+    frames = [spark.createDataFrame(docs, "id long, t string").repartition(3), spark.createDataFrame(queries, "q string, t string")]
+    want = plain_search(docs, queries, 3)
+    for asked, held, small in ((1 << 22, 100_000, 400_000), (100, 20, 400_000), (1 << 22, 50, 10)):
+        monkeypatch.setattr(text, "_ASKED", asked)
+        monkeypatch.setattr(text, "_HELD", held)
+        monkeypatch.setattr(text, "SMALL_ROWS", small)
+        assert {(r["query"], r["rank"], r["key"], round(r["score"], 7)) for r in text.search(*frames, "id", "t", "q", "t", 3).collect()} == want
+    assert text.search(frames[0].where("false"), frames[1], "id", "t", "q", "t", 3).count() == 0
