@@ -44,20 +44,20 @@ def offset_page_orders(spark, sf_dir):
 _WORDS = "(SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents)"
 
 
-def _distinct_words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("w")).distinct()
+def _words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("w"))
 
 
 @query(f"SELECT 'UTF8_BINARY' AS collation, count(DISTINCT w) AS n FROM {_WORDS} UNION ALL SELECT 'UTF8_LCASE', count(DISTINCT lower(w)) FROM {_WORDS} UNION ALL SELECT 'UNICODE_CI', count(DISTINCT lower(w)) FROM {_WORDS}")
 def collation_distinct_words(spark, sf_dir):
-    return R.distinct_under(_distinct_words(spark, sf_dir), "w", ["UTF8_BINARY", "UTF8_LCASE", "UNICODE_CI"])
+    return R.distinct_under(_words(spark, sf_dir), "w", ["UTF8_BINARY", "UTF8_LCASE", "UNICODE_CI"])
 
 
 @query(f"WITH r AS (SELECT lower(w) AS word, min(w) AS spelt FROM {_WORDS} GROUP BY 1) SELECT word, row_number() OVER (ORDER BY word) AS place FROM (SELECT * FROM r ORDER BY word LIMIT 200)")
 def collation_order_words(spark, sf_dir):
     from pyspark.sql import Window
 
-    first = _distinct_words(spark, sf_dir).groupBy(F.lower("w").alias("word")).agg(F.min("w").alias("spelt")).orderBy(F.collate(F.col("spelt"), "UTF8_LCASE")).limit(200)
+    first = R.once(_words(spark, sf_dir), "w").groupBy(F.lower("w").alias("word")).agg(F.min("w").alias("spelt")).orderBy(F.collate(F.col("spelt"), "UTF8_LCASE")).limit(200)
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.collate(F.col("spelt"), "UTF8_LCASE")))  # 200 rows
     return first.select("word", place.alias("place"))
 

@@ -7,7 +7,9 @@ from collections import Counter
 
 import numpy as np
 
-from sluice.operators import text
+from pyspark.sql import functions as F
+
+from sluice.operators import relations, text
 
 
 def plain_cache(rows, threshold):
@@ -91,3 +93,12 @@ def test_search_hands_on_leading_pairs_alone(spark, monkeypatch):
         monkeypatch.setattr(text, "SMALL_ROWS", small)
         assert {(r["query"], r["rank"], r["key"], round(r["score"], 7)) for r in text.search(*frames, "id", "t", "q", "t", 3).collect()} == want
     assert text.search(frames[0].where("false"), frames[1], "id", "t", "q", "t", 3).count() == 0
+
+
+def test_values_are_grouped_before_collations_compare_them(spark):
+    df = spark.createDataFrame([(w,) for w in ["a", "A", "a", "ä", "Ä", "b", None, "B"] * 9], "w string")
+    out = relations.distinct_under(df, "w", ["UTF8_BINARY", "UTF8_LCASE", "UNICODE_CI"])
+    assert {r["collation"]: r["n"] for r in out.collect()} == {"UTF8_BINARY": 6, "UTF8_LCASE": 3, "UNICODE_CI": 3}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.rindex("Expand") :], plan
+    assert sorted(r["w"] for r in relations.once(df.select(F.collate("w", "UTF8_LCASE").alias("w")), "w").where("w is not null").collect()) == ["A", "B", "a", "b", "Ä", "ä"]
