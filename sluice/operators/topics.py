@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,34 +30,46 @@ def tfidf_rows(docs: DataFrame, id_col: str, text_col: str, most_terms: int = 20
     ``ln((1 + n) / (1 + df)) + 1``, scaled to length one. Rows are texts: equal ids don't meet.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    counts = cut(docs.select(F.col(id_col).alias("id"), words.alias("words")))
-    n = counts.count()
+    counts = docs.select(F.col(id_col).alias("id"), words.alias("words"))
+    n = docs.count()
     df = counts.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= least_docs) & (F.col("df") <= most_share * n))
     if stop_words:
         df = df.where(~F.col("term").isin(list(stop_words)))
     kept = sorted(df.orderBy(F.desc("df"), "term").limit(most_terms).collect(), key=lambda r: r["term"])
     vocabulary, idf = [r["term"] for r in kept], np.array([np.log((1 + n) / (1 + r["df"])) + 1 for r in kept])
-    place = {t: i for i, t in enumerate(vocabulary)}
-
-    def weigh(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for own, words in zip(part["id"], part["words"]):
-                at, times = np.unique([place[w] for w in words if w in place], return_counts=True)
-                if len(at):
-                    w = times * idf[at.astype(int)]
-                    rows.append((own, at.astype(int).tolist(), (w / np.sqrt((w * w).sum())).tolist()))
-            yield pd.DataFrame(rows, columns=["id", "terms", "weights"])
+    shared = docs.sparkSession.sparkContext.broadcast((pa.array(vocabulary, pa.string()), idf))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf = shared.value
+        for batch in batches:
+            at = pc.index_in(pc.list_flatten(batch.column(1)), terms)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy())
+            use = at.is_valid().to_numpy(zero_copy_only=False)
+            found, times = np.unique(row[use] * len(terms) + at.drop_null().to_numpy(), return_counts=True)
+            row, at = np.divmod(found, max(1, len(terms)))
+            w = times * idf[at]
+            w = w / np.sqrt(np.bincount(row, w * w, batch.num_rows))[row]
+            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            out = pa.record_batch([batch.column(0), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at.astype(np.int32), w))], ["id", "terms", "weights"])
+            yield out.filter(pc.greater(pc.list_value_length(out.column(1)), 0))
 
     kind = counts.schema["id"].dataType.simpleString()
-    return cut(counts.mapInPandas(weigh, f"id {kind}, terms array<int>, weights array<double>")), vocabulary
+    return cut(counts.mapInArrow(weigh, f"id {kind}, terms array<int>, weights array<double>")), vocabulary
 
 
-def _loads(terms: np.ndarray, weights: np.ndarray, history: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """A text's loads after a multiplicative update by each round's topics and their products."""
-    w = np.full(len(history[0][0]), 1.0 / len(history[0][0]))
+def _flat(terms: pa.Array, weights: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms and weights of all rows, which have one at least, and where each row starts."""
+    sizes = pc.list_value_length(terms).to_numpy().astype(np.int64)
+    return terms.flatten().to_numpy(), weights.flatten().to_numpy(), np.cumsum(sizes) - sizes
+
+
+def _loads(terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, history: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Topics by texts: their loads after a multiplicative update by each round's topics and their products."""
+    topics = len(history[0][0])
+    w = np.full((topics, len(starts)), 1.0 / topics)
     for h, square in history:
-        w = w * (h[:, terms] @ weights) / np.maximum(square @ w, _TINY)
+        seen = np.array([np.add.reduceat(row[terms] * weights, starts) for row in h])
+        w = w * seen / np.maximum(square @ w, _TINY)
     return w
 
 
@@ -73,17 +86,21 @@ def factorise(rows: DataFrame, n_terms: int, topics: int, rounds: int = 20, seed
         history.append((h, h @ h.T))
         shared = spark.sparkContext.broadcast(history)
 
-        def sums(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             numerator, square = np.zeros((topics, n_terms)), np.zeros((topics, topics))
-            for part in parts:
-                for terms, weights in zip(part["terms"], part["weights"]):
-                    w = _loads(terms, weights, shared.value)
-                    numerator[:, terms] += np.outer(w, weights)
-                    square += np.outer(w, w)
-            yield pd.DataFrame({"place": np.arange(n_terms + topics), "sums": [*numerator.T.tolist(), *square.T.tolist()]})
+            for batch in batches:
+                if batch.num_rows:
+                    terms, weights, starts = _flat(batch.column(0), batch.column(1))
+                    w = _loads(terms, weights, starts, shared.value)
+                    each = np.repeat(w, np.diff(np.r_[starts, len(terms)]), axis=1) * weights
+                    numerator += [np.bincount(terms, x, n_terms) for x in each]
+                    square += w @ w.T
+            both = np.concatenate([numerator.T, square.T])
+            ends = np.arange(len(both) + 1, dtype=np.int32) * topics
+            yield pa.record_batch([pa.array(np.arange(len(both))), pa.ListArray.from_arrays(pa.array(ends), pa.array(both.ravel()))], ["place", "sums"])
 
         added = [F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(topics)]
-        total = rows.select("terms", "weights").mapInPandas(sums, "place long, sums array<double>").groupBy("place").agg(*added).toPandas().sort_values("place")
+        total = rows.select("terms", "weights").mapInArrow(sums, "place long, sums array<double>").groupBy("place").agg(*added).toPandas().sort_values("place")
         both = total.drop(columns="place").to_numpy()
         if not len(both):
             return h, errors, history
@@ -105,12 +122,13 @@ def fit_topics(docs: DataFrame, id_col: str, text_col: str, topics: int = 4, rou
     ranked = [(k, r, terms[t], float(h[k, t])) for k in range(topics) for r, t in enumerate(np.argsort(-h[k], kind="stable").tolist(), 1)]
     shared = spark.sparkContext.broadcast(history)
 
-    def label(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            loads = [_loads(t, w, shared.value) for t, w in zip(part["terms"], part["weights"])]
-            best = [int(np.argmax(w)) for w in loads]
-            yield pd.DataFrame({"id": part["id"], "topic": best, "confidence": [float(w[b] / max(w.sum(), _TINY)) for w, b in zip(loads, best)], "loads": [w.tolist() for w in loads]})
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                w = _loads(*_flat(batch.column(1), batch.column(2)), shared.value)
+                ends = np.arange(batch.num_rows + 1, dtype=np.int32) * topics
+                yield pa.record_batch([batch.column(0), pa.array(w.argmax(0).astype(np.int32)), pa.array(w.max(0) / np.maximum(w.sum(0), _TINY)), pa.ListArray.from_arrays(pa.array(ends), pa.array(w.T.ravel()))], ["id", "topic", "confidence", "loads"])
 
-    found = rows.mapInPandas(label, f"id {kind}, topic int, confidence double, loads array<double>")
+    found = rows.mapInArrow(label, f"id {kind}, topic int, confidence double, loads array<double>")
     others = docs.select(F.col(id_col).alias("id")).exceptAll(rows.select("id")).select("id", F.lit(None).cast("int").alias("topic"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("array<double>").alias("loads"))
     return spark.createDataFrame(ranked, "topic int, rank int, term string, weight double"), found.union(others), errors

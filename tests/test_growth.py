@@ -9,7 +9,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from sluice.operators import relations, text
+from sluice.operators import relations, text, topics
 
 
 def plain_cache(rows, threshold):
@@ -102,3 +102,16 @@ def test_values_are_grouped_before_collations_compare_them(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.rindex("Expand") :], plan
     assert sorted(r["w"] for r in relations.once(df.select(F.collate("w", "UTF8_LCASE").alias("w")), "w").where("w is not null").collect()) == ["A", "B", "a", "b", "Ä", "ä"]
+
+
+def test_loads_of_a_batch_at_once():
+    rng = np.random.default_rng(3)
+    dense = rng.random((9, 12)) * (rng.random((9, 12)) < 0.4)
+    dense[:, 0] += 0.1
+    row, terms = np.nonzero(dense)
+    history = [(h, h @ h.T) for h in rng.random((4, 3, 12))]
+    got = topics._loads(terms, dense[row, terms], np.searchsorted(row, np.arange(9)), history)
+    want = np.full((9, 3), 1 / 3)
+    for h, square in history:
+        want = want * (dense @ h.T) / (want @ square)
+    assert np.allclose(got.T, want)
