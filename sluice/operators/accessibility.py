@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.core.session import cut
+
 # Weights, words that say nothing, and the elements that rules look at.
 WEIGHTS = {"critical": 10, "serious": 6, "moderate": 3, "minor": 1}
 VAGUE_LINKS = ("click here", "here", "read more", "more", "link", "this", "learn more")
@@ -19,6 +21,8 @@ NAMED = ("a", "button", *HEADINGS)
 CONTROLS = ("input", "select", "textarea")
 LOOKED_AT = frozenset((*NAMED, *CONTROLS, "html", "title", "meta", "img", "label"))
 OPERABLE = ("button", "a", "input", "select", "textarea", "form")
+#: Elements that a task hands on at a time, and those of one more page.
+ELEMENTS = 2000
 _HUGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
 
 
@@ -56,10 +60,15 @@ def elements(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     kind = pages.schema[id_col].dataType.simpleString()
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = lambda rows: pd.DataFrame(rows, columns=["page", "row", "place", "tag", "attributes", "text"])
         for part in parts:
+            rows = []
             for page, row, html in zip(part["page"], part["row"], part["html"]):
-                rows = [(page, row, i, *e) for i, e in enumerate(_Walk(html or "").found)] or [(page, row, 0, None, {}, None)]
-                yield pd.DataFrame(rows, columns=["page", "row", "place", "tag", "attributes", "text"])
+                rows += [(page, row, i, *e) for i, e in enumerate(_Walk(html or "").found)] or [(page, row, 0, None, {}, None)]
+                if len(rows) >= ELEMENTS:
+                    yield made(rows)
+                    rows = []
+            yield made(rows)
 
     own = pages.select(F.col(id_col).alias("page"), F.xxhash64(html_col).alias("row"), F.col(html_col).alias("html"))
     return own.mapInPandas(walk, f"page {kind}, row long, place int, tag string, attributes map<string,string>, text string")
@@ -108,7 +117,11 @@ def findings(found: DataFrame) -> DataFrame:
 
 
 def grades(found: DataFrame) -> DataFrame:
-    """``page, row, faults, score, grade`` of every page of :func:`elements`: 100 less the weights of its faults, 0 at least."""
+    """``page, row, faults, score, grade`` of every page of :func:`elements`: 100 less the weights of its faults, 0 at least.
+
+    Pages are walked once: their elements are kept, as three aggregations read them.
+    """
+    found = cut(found)
     weight = F.coalesce(*[F.when(F.col("severity") == s, w) for s, w in WEIGHTS.items()])
     lost = findings(found).groupBy("page", "row").agg(F.count("*").alias("faults"), F.sum(weight).alias("lost"))
     pages = found.select("page", "row").distinct()

@@ -9,7 +9,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from sluice.operators import relations, text, topics
+from sluice.operators import accessibility, relations, text, topics
 
 
 def plain_cache(rows, threshold):
@@ -115,3 +115,12 @@ def test_loads_of_a_batch_at_once():
     for h, square in history:
         want = want * (dense @ h.T) / (want @ square)
     assert np.allclose(got.T, want)
+
+
+def test_grades_walk_a_page_once(spark, monkeypatch):
+    monkeypatch.setattr(accessibility, "ELEMENTS", 3)
+    pages = spark.createDataFrame([(i, "<html lang='en'><title>x</title><h1>a</h1>" + "<img src='a'>" * (i % 5)) for i in range(40)] + [(40, None), (None, "<h2>b</h2>")], "id long, html string").coalesce(2)
+    out = accessibility.grades(accessibility.elements(pages, "id", "html"))
+    assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["page"]: (r["faults"], r["score"]) for r in out.collect()}
+    assert len(got) == 42 and all(got[i] == (1 + i % 5, max(0, 97 - 10 * (i % 5))) for i in range(40))
