@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.stats import f_upper, normal_two_sided
@@ -61,21 +61,26 @@ def overall_effect(effects: DataFrame) -> DataFrame:
     return effects.agg((F.sum(F.col("n_treated") * F.col("effect")) / F.sum("n_treated")).alias("effect"), F.count("*").alias("cells"))
 
 
+#: Steps of a series that are sorted together, at least.
+STRETCH = 256
+
+
 def lagged(series: DataFrame, keys: list[str], t: str, columns: list[str], lags: int) -> DataFrame:
     """Rows of a series with arrays ``<column>_lags`` of the values 1 to ``lags`` steps before; rows without all of them are left out.
 
-    Every value goes to the steps it is a lag of, so a long series needs no task of its own. Steps are
-    whole numbers; a step that is missing leaves out those that need it.
+    A series is cut into stretches of steps, and a stretch gets the last ``lags`` steps of the one before
+    too, so a long series needs no task of its own and few steps are sent twice. Steps are whole numbers,
+    each once a key; a step that is missing leaves out those that need it.
     """
-    values = F.struct(*[F.col(c).cast("double").alias(c) for c in columns])
-    sent = series.where(" and ".join(f"{c} is not null" for c in [t, *columns])).select(*keys, F.col(t).cast("long").alias(t), values.alias("v"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("k"))
-    met = sent.groupBy(*keys, (F.col(t) + F.col("k")).alias(t)).agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("all"))
-    whole = met.where(F.size("all") == lags + 1)
-    return whole.select(*keys, t, *[F.col("all")[0]["v"][c].alias(c) for c in columns], *[_of(c, lags) for c in columns])
-
-
-def _of(column: str, lags: int) -> Column:
-    return F.transform(F.slice("all", 2, lags), lambda x: x["v"][column]).alias(f"{column}_lags")
+    size = max(STRETCH, 16 * lags)
+    step = F.col(t).cast("long")
+    own = F.floor(F.col(t) / size)
+    rows = series.where(" and ".join(f"{c} is not null" for c in [t, *columns])).select(*keys, step.alias(t), *[F.col(c).cast("double").alias(c) for c in columns])
+    sent = rows.withColumn("stretch_", F.explode(F.when(F.pmod(F.col(t), F.lit(size)) >= size - lags, F.array(own, own + 1)).otherwise(F.array(own))))
+    before = Window.partitionBy(*keys, "stretch_").orderBy(t)
+    back = [F.array(*[F.lag(c, k).over(before) for k in range(1, lags + 1)]).alias(f"{c}_lags") for c in columns]
+    met = sent.select(*keys, t, *columns, *back, "stretch_", F.lag(t, lags).over(before).alias("first_"))
+    return met.where((F.col("stretch_") == own) & (F.col("first_") == F.col(t) - lags)).drop("stretch_", "first_")
 
 
 def granger(series: DataFrame, keys: list[str], t: str, x: str, y: str, lags: int = 4, period: int | None = 12) -> DataFrame:

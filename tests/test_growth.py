@@ -9,7 +9,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from sluice.operators import accessibility, relations, text, topics
+from sluice.operators import accessibility, panel, relations, text, topics
 
 
 def plain_cache(rows, threshold):
@@ -124,3 +124,14 @@ def test_grades_walk_a_page_once(spark, monkeypatch):
     assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = {r["page"]: (r["faults"], r["score"]) for r in out.collect()}
     assert len(got) == 42 and all(got[i] == (1 + i % 5, max(0, 97 - 10 * (i % 5))) for i in range(40))
+
+
+def test_lags_over_the_borders_of_stretches(spark):
+    """A step is sent once, or twice at the end of a stretch, not once for every lag."""
+    steps = [t for t in range(-700, 700) if t % 97]
+    df = spark.createDataFrame([(k, t, float(t), 0.0) for t in steps for k in (1, None)], "key int, t int, x double, y double").repartition(4)
+    out = panel.lagged(df, ["key"], "t", ["x", "y"], 3)
+    want = {t: [t - 1.0, t - 2.0, t - 3.0] for t in steps if all((t - k) % 97 and t - k >= -700 for k in (1, 2, 3))}
+    rows = out.collect()
+    assert len(rows) == 2 * len(want) and all(r["x_lags"] == want[r["t"]] for r in rows)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
