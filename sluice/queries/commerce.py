@@ -11,6 +11,9 @@ from sluice.operators import money
 from sluice.queries import query
 from sluice.queries.statistics import rounded
 
+#: Lines that one task joins and sorts, about; there are as many tasks as that takes.
+LINES = 250_000
+
 
 @query("""
 WITH r AS (SELECT o_orderkey, l_linenumber, CAST(round(o_totalprice * 100) AS HUGEINT) AS u, CAST(round(l_quantity * 10000) AS HUGEINT) AS w, row_number() OVER (PARTITION BY o_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS copy FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
@@ -22,7 +25,10 @@ def allocated_order_totals(spark, sf_dir):
     """Each order's price dealt to its lines by quantity, to the cent."""
     from pyspark.sql import Window
 
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    parts = 1 + lines.count() // LINES
+    prices = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    lines = lines.repartition(parts, "o_orderkey").join(prices.repartition(parts, "o_orderkey"), "o_orderkey")
     copy = F.row_number().over(Window.partitionBy("o_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
     rows = lines.select("o_orderkey", "l_linenumber", F.round(F.col("o_totalprice").cast("decimal(18,4)"), 2).alias("total"), F.col("l_quantity").cast("decimal(18,4)").alias("w"), copy.alias("copy"))
     return money.allocate(rows, ["o_orderkey"], "total", "w", ["l_linenumber", "copy"]).select("o_orderkey", "l_linenumber", "copy", F.col("share").cast("double").alias("share"))

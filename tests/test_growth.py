@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sluice.operators import accessibility, panel, relations, text, topics
+from sluice.queries import commerce
 
 
 def plain_cache(rows, threshold):
@@ -135,3 +136,14 @@ def test_lags_over_the_borders_of_stretches(spark):
     rows = out.collect()
     assert len(rows) == 2 * len(want) and all(r["x_lags"] == want[r["t"]] for r in rows)
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_allocated_orders_get_tasks_by_their_lines(spark, monkeypatch):
+    """A task joins and sorts so many lines, however many there are; orders stay whole."""
+    folder = "/root/testdata/sf0.001"
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    want = rows(commerce.allocated_order_totals(spark, folder))
+    monkeypatch.setattr(commerce, "LINES", 300)
+    out = commerce.allocated_order_totals(spark, folder)
+    n = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert out.rdd.getNumPartitions() == 1 + n // 300 and rows(out) == want
