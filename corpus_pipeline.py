@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.core.session import shared_dir, table
+from sluice.core.session import shared_dir, small_batches, table
 from sluice.llm import langid, mixing, pieces, shingles, simhash, toxicity
 from sluice.llm.common import fold
 from sluice.llm.registry import PIECES
@@ -29,6 +29,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those that no learned language fits."""
+    small_batches(spark)
     model = langid.train(docs.where(fold(F.col("doc_id"), 5) != 0))
     found = langid.predict(_rows(docs), model, "row")
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select("doc_id.*")
@@ -36,6 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents predicted toxic; labels of the held-out fold are not learned from."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(fold(F.col("doc_id"), 4) != 2), docs)
     return toxicity.score(_rows(docs), model, "row").where("predicted = 0").select("doc_id.*")
@@ -49,6 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     share an id but no text are judged on their own; rows without an id stay only where no row of
     their component has one; of rows alike in id and text one stays.
     """
+    small_batches(spark)
     keyed = simhash.row_keys(docs)
     found = shingles.merged(simhash.near_duplicates(keyed, "key"), shingles.components(keyed, "key"))
     return simhash.firsts(keyed, found)
@@ -61,6 +64,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document taken, with its language and source."""
+    small_batches(spark)
     coded = pieces.encode(docs.withColumn("doc_id", F.struct("doc_id", "lang", "source")), pieces.load(PIECES))
     return coded.select("doc_id.*", "n_ids", "n_bytes", "round_trip", "ids")
 

@@ -89,3 +89,22 @@ def test_no_rows(spark, shared_ids):
 
 def test_stages_are_as_dealt():
     assert [n for n, _ in P.STAGES] == ["language", "toxicity", "near_duplicates", "mixture", "tokens"] and P.ORACLE_SQL is None
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """Stages with Python bound the bytes of an Arrow batch; a session that has set the bound keeps it."""
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 40, 1, 1).selectExpr("id as doc_id", "repeat('the quick brown fox ', 25000) as text", "'en' as lang", "'a' as source", "500000 as n_chars")
+    sizes = lambda: [r["n"] for r in docs.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()]
+    try:
+        for name, stage in P.STAGES:
+            spark.conf.unset(key)
+            stage(spark, docs, DATA)
+            assert name == "mixture" or max(sizes()) < 6_000_000, name
+        spark.conf.set(key, "2m")
+        P.tokens(spark, docs, DATA)
+        assert spark.conf.get(key) == "2m"
+    finally:
+        spark.conf.unset(key)
