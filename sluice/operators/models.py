@@ -150,12 +150,13 @@ def principal_components(df: DataFrame, vector: str, k: int) -> DataFrame:
 def recommend(ratings: DataFrame, similar: DataFrame, user: str, item: str, rating: str, n: int) -> DataFrame:
     """``user, rank, item, score, because``: the ``n`` items a user hasn't rated that are most like those rated.
 
-    The score sums the similarity to each rated item times its rating; only positive ones count. Ranks go
-    by the score to nine decimals, ties to the smaller item; the score itself isn't rounded.
+    The score sums the similarity to each rated item times its rating; only positive scores count. An item
+    rated 0 or less is rated, too. Ranks go by the score to nine decimals, ties to the smaller item; the
+    score itself isn't rounded.
     ``because`` is the rated item that adds most, ties to the smaller. ``similar`` is what
     :func:`item_similarity` gives; items meet on an equi-join, so users without a similar item have no rows.
     """
-    own = ratings.groupBy(F.col(user).alias("user"), F.col(item).alias("rated")).agg(F.avg(rating).alias("r")).where("r > 0")
+    own = ratings.groupBy(F.col(user).alias("user"), F.col(item).alias("rated")).agg(F.avg(rating).alias("r"))
     met = own.join(similar.select(F.col("item").alias("rated"), F.col("other").alias("item"), "score"), "rated").withColumn("adds", F.col("r") * F.col("score"))
     scored = met.groupBy("user", "item").agg(F.sum("adds").alias("score"), F.max_by("rated", F.struct("adds", -F.col("rated"))).alias("because")).where("score > 0")
     fresh = scored.join(own.select("user", F.col("rated").alias("item")), ["user", "item"], "left_anti")

@@ -58,6 +58,14 @@ def test_recommended_scores_are_rounded_once(spark):
     assert models.recommend(rows, similar, "u", "i", "r", 3).selectExpr("round(score, 4)").first()[0] == 61.4776
 
 
+def test_rated_at_zero_or_less_is_rated(spark):
+    """An item rated 0 isn't recommended, a negative rating counts against, a missing one for nothing."""
+    similar = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.4), (1, 4, 0.3), (5, 4, 0.2), (1, 6, 0.1)], "item int, other int, score double")
+    rows = spark.createDataFrame([(1, 1, 10.0), (1, 2, 0.0), (1, 5, -20.0), (1, 3, None), (2, 1, 1.0), (3, 5, -1.0)], "u int, i int, r double")
+    got = [tuple(r) for r in models.recommend(rows, similar, "u", "i", "r", 3).orderBy("user", "rank").collect()]
+    assert got == [(1, 1, 6, 1.0, 1), (2, 1, 2, 0.5, 1), (2, 2, 3, 0.4, 1), (2, 3, 4, 0.3, 1)]
+
+
 def test_item_pairs_are_summed_where_they_arise(spark):
     import itertools
     import re
