@@ -12,11 +12,15 @@ from pyspark.ml.feature import CountVectorizer, IDF, RegexTokenizer, StandardSca
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.core.session import counted_small, cut
+from sluice.core.session import SMALL_ROWS, cut
+from sluice.operators import pairs
 
-#: Blocks of items whose pairs are summed cell by cell; a user's ratings are shuffled once for each.
+#: Least blocks of items whose pairs are summed cell by cell; ratings are shuffled once for each.
 ITEM_BLOCKS = 8
 
+#: Ratings of a block, about, beyond the least blocks; a cell holds two blocks in the memory of a task.
+BLOCK_RATINGS = 8_000_000
+
 
 def segments(df: DataFrame, features: list[str], ks: range = range(2, 9), seed: int = 7):
     """Rows with ``segment`` under the number of clusters of the best silhouette, and that number."""
@@ -40,33 +44,48 @@ def folds(df: DataFrame, label: str, key: str, k: int, seed: int = 0) -> DataFra
     return df.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
 
 
-def item_similarity(ratings: DataFrame, user: str, item: str, rating: str, k: int, least_shared: int = 1) -> DataFrame:
+def item_similarity(ratings: DataFrame, user: str, item: str, rating: str, k: int, least_shared: int = 1, unowned: bool = False) -> DataFrame:
     """``item, other, score``: each item's ``k`` nearest by cosine over its users' ratings.
 
-    Pairs arise within a user; users' lists are what bounds them. Items are dealt into ``ITEM_BLOCKS``
-    blocks by a hash, and a user's lists of two blocks go to the cell of these. A cell has all of its
-    pairs, which are made and summed where they are: lists are shuffled, once for each block, not pairs.
+    Pairs arise within a user; users' lists are what bounds them. Items are dealt into blocks by their
+    number, and about a million ratings at a time are packed into one row for each block. A cell has the
+    rows of two blocks and makes, sums and ranks all of their pairs, so what is shuffled are ratings, once
+    for each block, and the ``k`` best of a cell, not pairs. Blocks grow with the ratings, to bound the
+    memory of a cell; so the bytes shuffled grow with their square. ``unowned`` counts ratings without a
+    user in the norms.
     """
-    own = ratings.select(F.col(user).alias("user"), F.col(item).alias("item"), F.col(rating).alias("rating")).where("user is not null").repartition("user")
-    one = own.groupBy("user", "item").agg(F.avg("rating").alias("r")).where("item is not null")
-    parts = one.groupBy("user", F.pmod(F.xxhash64("item"), F.lit(ITEM_BLOCKS)).cast("int").alias("block")).agg(F.collect_list(F.struct("item", "r")).alias("l"))
-    lists = cut(parts.groupBy("user").agg(F.collect_list(F.struct("block", F.col("l.item").alias("items"), F.col("l.r").alias("rs"))).alias("parts")))
-    rated = lists.select(F.explode("parts").alias("p")).select(F.explode(F.arrays_zip("p.items", "p.rs")).alias("e"))
-    norm = counted_small(rated.groupBy(F.col("e.items").alias("item")).agg(F.sqrt(F.sum(F.col("e.rs") ** 2)).alias("norm")))
-    cell = lambda p, q: F.struct((p["block"] * ITEM_BLOCKS + q["block"]).alias("cell"), p["items"].alias("ia"), p["rs"].alias("ra"), q["items"].alias("ib"), q["rs"].alias("rb"))
-    met = F.flatten(F.transform("parts", lambda p: F.transform(F.filter("parts", lambda q: p["block"] <= q["block"]), lambda q: cell(p, q))))
-    dealt = lists.select(F.explode(met).alias("c")).select("c.*").repartition(4 * ITEM_BLOCKS * (ITEM_BLOCKS + 1) // 2, "cell")
-    pairs = dealt.select("cell", "ib", "rb", F.explode(F.arrays_zip("ia", "ra")).alias("a")).select("cell", "a", F.explode(F.arrays_zip("ib", "rb")).alias("b"))
-    pairs = pairs.select("cell", F.col("a.ia").alias("x"), F.col("b.ib").alias("y"), (F.col("a.ra") * F.col("b.rb")).alias("product"))
-    # Within a block each pair is met twice, in both orders.
-    once = pairs.where((F.col("cell") % (ITEM_BLOCKS + 1) != 0) | (F.col("x") < F.col("y")))
-    sums = once.groupBy("cell", "x", "y").agg(F.sum("product").alias("dot"), F.count("*").alias("shared"))
-    both = F.array(F.struct(F.col("x").alias("item"), F.col("y").alias("other")), F.struct(F.col("y").alias("item"), F.col("x").alias("other")))
-    dots = sums.where(F.col("shared") >= least_shared).select(F.explode(both).alias("e"), "dot", "shared").select("e.item", "e.other", "dot", "shared")
-    scored = dots.join(norm, "item").join(norm.select(F.col("item").alias("other"), F.col("norm").alias("other_norm")), "other")
-    out = scored.select("item", "other", F.round(F.col("dot") / (F.col("norm") * F.col("other_norm")), 9).alias("score"))
-    best = Window.partitionBy("item").orderBy(F.desc("score"), "other")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+    own = ratings.select(F.col(user).alias("user"), F.col(item).alias("item"), F.col(rating).alias("rating"))
+    # Ratings without a user are spread by their item.
+    own = own.withColumn("alone", F.when(F.col("user").isNull(), F.col("item"))) if unowned else own.where("user is not null").withColumn("alone", F.lit(0))
+    one = own.repartition("user", "alone").groupBy("user", "alone", "item").agg(F.avg("rating").alias("r")).where("item is not null")
+    one = cut(one.select("user", "item", "r"))
+    items, n, ratings_ = numbered(one.groupBy("item").agg(F.sqrt(F.sum(F.col("r") ** 2)).alias("norm"), F.count("user").alias("n")))
+    blocks = max(ITEM_BLOCKS, -(-ratings_ // BLOCK_RATINGS))
+    coded = one.where("user is not null").join(F.broadcast(items) if n <= SMALL_ROWS else items, "item").select("user", "at", "r")
+    # A broadcast leaves users where they are.
+    coded = (coded if n <= SMALL_ROWS else coded.repartition("user")).sortWithinPartitions("user")
+    packed = coded.mapInArrow(pairs.pack(blocks), "block int, batch bigint, n binary, place binary, code binary, kinds binary")
+    norms = items.groupBy((F.col("at") % blocks).cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("at", "norm"))).alias("l")).select("block", F.col("l.norm").alias("norms"))
+    cells = packed.unionByName(norms, allowMissingColumns=True).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = cells.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).drop("with")
+    dealt = cells.repartitionById(blocks * (blocks + 1) // 2, F.expr("CAST(hi * (hi + 1) / 2 AS INT) + lo"))
+    found = dealt.mapInArrow(pairs.nearest(blocks, k, least_shared), "at bigint, other_at bigint, score double")
+    best = Window.partitionBy("at").orderBy(F.desc("score"), "other_at")
+    kept = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    names = items.select("item", "at")
+    names = F.broadcast(names) if n <= SMALL_ROWS else names
+    return kept.join(names, "at").join(names.select(F.col("item").alias("other"), F.col("at").alias("other_at")), "other_at").select("item", "other", "score")
+
+
+def numbered(items: DataFrame) -> tuple[DataFrame, int, int]:
+    """Items with ``at``, their number from 0 in order; how many there are, and the sum of their ``n``."""
+    placed = cut(items.orderBy("item").withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("items"), F.sum("n").alias("n")).orderBy("part").collect()
+    before = np.cumsum([0] + [r["items"] for r in sizes]).tolist()
+    starts = items.sparkSession.createDataFrame([(r["part"], b) for r, b in zip(sizes, before)], "part bigint, before bigint")
+    at = F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("part", part).join(F.broadcast(starts), "part").select("item", "norm", at.alias("at")), before[-1], sum(r["n"] for r in sizes)
 
 
 def theil_sen(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

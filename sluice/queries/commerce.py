@@ -63,5 +63,5 @@ SELECT u AS "user", rank::INTEGER AS rank, round(score, 4) AS score FROM (SELECT
 """)
 def recommended_items(spark, sf_dir):
     bought = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("u"), (F.col("event_id") % 40).alias("i"), "value")
-    similar = M.item_similarity(bought, "u", "i", "value", 10)
+    similar = M.item_similarity(bought, "u", "i", "value", 10, unowned=True)
     return M.recommend(bought, similar, "u", "i", "value", 3).select("user", "rank", F.round("score", 4).alias("score"))

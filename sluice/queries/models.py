@@ -31,7 +31,7 @@ SELECT item, other, score FROM (SELECT *, row_number() OVER (PARTITION BY item O
 """)
 def item_similarity(spark, sf_dir):
     bought = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return M.item_similarity(bought, "o_custkey", "l_suppkey", "l_quantity", 3, 2)
+    return M.item_similarity(bought, "o_custkey", "l_suppkey", "l_quantity", 3, 2, unowned=True)
 
 
 @query("""
